@@ -32,4 +32,6 @@ def load_all() -> None:
     """Import every query module so their decorators run."""
     from lendscope.plans import (  # noqa: F401
         scoring_queries,
+        segment_queries,
+        product_queries,
     )
