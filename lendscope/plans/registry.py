@@ -34,4 +34,5 @@ def load_all() -> None:
         scoring_queries,
         segment_queries,
         product_queries,
+        profile_queries,
     )
