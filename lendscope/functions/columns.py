@@ -13,9 +13,12 @@ def col_(c: str | Column) -> Column:
 
 
 def round_half_even(c: str | Column, digits: int) -> Column:
-    """NumPy-style rounding: ``rint(x * 10^d) / 10^d`` (half to even on the scaled value)."""
+    """NumPy-style rounding: ``rint(x * 10^d) / 10^d`` (half to even on the scaled value).
+
+    ``+ 0.0`` turns a negative zero into zero so equal results print and hash alike.
+    """
     scale = float(10 ** digits)
-    return F.rint(col_(c) * F.lit(scale)) / F.lit(scale)
+    return F.rint(col_(c) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def r4(c: str | Column) -> Column:

@@ -94,15 +94,15 @@ def with_ctes(sql: str, *names: str) -> str:
 
 
 def r4(expr: str) -> str:
-    return f"round_even(({expr}) * 10000.0E0, 0) / 10000.0E0"
+    return f"(round_even(({expr}) * 10000.0E0, 0) / 10000.0E0 + 0.0E0)"
 
 
 def r2(expr: str) -> str:
-    return f"round_even(({expr}) * 100.0E0, 0) / 100.0E0"
+    return f"(round_even(({expr}) * 100.0E0, 0) / 100.0E0 + 0.0E0)"
 
 
 def r3(expr: str) -> str:
-    return f"round_even(({expr}) * 1000.0E0, 0) / 1000.0E0"
+    return f"(round_even(({expr}) * 1000.0E0, 0) / 1000.0E0 + 0.0E0)"
 
 
 SQL: dict[str, str] = {}

@@ -35,4 +35,5 @@ def load_all() -> None:
         segment_queries,
         product_queries,
         profile_queries,
+        feature_queries,
     )
