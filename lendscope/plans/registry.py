@@ -36,4 +36,5 @@ def load_all() -> None:
         product_queries,
         profile_queries,
         feature_queries,
+        metric_queries,
     )
