@@ -37,4 +37,6 @@ def load_all() -> None:
         profile_queries,
         feature_queries,
         metric_queries,
+        model_queries,
+        explain_queries,
     )
