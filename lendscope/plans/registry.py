@@ -39,4 +39,5 @@ def load_all() -> None:
         metric_queries,
         model_queries,
         explain_queries,
+        segment_model_queries,
     )
