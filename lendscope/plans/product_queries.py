@@ -19,11 +19,21 @@ from lendscope.plans.segment_queries import rule_segments
 from lendscope.sources import tables as T
 
 
+_LABELS: dict[str, dict] = {}
+
+
+def rule_label_map(spark: SparkSession, sf: str) -> dict:
+    """Labels of the grade segments, computed once per input (the fitted segment artefact)."""
+    if sf not in _LABELS:
+        _, _, labelled = rule_segments(spark, sf)
+        _LABELS[sf] = J.label_map(labelled)
+    return _LABELS[sf]
+
+
 def scored_labeled(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored applicants with the label of their grade segment (broadcast join to <= 8 rows)."""
-    _, _, labelled = rule_segments(spark, sf)
+    """Scored applicants with the label of their grade segment (literal map lookup)."""
     scored = T.scored_book(spark, sf).withColumn("segment", (F.ascii("loan_grade") - F.lit(65)).cast("int"))
-    return J.label_lookup(scored, labelled)
+    return J.attach_labels(scored, rule_label_map(spark, sf))
 
 
 # ------------------------------------------------------------- oracle text

@@ -51,3 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint directory for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back (lineage cut).
+
+    Used before multi-pass fits so the joins behind an input are not recomputed
+    for every statistic, and so a lost executor costs a re-read, not a recompute.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
