@@ -165,9 +165,20 @@ def _validation_sql() -> str:
              f"cast(null as varchar) as value_text"]
     parts += [f"select 'columns', '{c}', {float(i)}, (select {type_of.format(c=c)} from applicants limit 1)"
               for i, c in enumerate(APPLICANT_COLS)]
-    parts += ["select 'id_columns', 'loan_id', 0.0, null", "select 'target_column', 'loan_status', null, null"]
-    parts += [f"select 'numerical_columns', '{c}', {float(i)}, null" for i, c in enumerate(NUM_FEATURES)]
-    parts += [f"select 'categorical_columns', '{c}', {float(i)}, null" for i, c in enumerate(CAT_FEATURES)]
+    # Roles from the data: ids by name or (numeric) all-distinct; the target by name.
+    flags = " union all ".join(
+        f"select '{c}' as name, {i} as ord, {str(c not in CAT_FEATURES).lower()} as is_num, "
+        f"{str('id' in c.lower() or 'index' in c.lower() or 'uuid' in c.lower()).lower()} as by_name, "
+        + (f"(select count(distinct {c}) = count(*) from applicants)" if c not in CAT_FEATURES else "false")
+        + " as uniq" for i, c in enumerate(APPLICANT_COLS))
+    roles = (f"(select *, by_name or uniq as is_id, name = 'loan_status' as is_target from ({flags}))")
+    parts += [f"select 'id_columns', name, cast(row_number() over (order by ord) - 1 as double), null "
+              f"from {roles} where is_id",
+              "select 'target_column', 'loan_status', null, null",
+              f"select 'numerical_columns', name, cast(row_number() over (order by ord) - 1 as double), null "
+              f"from {roles} where is_num and not is_id and not is_target",
+              f"select 'categorical_columns', name, cast(row_number() over (order by ord) - 1 as double), null "
+              f"from {roles} where not is_num and not is_id and not is_target"]
     parts += ["select 'shape', 'n_rows', cast(count(*) as double), null from applicants",
               "select 'duplicates', 'duplicate_rows', cast(count(*) - (select count(*) from "
               "(select distinct * from applicants)) as double), null from applicants",
