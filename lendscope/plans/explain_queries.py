@@ -9,18 +9,17 @@ from lendscope.operators import explain as I
 from lendscope.plans import oracle
 from lendscope.plans.feature_queries import KEY, LABEL, fitted_on_train
 from lendscope.plans.oracle import r4 as sql_r4
+from lendscope.plans.fitted import memo
 from lendscope.plans.registry import query
 
-_CACHE: dict[str, tuple] = {}
-
-
 def explained(spark: SparkSession, sf: str):
     """(split, fitted features, weights, train means) for one input folder."""
-    if sf not in _CACHE:
+    def fit():
         split, fitted = fitted_on_train(spark, sf)
         train = split.where("is_train")
-        _CACHE[sf] = (split, fitted, I.signed_correlations(train, fitted, LABEL), I.feature_means(train, fitted))
-    return _CACHE[sf]
+        return split, fitted, I.signed_correlations(train, fitted, LABEL), I.feature_means(train, fitted)
+
+    return memo(spark, sf, "explained", fit)
 
 
 oracle._cte("feat_weights", ["matrix_long", "split"], """

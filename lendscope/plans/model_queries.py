@@ -15,18 +15,14 @@ from lendscope.operators import models as M
 from lendscope.plans import oracle
 from lendscope.plans.feature_queries import LABEL, KEY, split_applicants
 from lendscope.plans.profile_queries import CAT_FEATURES, NUM_FEATURES
+from lendscope.plans.fitted import memo
 from lendscope.plans.registry import query
-from lendscope.session import scratch_path
+from lendscope.session import scratch_path, slug
 from lendscope.sources import tables as T
 
-_FITS: dict[tuple[str, str], M.TrainedModels] = {}
-
-
 def trained(spark: SparkSession, sf: str, name: str) -> M.TrainedModels:
-    key = (sf, name)
-    if key not in _FITS:
-        _FITS[key] = M.train_candidates(split_applicants(spark, sf), LABEL, NUM_FEATURES, CAT_FEATURES, [name])
-    return _FITS[key]
+    return memo(spark, sf, f"model:{name}", lambda: M.train_candidates(
+        split_applicants(spark, sf), LABEL, NUM_FEATURES, CAT_FEATURES, [name]))
 
 
 def all_trained(spark: SparkSession, sf: str) -> M.TrainedModels:
@@ -86,7 +82,7 @@ def q_pipeline_roundtrip(spark, sf):
     """A3: save the chosen pipeline to the shared folder, load it, score the test side both ways."""
     tm = trained(spark, sf, "Logistic Regression")
     model = tm.models["Logistic Regression"]
-    path = scratch_path(spark, f"models/{abs(hash(sf))}/logistic")
+    path = scratch_path(spark, f"models/{slug(sf)}/logistic")
     M.save_pipeline(model, path)
     loaded = M.load_pipeline(path)
     test = split_applicants(spark, sf).where(~F.col("is_train"))
@@ -110,7 +106,7 @@ def q_run_info(spark, sf):
         F.count_if(F.col("is_train")).alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"),
         r4(F.avg(F.when(F.col("is_train"), F.col(LABEL).cast("double")))).alias("default_rate"),
     ).withColumn("n_features", F.lit(len(fitted.feature_names)).cast("bigint"))
-    path = scratch_path(spark, f"run_info/{abs(hash(sf))}")
+    path = scratch_path(spark, f"run_info/{slug(sf)}")
     info.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -14,20 +14,15 @@ from lendscope.functions.columns import r2
 from lendscope.operators import products as K
 from lendscope.operators import segments as J
 from lendscope.plans import oracle
+from lendscope.plans.fitted import memo
 from lendscope.plans.registry import query
 from lendscope.plans.segment_queries import rule_segments
 from lendscope.sources import tables as T
 
 
-_LABELS: dict[str, dict] = {}
-
-
 def rule_label_map(spark: SparkSession, sf: str) -> dict:
     """Labels of the grade segments, computed once per input (the fitted segment artefact)."""
-    if sf not in _LABELS:
-        _, _, labelled = rule_segments(spark, sf)
-        _LABELS[sf] = J.label_map(labelled)
-    return _LABELS[sf]
+    return memo(spark, sf, "rule_labels", lambda: J.label_map(rule_segments(spark, sf)[2]))
 
 
 def scored_labeled(spark: SparkSession, sf: str) -> DataFrame:

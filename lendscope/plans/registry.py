@@ -40,4 +40,5 @@ def load_all() -> None:
         model_queries,
         explain_queries,
         segment_model_queries,
+        source_queries,
     )

@@ -61,3 +61,10 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def slug(text: str) -> str:
+    """A folder-safe name for an input path (scratch subfolders per input)."""
+    import re
+
+    return re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_")
