@@ -24,9 +24,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendscope import settings as S
+
 # Sketch accuracy (relative rank error 1 / ACCURACY) and window margin in units of it.
-ACCURACY = 100_000
-MARGIN = 4
+ACCURACY = S.QUANTILE_ACCURACY
+MARGIN = S.QUANTILE_MARGIN
 
 
 def _long(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str]) -> DataFrame:

@@ -166,7 +166,7 @@ def _hash_key(key: str) -> Column:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = S.TEST_SIZE,
-                     bucket_bits: int = 16) -> DataFrame:
+                     bucket_bits: int = S.SPLIT_BUCKET_BITS) -> DataFrame:
     """Exact stratified split; adds ``is_train``.
 
     Within each class rows are ordered by (hash(key), key); the first

@@ -42,11 +42,14 @@ def _preprocess_stages(fitted: D.FittedFeatures) -> list:
 
 
 def logistic(n_train: int) -> LogisticRegression:
-    """L2, C = 1 on balanced weights. sklearn's C * sum(w * loss) + |b|^2 / 2 divided by
-    sum(w) = n is Spark's objective with regParam = 1 / n."""
+    """L2, C = 1 on balanced weights, at most 1000 iterations, tolerance 1e-4.
+
+    sklearn's C * sum(w * loss) + |b|^2 / 2 divided by sum(w) = n is Spark's
+    objective with regParam = 1 / n.
+    """
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                              maxIter=S.LOGREG_MAX_ITER, regParam=1.0 / max(1, n_train), elasticNetParam=0.0,
-                              standardization=False)
+                              maxIter=S.LOGREG_MAX_ITER, tol=S.LOGREG_TOL, regParam=1.0 / max(1, n_train),
+                              elasticNetParam=0.0, standardization=False)
 
 
 def random_forest() -> RandomForestClassifier:

@@ -7,8 +7,6 @@ and results change. Tunables below them are execution knobs only.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
@@ -142,6 +140,7 @@ RECOMMENDATION_PAGE_PROBS = {"LOW": 0.15, "MEDIUM": 0.45, "HIGH": 0.75}
 
 # Models: defaults of the three candidate learners.
 LOGREG_MAX_ITER = 1000
+LOGREG_TOL = 1e-4
 FOREST_TREES = 200
 FOREST_DEPTH = 12
 FOREST_MIN_LEAF = 5
@@ -155,15 +154,8 @@ BOOST_SUBSAMPLE = 0.8
 # Tunables (execution only)
 # ---------------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class Tuning:
-    # Above this many rows an exact per-group median is replaced by percentile_approx.
-    exact_median_max_rows: int = 50_000_000
-    # Buckets per class used by the stratified split (hash bits kept).
-    split_bucket_bits: int = 16
-    # Upper bound for explicitly broadcast tables built from data (rows).
-    broadcast_row_cap: int = 100_000
-    extra: dict = field(default_factory=dict)
-
-
-TUNING = Tuning()
+# Hash bits per class of the stratified split's bucket table (2^bits rows per class at most).
+SPLIT_BUCKET_BITS = 16
+# Exact quantiles: sketch accuracy (rank error 1 / accuracy) and window margin in units of it.
+QUANTILE_ACCURACY = 100_000
+QUANTILE_MARGIN = 4

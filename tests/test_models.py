@@ -84,3 +84,13 @@ def test_kmeans_structure(spark):
     # own exact silhouette equals Spark's evaluator on the same clustering
     own = J.silhouette(df.join(assigned.select("loan_id", "segment"), "loan_id"), space).first()["silhouette"]
     assert own == pytest.approx(J.vector_silhouette(assigned), abs=1e-9)
+
+
+def test_single_applicant_equals_batch_row(spark, logistic):
+    split, tm = logistic
+    model = tm.models["Logistic Regression"]
+    test = split.where(~F.col("is_train"))
+    one_id = test.select("loan_id").orderBy("loan_id").first()["loan_id"]
+    single = M.batch_score(model, test.where(F.col("loan_id") == one_id), ["loan_id"]).first()
+    batch = M.batch_score(model, test, ["loan_id"]).where(F.col("loan_id") == one_id).first()
+    assert single.asDict() == batch.asDict()

@@ -139,3 +139,22 @@ def test_select_best_first_on_ties(spark):
 
 
 _ = math
+
+
+def test_csv_na_tokens_and_reinference(spark):
+    import os
+    import tempfile
+
+    from lendscope.sources.csv import read_csv
+
+    d = tempfile.mkdtemp(prefix="lendscope-csv-")
+    path = os.path.join(d, "x.csv")
+    with open(path, "w") as fh:
+        fh.write("a,b,c\n1,NA,x\n2,3.5,n/a\nNULL,4,y\n")
+    df = read_csv(spark, path)
+    types = dict(df.dtypes)
+    assert types["a"] == "bigint" and types["b"] == "double" and types["c"] == "string"
+    rows = sorted(df.collect(), key=lambda r: (r["a"] is None, r["a"] or 0))
+    assert [r["a"] for r in rows] == [1, 2, None]
+    assert [r["b"] for r in rows] == [None, 3.5, 4.0]
+    assert [r["c"] for r in rows] == ["x", None, "y"]
