@@ -10,6 +10,7 @@ from lendscope.operators import features as D
 from lendscope.plans import oracle
 from lendscope.plans.oracle import r4 as sql_r4
 from lendscope.plans.profile_queries import CAT_FEATURES, NUM_FEATURES
+from lendscope.plans.fitted import memo
 from lendscope.plans.registry import query
 from lendscope.session import materialize
 from lendscope.sources import tables as T
@@ -22,9 +23,13 @@ def split_applicants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fitted_on_train(spark: SparkSession, sf: str) -> tuple[DataFrame, D.FittedFeatures]:
-    """The split, written once to the checkpoint folder, and preprocessing fitted on its train side."""
-    split = materialize(split_applicants(spark, sf))
-    return split, D.fit_features(split.where("is_train"), NUM_FEATURES, CAT_FEATURES)
+    """The split, written once to the checkpoint folder, and preprocessing fitted on its train side
+    (once per session and input)."""
+    def fit():
+        split = materialize(split_applicants(spark, sf))
+        return split, D.fit_features(split.where("is_train"), NUM_FEATURES, CAT_FEATURES)
+
+    return memo(spark, sf, "train_features", fit)
 
 
 # ------------------------------------------------------------------ oracle CTEs
