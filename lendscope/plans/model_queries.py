@@ -26,7 +26,11 @@ def trained(spark: SparkSession, sf: str, name: str) -> M.TrainedModels:
 
 
 def all_trained(spark: SparkSession, sf: str) -> M.TrainedModels:
-    parts = [trained(spark, sf, n) for n in M.MODEL_ORDER]
+    """Every candidate; the independent fits run from driver threads and share the executors."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(M.MODEL_ORDER)) as pool:
+        parts = list(pool.map(lambda n: trained(spark, sf, n), M.MODEL_ORDER))
     merged = M.TrainedModels(parts[0].fitted, {}, parts[0].n_train, parts[0].n_test, parts[0].default_rate)
     for p in parts:
         merged.models.update(p.models)
