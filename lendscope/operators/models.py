@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope import settings as S
-from lendscope.functions.columns import classify_risk, r4
+from lendscope.functions.columns import r4
 from lendscope.operators import features as D
 from lendscope.operators import metrics as G
 
@@ -104,9 +104,9 @@ def positive_probability(model: PipelineModel, df: DataFrame, keep: list[str]) -
 
 def batch_score(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     """H2: default_prob (4 dp), risk_level on the unrounded probability, risk_score (1 dp)."""
-    p = positive_probability(model, df, keep)
-    return p.select(*keep, r4("prob").alias("default_prob"), classify_risk("prob").alias("risk_level"),
-                    (F.rint(F.col("prob") * F.lit(100.0) * F.lit(10.0)) / F.lit(10.0)).alias("risk_score"))
+    from lendscope.operators.scoring import with_risk
+
+    return with_risk(positive_probability(model, df, keep), "prob").drop("prob")
 
 
 def evaluate(trained: TrainedModels, split: DataFrame, label: str) -> DataFrame:

@@ -66,6 +66,20 @@ def q_classify_risk(spark, sf):
     return T.scored_book(spark, sf).select("loan_id", "default_prob", "risk_level", "risk_score")
 
 
+@query("batch_score", """
+select loan_id, person_age, person_income, person_emp_length, loan_intent, loan_grade, loan_amnt, loan_int_rate,
+       loan_percent_income, cb_person_default_on_file, cb_person_cred_hist_length, loan_status,
+       default_prob, risk_level, risk_score
+from scored""", ("scored",))
+def q_batch_score(spark, sf):
+    """H2 on the scorecard probability: every applicant row plus its three scoring columns."""
+    from lendscope.functions.columns import sigmoid
+    from lendscope.operators.scorecard import scorecard_logit
+    from lendscope.operators.scoring import with_risk
+
+    return with_risk(T.applicants(spark, sf), sigmoid(scorecard_logit()))
+
+
 # ---------------------------------------------------------------- dashboard
 
 

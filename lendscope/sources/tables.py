@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.functions.columns import classify_risk, r4, sigmoid
+from lendscope.functions.columns import sigmoid
 from lendscope.operators.scorecard import scorecard_logit
 
 TABLES = [
@@ -97,14 +97,9 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``credit_book`` + scorecard probability (4 dp), risk level and 0-100 risk score."""
-    book = credit_book(spark, sf_dir)
-    p = sigmoid("scorecard_logit")
-    return book.select(
-        "*",
-        r4(p).alias("default_prob"),
-        classify_risk(p).alias("risk_level"),
-        (F.rint(p * F.lit(100.0) * F.lit(10.0)) / F.lit(10.0)).alias("risk_score"),
-    )
+    from lendscope.operators.scoring import with_risk
+
+    return with_risk(credit_book(spark, sf_dir), sigmoid("scorecard_logit"))
 
 
 def credit_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
