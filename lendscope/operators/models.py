@@ -69,10 +69,11 @@ def boosted_trees() -> GBTClassifier:
 
 
 def train_candidates(split: DataFrame, label: str, num_features, cat_features,
-                     which: list[str] | None = None) -> TrainedModels:
-    """fit preprocessing on the train side, then each candidate on the persisted train side."""
+                     which: list[str] | None = None, fitted: D.FittedFeatures | None = None) -> TrainedModels:
+    """fit preprocessing on the train side (unless given), then each candidate on the persisted
+    train side."""
     train = split.where("is_train")
-    fitted = D.fit_features(train, num_features, cat_features)
+    fitted = fitted or D.fit_features(train, num_features, cat_features)
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}  # one row per class
     n_train = sum(counts.values())
     n_test = split.where(~F.col("is_train")).count()

@@ -70,7 +70,8 @@ def q_linear_attribution(spark, sf):
 @query("top_features", f"""
 select {_PRETTY.format(c='feature')} as feature, feature as raw_feature, position, {sql_r4('abs(w)')} as importance,
        cast(rank as integer) as rank
-from (select *, row_number() over (order by abs(w) desc, position) as rank from feat_weights) where rank <= 15""",
+from (select *, row_number() over (order by round_even(abs(w) * 10000.0E0, 0) desc, position) as rank
+      from feat_weights) where rank <= 15""",
        ("feat_weights",))
 def q_top_features(spark, sf):
     _, fitted, w, _ = explained(spark, sf)

@@ -7,16 +7,23 @@ application id so a new session never sees objects of a stopped one.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import SparkSession
 
 _MEMO: dict[tuple[str, str, str], Any] = {}
+_LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
+_GUARD = threading.Lock()
 
 
 def memo(spark: SparkSession, sf: str, name: str, fit: Callable[[], Any]) -> Any:
+    """Fit once per key; concurrent callers of the same key wait for the first fit."""
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _MEMO:
-        _MEMO[key] = fit()
+    with _GUARD:
+        lock = _LOCKS.setdefault(key, threading.Lock())
+    with lock:
+        if key not in _MEMO:
+            _MEMO[key] = fit()
     return _MEMO[key]

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.columns import r4
 from lendscope.operators import models as M
-from lendscope.plans import oracle
-from lendscope.plans.feature_queries import LABEL, KEY, split_applicants
+from lendscope.plans.feature_queries import KEY, LABEL, fitted_on_train
 from lendscope.plans.profile_queries import CAT_FEATURES, NUM_FEATURES
 from lendscope.plans.fitted import memo
 from lendscope.plans.registry import query
@@ -21,8 +20,12 @@ from lendscope.session import scratch_path, slug
 from lendscope.sources import tables as T
 
 def trained(spark: SparkSession, sf: str, name: str) -> M.TrainedModels:
-    return memo(spark, sf, f"model:{name}", lambda: M.train_candidates(
-        split_applicants(spark, sf), LABEL, NUM_FEATURES, CAT_FEATURES, [name]))
+    """One candidate, trained on the checkpointed split with the shared train-side preprocessing."""
+    def fit():
+        split, fitted = fitted_on_train(spark, sf)
+        return M.train_candidates(split, LABEL, NUM_FEATURES, CAT_FEATURES, [name], fitted)
+
+    return memo(spark, sf, f"model:{name}", fit)
 
 
 def all_trained(spark: SparkSession, sf: str) -> M.TrainedModels:
@@ -39,7 +42,7 @@ def all_trained(spark: SparkSession, sf: str) -> M.TrainedModels:
 
 def _metrics_of(spark, sf, name: str) -> DataFrame:
     tm = trained(spark, sf, name)
-    return M.evaluate(tm, split_applicants(spark, sf), LABEL).select(
+    return M.evaluate(tm, fitted_on_train(spark, sf)[0], LABEL).select(
         "model", "accuracy", "precision", "recall", "f1", "roc_auc")
 
 
@@ -60,7 +63,7 @@ def q_train_gbt(spark, sf):
 
 @query("compare_models")
 def q_compare_models(spark, sf):
-    return M.evaluate(all_trained(spark, sf), split_applicants(spark, sf), LABEL)
+    return M.evaluate(all_trained(spark, sf), fitted_on_train(spark, sf)[0], LABEL)
 
 
 def best_name(spark, sf) -> str:
@@ -89,7 +92,7 @@ def q_pipeline_roundtrip(spark, sf):
     path = scratch_path(spark, f"models/{slug(sf)}/logistic")
     M.save_pipeline(model, path)
     loaded = M.load_pipeline(path)
-    test = split_applicants(spark, sf).where(~F.col("is_train"))
+    test = fitted_on_train(spark, sf)[0].where(~F.col("is_train"))
     before = M.positive_probability(model, test, [KEY]).withColumnRenamed("prob", "p_before")
     after = M.positive_probability(loaded, test, [KEY]).withColumnRenamed("prob", "p_after")
     return before.join(after, KEY).withColumn("equal", F.col("p_before") == F.col("p_after"))
@@ -102,10 +105,7 @@ select count(*) filter (where is_train) as n_train, count(*) filter (where not i
 from split""", ("split", "levels"))
 def q_run_info(spark, sf):
     """A4: run metadata written as a parquet table in the shared folder and read back."""
-    split = split_applicants(spark, sf)
-    from lendscope.operators import features as D
-
-    fitted = D.fit_features(split.where("is_train"), NUM_FEATURES, CAT_FEATURES)
+    split, fitted = fitted_on_train(spark, sf)
     info = split.agg(
         F.count_if(F.col("is_train")).alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"),
         r4(F.avg(F.when(F.col("is_train"), F.col(LABEL).cast("double")))).alias("default_rate"),
@@ -114,5 +114,3 @@ def q_run_info(spark, sf):
     info.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
-
-_ = oracle

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lendscope.operators import clean as C
 from lendscope.operators import profile as B
 from lendscope.plans import oracle
@@ -245,5 +243,3 @@ def q_validate_input(spark, sf):
     return C.validate_rows(_app(spark, sf), NUM_FEATURES, CAT_FEATURES).select(
         "loan_id", "error_message", "is_valid")
 
-
-_ = F

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lendscope.functions.columns import r4
 from lendscope.operators import dashboard as L
 from lendscope.operators import scorecard as E
@@ -153,5 +151,3 @@ from applicants group by loan_status""", ("applicants",))
 def q_target_counts(spark, sf):
     return L.target_counts(T.applicants(spark, sf))
 
-
-_ = F  # keep the functions import for query modules that extend this one

@@ -8,7 +8,6 @@ fitted model; the K-Means path (J2-J5) is in ``model_queries``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lendscope.operators import segments as J
 from lendscope.plans import oracle
@@ -117,5 +116,3 @@ def q_segment_default_rates(spark, sf):
     _, _, labelled = rule_segments(spark, sf)
     return J.default_rates(labelled)
 
-
-_ = F

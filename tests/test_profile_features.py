@@ -1,7 +1,5 @@
 """Edge fixtures for detection, validation, quantiles, features, metrics and the split."""
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -138,8 +136,6 @@ def test_select_best_first_on_ties(spark):
     assert best == ["a"]
 
 
-_ = math
-
 
 def test_csv_na_tokens_and_reinference(spark):
     import os

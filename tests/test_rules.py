@@ -3,9 +3,7 @@
 import itertools
 
 import pytest
-from pyspark.sql import functions as F
 
-from lendscope import settings as S
 from lendscope.functions.columns import classify_risk, income_tier
 from lendscope.operators import products as K
 from lendscope.operators import segments as J
@@ -153,5 +151,3 @@ def test_unknown_segment_label(spark):
     out = {r["segment"]: r["segment_label"] for r in J.attach_labels(df, {0: "Stable Customer"}).collect()}
     assert out == {0: "Stable Customer", 7: "Segment 7"}
 
-
-_ = (F, S)
