@@ -154,3 +154,15 @@ def test_csv_na_tokens_and_reinference(spark):
     assert [r["a"] for r in rows] == [1, 2, None]
     assert [r["b"] for r in rows] == [None, 3.5, 4.0]
     assert [r["c"] for r in rows] == ["x", None, "y"]
+
+
+def test_same_answer_for_1_and_8_partitions(spark):
+    rows = [(i, 1 if i % 4 == 0 else 0, float((i * 37) % 101)) for i in range(1, 2001)]
+    df = spark.createDataFrame(rows, "k long, y int, x double")
+    outs = []
+    for n in (1, 8):
+        part = df.repartition(n)
+        split = {r["k"]: r["is_train"] for r in D.stratified_split(part, "y", "k", bucket_bits=6).collect()}
+        qs = exact_quantiles(part, ["x"], [0.25, 0.5, 0.75], ["y"]).orderBy("y").collect()
+        outs.append((split, [(r["y"], r["q0"], r["q1"], r["q2"]) for r in qs]))
+    assert outs[0] == outs[1]
