@@ -151,3 +151,13 @@ def test_unknown_segment_label(spark):
     out = {r["segment"]: r["segment_label"] for r in J.attach_labels(df, {0: "Stable Customer"}).collect()}
     assert out == {0: "Stable Customer", 7: "Segment 7"}
 
+
+
+def test_assessment_plan_has_no_python_or_cross_join(spark):
+    """The flagship plan stays JVM-side: no Python evaluation node and no cartesian product."""
+    import __spark_entry__ as E
+
+    df = E.entry(spark)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in plan, node
