@@ -7,8 +7,9 @@ from oracle_compare import compare
 
 from conftest import SF001, SF01
 
-SQLS = E.oracle_sql()
-QUERIES = E.queries()
+E.queries()  # fills the registry
+from lendscope.plans.oracle import SQL as SQLS  # noqa: E402
+from lendscope.plans.registry import QUERIES  # noqa: E402
 
 
 @pytest.mark.parametrize("key", sorted(SQLS))
