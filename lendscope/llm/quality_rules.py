@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lendscope.llm.common import SPACES, let, words_of
 
 SYMBOLS = "#*$%&|<>"
+PUNCTUATION = ".,;:!?\"()"
 WINDOW = 5
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Very frequent words of English, German, French and Spanish.
@@ -93,7 +94,7 @@ def assess(text: Column) -> Column:
 
     def measures(t: Column, words: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-        bare = lambda w: F.lower(F.translate(w, ".,;:!?\"()", ""))
+        bare = words_of(F.lower(F.translate(t, PUNCTUATION, "")))
         return let(lines, lambda ls: F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
@@ -103,7 +104,7 @@ def assess(text: Column) -> Column:
             F.size(ls).cast("long").alias("n_lines"),
             _count_chars(t, "!").alias("n_bangs"),
             _count_chars(t, UPPER).alias("n_upper"),
-            F.size(F.filter(words, lambda w: bare(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words")))
+            F.size(F.filter(bare, lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words")))
 
     def verdict(m: Column) -> Column:
         base_failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])

@@ -5,14 +5,14 @@ from __future__ import annotations
 from lendscope.llm.quality_rules import MAX_REPEATED, MIN_WORDS, RULES, STOP_WORDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-_BARE = "lower(regexp_replace(w, '[.,;:!?\"()]', '', 'g'))"
+_BARE = r"""regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[.,;:!?"()]', '', 'g')), '[^\x20\x09-\x0D]+')"""
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _RULES = " or ".join(
     f"(n_words >= {r.from_words} and 100 * {r.measure} {'<' if r.least else '>'} {r.limit} * {r.base})" for r in RULES)
 
 #: Measures and verdict of the table or subquery ``{rows}`` (doc_id, text); rows are told apart by ``rid``.
 QUALITY = rf"""
-src as (select row_number() over () rid, doc_id, coalesce(text, '') t, {_WORDS} ws,
+src as (select row_number() over () rid, doc_id, coalesce(text, '') t, {_WORDS} ws, {_BARE} bare,
                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls
         from ({{rows}})),
 wins as (select rid, unnest(range(1, len(ws) - 3)) i, ws from src where len(ws) >= 5),
@@ -24,7 +24,7 @@ m as (select src.rid, doc_id, len(ws)::bigint n_words, length(regexp_replace(t,
              (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words,
              len(ls)::bigint n_lines, length(regexp_replace(t, '[^!]', '', 'g'))::bigint n_bangs,
              length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint n_upper,
-             len(list_filter(ws, lambda w: {_BARE} in ({_STOP})))::bigint n_stop_words
+             len(list_filter(bare, lambda w: w in ({_STOP})))::bigint n_stop_words
       from src left join rep using (rid)),
 judged as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words base_failed from m),
 verdict as (select *, not (base_failed or {_RULES}) kept from judged)"""
