@@ -42,6 +42,7 @@ NAMES = frozenset(
     "recommendations widget toolbar login search pagination pager skip".split())
 OUTER_NAMES = frozenset("header masthead footer topbar top bottom copyright legal alert announcement".split())
 REMARKS = frozenset("comment comments disqus reply replies".split())
+ABOUT = frozenset("no has with without is not".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -49,17 +50,22 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _NAME = re.compile(r"[a-z0-9]+")
 
 
-def _names(attributes: str) -> tuple[set[str], str]:
-    """Words of class and id, and the role."""
+def _names(attributes: str) -> tuple[set[str], set[str], str]:
+    """Words of class and id, the words that these names begin with, and the role; "no-ads" and the like name nothing."""
     words: set[str] = set()
+    heads: set[str] = set()
     role = ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words.update(_NAME.findall(value))
+            for token in value.split():
+                parts = _NAME.findall(token)
+                if parts and parts[0] not in ABOUT:
+                    words.update(parts)
+                    heads.add(parts[0])
         elif name == "role":
             role = value.strip()
-    return words, role
+    return words, heads, role
 
 
 def blocks(html: str | None) -> list[tuple[str, int]]:
@@ -114,7 +120,7 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
                 stack.pop()
         if name in VOID or attributes.endswith("/"):
             continue
-        words, role = _names(attributes) if attributes else (set(), "")
+        words, heads, role = _names(attributes) if attributes else (set(), set(), "")
         article = any(x[2] for x in stack)
         if name in ("article", "main"):
             # an article does not stand in a menu or header: such an element was not closed
@@ -122,7 +128,7 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
                 if x[0] in ("head", "nav", "header"):
                     del stack[k:]
                     break
-            furniture = bool(words & REMARKS)
+            furniture = bool(heads & REMARKS)
         elif name in ("html", "body"):
             furniture = False
         else:
