@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "lendscope") -> SparkSession:
@@ -30,21 +32,18 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The folder that all executors share: ``spark.checkpoint.dir``, as the context has it.
 
-    Only when the session has none (local tests) is a private scratch folder set.
+    A private scratch folder is set only for a ``local`` master without that setting (tests); elsewhere its absence
+    is an error, since executors would write to their own disks.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    path = tempfile.mkdtemp(prefix="lendscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
-    return path
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not configured and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lendscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -53,18 +52,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it back.
+
+    Lineage ends at files that every executor can read, so a lost executor costs a re-read.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and read it back (lineage cut).
 
     Used before multi-pass fits so the joins behind an input are not recomputed
     for every statistic, and so a lost executor costs a re-read, not a recompute.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df, "table")
 
 
 def slug(text: str) -> str:
     """A folder-safe name for an input path (scratch subfolders per input)."""
-    import re
-
     return re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_")

@@ -140,7 +140,7 @@ RECOMMENDATION_PAGE_PROBS = {"LOW": 0.15, "MEDIUM": 0.45, "HIGH": 0.75}
 
 # Models: defaults of the three candidate learners.
 LOGREG_MAX_ITER = 1000
-LOGREG_TOL = 1e-4
+LOGREG_TOL = 1e-6
 FOREST_TREES = 200
 FOREST_DEPTH = 12
 FOREST_MIN_LEAF = 5
@@ -157,5 +157,6 @@ BOOST_SUBSAMPLE = 0.8
 # Hash bits per class of the stratified split's bucket table (2^bits rows per class at most).
 SPLIT_BUCKET_BITS = 16
 # Exact quantiles: sketch accuracy (rank error 1 / accuracy) and window margin in units of it.
-QUANTILE_ACCURACY = 100_000
-QUANTILE_MARGIN = 4
+QUANTILE_MARKS = 1024
+QUANTILE_FEW = 4096
+QUANTILE_MOST_WINDOWS = 100_000
