@@ -1,10 +1,10 @@
 """Evaluation on (label, score) tables (G1-G7), grouped by an optional model column.
 
-Counts come from one conditional aggregate. ROC / AUC first collapse rows to
-distinct scores per model (scores carry 4 decimals, so at most 10,001 rows per
-model whatever the data size); running sums then run over that bounded table.
-AUC is computed exactly in integers: sum over scores of
-``neg_s * (2 * pos_above + pos_s)`` divided by ``2 * P * N`` (ties count half).
+Scores are taken unrounded; only results are rounded. Counts come from one
+conditional aggregate. ROC and AUC collapse rows to distinct scores per model and
+sum them in ranges of (model, score), so no model is held by one task. AUC is
+exact integer arithmetic: sum over scores of ``neg_s * (2 * pos_above + pos_s)``
+divided by ``2 * P * N`` (ties count half).
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from lendscope import settings as S
 from lendscope.functions.columns import r4, safe_div
+from lendscope.functions.running import running_totals
+from lendscope.session import written
 
 
 def _keys(group: str | None) -> list[str]:
@@ -57,47 +59,52 @@ def classification_metrics(df: DataFrame, label: str = "y", score: str = "p", gr
 
 
 def score_counts(df: DataFrame, label: str = "y", score: str = "p", group: str | None = None) -> DataFrame:
-    """Distinct scores per group with positive / negative counts (the bounded ROC table)."""
+    """Distinct scores per group with positive / negative counts."""
     return df.groupBy(*_keys(group), F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
 def _running(sc: DataFrame, group: str | None) -> DataFrame:
-    desc = Window.partitionBy(*_keys(group)).orderBy(F.col("score").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*_keys(group))
-    return sc.withColumns({
-        "tps": F.sum("pos").over(desc), "fps": F.sum("neg").over(desc),
-        "P": F.sum("pos").over(whole), "N": F.sum("neg").over(whole),
-    })
+    """Each distinct score, from the highest: rows up to it within its group (tps, fps), the group's P and N, and its
+    place ``i`` among the ``n_pts`` points of the group.
+
+    Scores are unrounded, so there may be as many as rows: the sums run over ranges of (group, score).
+    """
+    counted = sc.select(F.col(group).alias("g") if group else F.lit("").alias("g"), "score", (-F.col("score")).alias("down"),
+                        "pos", "neg", F.lit(1).cast("long").alias("one"))
+    run = written(running_totals(counted, ["g", "down"], {"tp_all": "pos", "fp_all": "neg", "i_all": "one"}, "roc"), "roc-run")
+    earlier = Window.orderBy(F.col("g").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one row per model
+    whole = run.groupBy("g").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("n_pts"))
+    whole = whole.select(F.col("g").alias("gw"), "P", "N", "n_pts", *[
+        F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("P", "N", "n_pts")])
+    return run.join(whole, F.col("g").eqNullSafe(F.col("gw"))).select(
+        *([F.col("g").alias(group)] if group else []), "score", "pos", "neg", "P", "N", "n_pts", F.col("i_all").alias("place"),
+        (F.col("tp_all") - F.col("P_before")).alias("tps"), (F.col("fp_all") - F.col("N_before")).alias("fps"),
+        (F.col("i_all") - F.col("n_pts_before")).alias("i"))
 
 
 def roc_auc(df: DataFrame, label: str = "y", score: str = "p", group: str | None = None) -> DataFrame:
-    """ROC AUC per group (4 dp); NULL when a class is absent."""
+    """ROC AUC per group (4 dp) of the unrounded scores; NULL when a class is absent."""
     run = _running(score_counts(df, label, score, group), group)
-    num = F.sum(F.col("neg") * (F.lit(2) * (F.col("tps") - F.col("pos")) + F.col("pos")))
-    den = F.lit(2) * F.first("P") * F.first("N")
-    return run.groupBy(*_keys(group)).agg(r4(F.try_divide(num.cast("double"), den.cast("double"))).alias("roc_auc"))
+    num = F.sum((F.col("neg") * (F.lit(2) * (F.col("tps") - F.col("pos")) + F.col("pos"))).cast("decimal(38,0)"))
+    den = F.lit(2.0) * F.first("P") * F.first("N")
+    return run.groupBy(*_keys(group)).agg(r4(F.try_divide(num.cast("double"), den)).alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "y", score: str = "p", group: str | None = None) -> DataFrame:
-    """ROC points (fpr, tpr, threshold) by descending distinct score with a leading (0, 0)
+    """ROC points (fpr, tpr, threshold; 4 dp) by descending distinct score with a leading (0, 0)
     point; interior points collinear with both neighbours are dropped."""
     run = _running(score_counts(df, label, score, group), group)
-    desc = Window.partitionBy(*_keys(group)).orderBy(F.col("score").desc())
-    idx = run.withColumns({
-        "i": F.row_number().over(desc),
-        "n_pts": F.count(F.lit(1)).over(Window.partitionBy(*_keys(group))),
-        "fp_prev": F.lag("fps", 1).over(desc), "fp_next": F.lead("fps", 1).over(desc),
-        "tp_prev": F.lag("tps", 1).over(desc), "tp_next": F.lead("tps", 1).over(desc),
-    })
+    beside = lambda step, name: run.select(
+        (F.col("place") + step).alias("place"), F.col("fps").alias(f"fp_{name}"), F.col("tps").alias(f"tp_{name}"))
+    idx = run.join(beside(1, "prev"), "place", "left").join(beside(-1, "next"), "place", "left")
     keep = (
         (F.col("i") == 1) | (F.col("i") == F.col("n_pts"))
         | (F.col("fp_next") - F.lit(2) * F.col("fps") + F.col("fp_prev") != 0)
         | (F.col("tp_next") - F.lit(2) * F.col("tps") + F.col("tp_prev") != 0)
     )
     pts = idx.where(keep).select(
-        *_keys(group), F.col("score").alias("threshold"),
+        *_keys(group), r4("score").alias("threshold"),
         r4(safe_div(F.col("fps"), F.col("N"))).alias("fpr"), r4(safe_div(F.col("tps"), F.col("P"))).alias("tpr"))
     origin = run.groupBy(*_keys(group)).agg(F.lit(None).cast("double").alias("threshold")).select(
         *_keys(group), "threshold", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope import settings as S
-from lendscope.functions.columns import r4
 from lendscope.operators import features as D
 from lendscope.operators import metrics as G
 
@@ -42,7 +41,7 @@ def _preprocess_stages(fitted: D.FittedFeatures) -> list:
 
 
 def logistic(n_train: int) -> LogisticRegression:
-    """L2, C = 1 on balanced weights, at most 1000 iterations, tolerance 1e-4.
+    """L2, C = 1 on balanced weights, at most 1000 iterations, Spark's tolerance.
 
     sklearn's C * sum(w * loss) + |b|^2 / 2 divided by sum(w) = n is Spark's
     objective with regParam = 1 / n.
@@ -119,7 +118,7 @@ def evaluate(trained: TrainedModels, split: DataFrame, label: str) -> DataFrame:
             continue
         p = positive_probability(trained.models[name], test, [label]).select(
             F.lit(name).alias("model"), F.lit(i).alias("ordinal"), F.col(label).alias("y"),
-            r4("prob").alias("p"))
+            F.col("prob").alias("p"))
         parts = p if parts is None else parts.unionByName(p)
     summary = G.model_summary(parts, group="model").join(parts.select("model", "ordinal").distinct(), "model")
     return G.select_best(summary)

@@ -61,7 +61,7 @@ def clip_bounds(df: DataFrame) -> DataFrame:
         "cb_person_cred_hist_length": S.CRED_HIST_BOUNDS,
     }
     return df.withColumns({
-        c: F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(c)))
+        c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(c))))  # missing stays missing
         for c, (lo, hi) in bounds.items() if c in df.columns
     })
 

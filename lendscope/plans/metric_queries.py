@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.functions.columns import r4
+from lendscope.functions.columns import sigmoid
 from lendscope.operators import metrics as G
 from lendscope.operators.scorecard import grade_risk
 from lendscope.plans import oracle
@@ -22,22 +22,23 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """(model, ordinal, y, p) for three rule scores over every scored applicant."""
     scored = T.scored_book(spark, sf)
     return G.long_scores(scored, "loan_status", [
-        ("Scorecard", F.col("default_prob")),
-        ("Grade rule", r4(F.lit(0.1) + grade_risk("loan_grade"))),
+        ("Scorecard", sigmoid("scorecard_logit")),
+        ("Grade rule", F.lit(0.1) + grade_risk("loan_grade")),
         ("Prior default", F.when(F.col("cb_person_default_on_file") == "Y", F.lit(0.8)).otherwise(F.lit(0.2))),
     ])
 
 
 def scorecard_eval(spark: SparkSession, sf: str) -> DataFrame:
-    return T.scored_book(spark, sf).select(F.col("loan_status").alias("y"), F.col("default_prob").alias("p"))
+    return T.scored_book(spark, sf).select(F.col("loan_status").alias("y"), sigmoid("scorecard_logit").alias("p"))
 
 
 # ------------------------------------------------------------------ oracle CTEs
 
-oracle._cte("eval_one", ["scored"], "select loan_status as y, default_prob as p from scored")
+_PROB = "1.0E0 / (1.0E0 + exp(-scorecard_logit))"  # unrounded
+oracle._cte("eval_one", ["scored"], f"select loan_status as y, {_PROB} as p from scored")
 oracle._cte("eval_long", ["scored"], f"""
-  select 'Scorecard' as model, 0 as ordinal, loan_status as y, default_prob as p from scored
-  union all select 'Grade rule', 1, loan_status, {sql_r4("0.1E0 + case loan_grade when 'A' then 0.0E0 when 'B' then 0.1E0 when 'C' then 0.2E0 when 'D' then 0.35E0 when 'E' then 0.5E0 when 'F' then 0.65E0 end")} from scored
+  select 'Scorecard' as model, 0 as ordinal, loan_status as y, {_PROB} as p from scored
+  union all select 'Grade rule', 1, loan_status, 0.1E0 + case loan_grade when 'A' then 0.0E0 when 'B' then 0.1E0 when 'C' then 0.2E0 when 'D' then 0.35E0 when 'E' then 0.5E0 when 'F' then 0.65E0 end from scored
   union all select 'Prior default', 2, loan_status, case when cb_person_default_on_file = 'Y' then 0.8E0 else 0.2E0 end from scored""")
 
 
@@ -118,7 +119,7 @@ oracle._cte("roc_lg", ["roc_run"], """
 
 
 @query("roc_curve", f"""
-select score as threshold, {sql_r4(_div('fps', 'nn'))} as fpr, {sql_r4(_div('tps', 'np'))} as tpr from roc_lg
+select {sql_r4("score")} as threshold, {sql_r4(_div('fps', 'nn'))} as fpr, {sql_r4(_div('tps', 'np'))} as tpr from roc_lg
 where i = 1 or i = n_pts or fp_next - 2 * fps + fp_prev <> 0 or tp_next - 2 * tps + tp_prev <> 0
 union all select cast(null as double), 0.0E0, 0.0E0""", ("roc_lg",))
 def q_roc_curve(spark, sf):

@@ -21,10 +21,10 @@ def q_loan_to_income(spark, sf):
 
 @query("clip_bounds", """
 select loan_id,
-  greatest(12000, least(500000, person_income)) as person_income,
-  greatest(0, least(40, person_emp_length)) as person_emp_length,
-  greatest(500, least(50000, loan_amnt)) as loan_amnt,
-  greatest(1, least(45, cb_person_cred_hist_length)) as cb_person_cred_hist_length
+  case when person_income is not null then greatest(12000, least(500000, person_income)) end as person_income,
+  case when person_emp_length is not null then greatest(0, least(40, person_emp_length)) end as person_emp_length,
+  case when loan_amnt is not null then greatest(500, least(50000, loan_amnt)) end as loan_amnt,
+  case when cb_person_cred_hist_length is not null then greatest(1, least(45, cb_person_cred_hist_length)) end as cb_person_cred_hist_length
 from applicants""", ("applicants",))
 def q_clip_bounds(spark, sf):
     return E.clip_bounds(T.applicants(spark, sf)).select(
