@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lendscope import settings as S
+from lendscope.functions.running import running_totals
 from lendscope.functions.columns import r2, r4
 
 
@@ -92,8 +93,9 @@ def explorer_preview(df: DataFrame, key: str, filter_col: str | None = None,
 
 
 def filter_values(df: DataFrame, c: str) -> DataFrame:
-    """Sorted distinct non-null values of a column."""
-    return df.select(c).where(F.col(c).isNotNull()).distinct()
+    """Distinct non-null values of a column, their sorted ``position`` from 1."""
+    found = df.select(c).where(F.col(c).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    return running_totals(found, [c], {"position": "_one"}, "filter-values").select(c, F.col("position").cast("int").alias("position"))
 
 
 def target_counts(df: DataFrame, target: str = "loan_status") -> DataFrame:

@@ -13,11 +13,13 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope import settings as S
 from lendscope.functions.quantiles import exact_median
+from lendscope.session import written
 
 
 def _q(name: str) -> str:
@@ -128,8 +130,12 @@ def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
         return {}
     long = df.select(*[F.coalesce(F.col(_q(c)).cast("string"), F.lit(S.MISSING_CATEGORY)).alias(c)
                        for c in cols]).unpivot([], list(cols), "feature", "value")
-    rows = long.distinct().collect()  # one row per level: the width of the one-hot block
+    most = S.MOST_LEVELS  # bounds the one-hot block; a column over it is an error, never cut
+    wide = long.groupBy("feature").agg(F.approx_count_distinct("value", 0.02).alias("n")).where(F.col("n") > 2 * most).collect()
+    rows = [] if wide else long.distinct().limit(most * len(cols) + 1).collect()
     levels: dict[str, list[str]] = {c: [] for c in cols}
+    if wide or len(rows) > most * len(cols):
+        raise ValueError(f"too many categories for one-hot columns: {sorted(r['feature'] for r in wide) or list(cols)}")
     for r in rows:
         levels[r["feature"]].append(r["value"])
     return {c: sorted(v) for c, v in levels.items()}
@@ -138,6 +144,7 @@ def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
 def fit_features(train: DataFrame, num_features: Sequence[str], cat_features: Sequence[str]) -> FittedFeatures:
     """D9 fit: every statistic from the training side only."""
     medians = fit_medians(train, num_features)
+    num_features = [c for c in num_features if medians.get(c) is not None]  # a column without any value is no feature
     means, scales = fit_scaling(train, num_features, medians)
     levels = fit_levels(train, cat_features)
     return FittedFeatures(list(num_features), list(cat_features), medians, means, scales, levels)
@@ -165,37 +172,62 @@ def _hash_key(key: str) -> Column:
     return ((F.col(_q(key)) % F.lit(2147483648)) * F.lit(2654435761)) % F.lit(4294967296)
 
 
+def _cuts(rows: DataFrame, wanted: dict, bucket_bits: int) -> dict:
+    """For each class the (hash, key) of its last train row: found from counts by hash bucket, then by hash, then by
+    key among the rows of one hash. ``rows`` has c (class), h (hash), k (key)."""
+    at: dict = {}  # class -> (lower bound of the hash, rows before it)
+    for shift in (32 - bucket_bits, 0):
+        bucket = F.shiftrightunsigned(F.col("h"), shift)
+        if shift:
+            inside = F.lit(True)
+        else:
+            inside = F.lit(False)
+            for c, (b, _) in at.items():
+                inside = inside | (F.col("c").eqNullSafe(F.lit(c)) & (F.shiftrightunsigned(F.col("h"), 32 - bucket_bits) == b))
+        counts = rows.where(inside).groupBy("c", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        # at most 2^bucket_bits (then 2^(32 - bucket_bits)) rows a class
+        through = F.sum("n").over(Window.partitionBy("c").orderBy("b"))
+        start = {c: at[c][1] if at else 0 for c in wanted}
+        goal = F.lit(None).cast("long")
+        for c, n in wanted.items():
+            goal = F.when(F.col("c").eqNullSafe(F.lit(c)), F.lit(n - start[c])).otherwise(goal)
+        found = (counts.withColumn("t", through).where((F.col("t") >= goal) & (F.col("t") - F.col("n") < goal)).collect())
+        at = {r["c"]: (r["b"], start[r["c"]] + r["t"] - r["n"]) for r in found}
+    out = {}
+    for c, (h, before) in at.items():  # rows that share one hash value: a class's share of 2^-32 of its rows
+        same = rows.where(F.col("c").eqNullSafe(F.lit(c)) & (F.col("h") == h)).orderBy("k").limit(wanted[c] - before)
+        out[c] = (h, same.agg(F.max("k")).first()[0])
+    return out
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = S.TEST_SIZE,
                      bucket_bits: int = S.SPLIT_BUCKET_BITS) -> DataFrame:
     """Exact stratified split; adds ``is_train``.
 
-    Within each class rows are ordered by (hash(key), key); the first
-    ``n_c - rint(test_size * n_c)`` are train. Instead of a window over a whole
-    class (one task holding a third of the data), rows are counted per
-    (class, hash bucket): at most 2^bucket_bits rows per class. Running counts
-    over that small table decide every bucket except the one holding the cut,
-    whose few rows are ranked with a window of their own.
+    Within each class rows are ordered by (hash(key), key); the first ``n_c - rint(test_size * n_c)`` are train. The
+    last train row of each class is found from bucket counts over a narrow written table of classes and keys, and the
+    split itself is a projection against these literals: no join, no window over a class. A missing label raises.
+    Where a class has fewer than two rows, or there are more classes than test rows, all rows are split as one class.
     """
-    shift = 32 - bucket_bits
-    rows = df.withColumns({"_h": _hash_key(key)}).withColumn(
-        "_b", F.shiftrightunsigned(F.col("_h"), shift))
-    buckets = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    per_class = Window.partitionBy(label)
-    running = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n_train = F.sum("_bn").over(per_class) - F.rint(F.lit(test_size) * F.sum("_bn").over(per_class)).cast("bigint")
-    plan = buckets.select(
-        label, "_b", n_train.alias("_ntrain"),
-        (F.sum("_bn").over(running) - F.col("_bn")).alias("_before"),
-        F.sum("_bn").over(running).alias("_through"),
-    )
-    # <= 2 x 2^bucket_bits rows (a few MB): broadcasting it is bounded by construction.
-    tagged = rows.join(F.broadcast(plan), [label, "_b"])
-    decided = tagged.where((F.col("_through") <= F.col("_ntrain")) | (F.col("_before") >= F.col("_ntrain")))
-    decided = decided.withColumn("is_train", F.col("_through") <= F.col("_ntrain"))
-    cut = tagged.where((F.col("_through") > F.col("_ntrain")) & (F.col("_before") < F.col("_ntrain")))
-    in_bucket = Window.partitionBy(label, "_b").orderBy("_h", key)
-    cut = cut.withColumn("is_train", F.col("_before") + F.row_number().over(in_bucket) <= F.col("_ntrain"))
-    return decided.unionByName(cut).drop("_h", "_b", "_ntrain", "_before", "_through")
+    rows = written(df.select(F.col(_q(label)).alias("c"), F.col(_q(key)).alias("k"), _hash_key(key).alias("h")), "split-keys")
+    classes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    found = classes.limit(S.SPLIT_MOST_CLASSES + 1).collect()
+    if len(found) > S.SPLIT_MOST_CLASSES:
+        raise ValueError(f"label column {label!r} has more than {S.SPLIT_MOST_CLASSES} classes")
+    sizes = {r["c"]: r["n"] for r in found}
+    if None in sizes:
+        raise ValueError(f"label column {label!r} has {sizes[None]} missing values")
+    total = sum(sizes.values())
+    own = F.col(_q(label))
+    if sizes and (min(sizes.values()) < 2 or len(sizes) > np.rint(test_size * total)):
+        rows, own, sizes = rows.withColumn("c", F.lit(0)), F.lit(0), {0: total}
+    wanted = {c: n - int(np.rint(test_size * n)) for c, n in sizes.items()}
+    last = _cuts(rows, {c: n for c, n in wanted.items() if n}, bucket_bits)
+    train = F.lit(False)
+    h, k = _hash_key(key), F.col(_q(key))
+    for c, (cut_h, cut_k) in last.items():
+        train = F.when(own == F.lit(c), (h < cut_h) | ((h == cut_h) & (k <= cut_k))).otherwise(train)
+    return df.withColumn("is_train", train)
 
 
 def class_weights(train: DataFrame, label: str) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from lendscope import settings as S
 from lendscope.operators import features as D
 from lendscope.operators import metrics as G
+from lendscope.session import written
 
 MODEL_ORDER = ["Logistic Regression", "Random Forest", "Gradient Boosting"]
 
@@ -79,20 +79,18 @@ def train_candidates(split: DataFrame, label: str, num_features, cat_features,
     balanced = {k: n_train / (len(counts) * v) for k, v in counts.items()}
     pos_weight = counts.get(0, 0) / max(1, counts.get(1, 0))
 
+    # The learners keep their own copy of the vectors; a cache shared by fits in several threads would be dropped by
+    # the first that ends.
     base = train.withColumn("label", F.col(label).cast("double"))
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     models: dict[str, PipelineModel] = {}
-    try:
-        for name in which or MODEL_ORDER:
-            if name == "Gradient Boosting":
-                data = base.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(pos_weight)).otherwise(F.lit(1.0)))
-                est = boosted_trees()
-            else:
-                data = D.with_class_weight(base, label, balanced)
-                est = logistic(n_train) if name == "Logistic Regression" else random_forest()
-            models[name] = Pipeline(stages=_preprocess_stages(fitted) + [est]).fit(data)
-    finally:
-        base.unpersist()
+    for name in which or MODEL_ORDER:
+        if name == "Gradient Boosting":
+            data = base.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(pos_weight)).otherwise(F.lit(1.0)))
+            est = boosted_trees()
+        else:
+            data = D.with_class_weight(base, label, balanced)
+            est = logistic(n_train) if name == "Logistic Regression" else random_forest()
+        models[name] = Pipeline(stages=_preprocess_stages(fitted) + [est]).fit(data)
     return TrainedModels(fitted, models, n_train, n_test, counts.get(1, 0) / max(1, n_train), balanced)
 
 
@@ -120,8 +118,9 @@ def evaluate(trained: TrainedModels, split: DataFrame, label: str) -> DataFrame:
             F.lit(name).alias("model"), F.lit(i).alias("ordinal"), F.col(label).alias("y"),
             F.col("prob").alias("p"))
         parts = p if parts is None else parts.unionByName(p)
-    summary = G.model_summary(parts, group="model").join(parts.select("model", "ordinal").distinct(), "model")
-    return G.select_best(summary)
+    parts = written(parts, "test-scores")  # every model scores the test side once, for all metrics
+    place = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(MODEL_ORDER) for x in (n, i)]), F.col("model"))
+    return G.select_best(G.model_summary(parts, group="model").withColumn("ordinal", place))
 
 
 def feature_importance(spark, trained: TrainedModels, name: str) -> DataFrame:
@@ -135,7 +134,8 @@ def feature_importance(spark, trained: TrainedModels, name: str) -> DataFrame:
     else:
         values = [abs(v) for v in model.coefficients.toArray().tolist()]
     rows = [(n, i, float(v)) for i, (n, v) in enumerate(zip(trained.fitted.feature_names, values))]
-    return spark.createDataFrame(rows, "feature string, position int, importance double")
+    ranked = sorted(rows, key=lambda r: (-r[2], r[1]))  # highest first
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(ranked, 1)], "feature string, position int, importance double, rank int")
 
 
 def save_pipeline(model: PipelineModel, path: str) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, Nume
 from lendscope import settings as S
 from lendscope.functions.columns import r2, r3, r4
 from lendscope.functions.quantiles import exact_quantiles
+from lendscope.functions.running import running_totals
 
 # dtypes the reference's id / target heuristics accept (int64, int32, float64).
 _ID_TYPES = (LongType, IntegerType, DoubleType)
@@ -43,18 +44,21 @@ def _is_null(c: str, dtype) -> Column:
 def duplicate_stats(df: DataFrame) -> DataFrame:
     """One row: n_rows, duplicate_rows (rows after the first occurrence, NULLs equal), total_missing.
 
-    One shuffle on all columns (the grouping needed for exact duplicates);
-    row count and missing cells are summed from the grouped counts.
+    Rows are counted by a 128-bit hash of all columns (partial counts, 16 bytes a row shuffled). Whole rows are
+    compared only where a hash occurs more than once: they are grouped by all columns, again with partial counts.
     """
-    nulls_in_row = sum((F.when(_is_null(f.name, f.dataType), 1).otherwise(0) for f in df.schema.fields),
-                       F.lit(0))
-    grouped = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
-    grouped = grouped.select("_c", nulls_in_row.alias("_m"))
-    return grouped.agg(
-        F.sum("_c").cast("bigint").alias("n_rows"),
-        F.sum(F.col("_c") - F.lit(1)).cast("bigint").alias("duplicate_rows"),
-        F.sum(F.col("_c") * F.col("_m")).cast("bigint").alias("total_missing"),
-    )
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    nulls_in_row = sum((F.when(_is_null(f.name, f.dataType), 1).otherwise(0) for f in df.schema.fields), F.lit(0))
+    # a NULL is told from its neighbours by its place in the row
+    marks = [F.concat_ws("", *[F.when(c.isNull(), "0").otherwise("1") for c in cols])]
+    hashed = df.select("*", F.xxhash64(*marks, *cols).alias("_h1"), F.xxhash64(F.lit(7), *cols, *marks).alias("_h2"))
+    counted = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c"), F.sum(nulls_in_row).alias("_m"))
+    twice = counted.where("_c > 1").select("_h1", "_h2")
+    exact = hashed.join(twice, ["_h1", "_h2"], "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    again = exact.agg(F.coalesce(F.sum(F.col("_c") - F.lit(1)), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    whole = counted.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_rows"),
+                        F.coalesce(F.sum("_m"), F.lit(0)).cast("bigint").alias("total_missing"))
+    return whole.join(F.broadcast(again)).select("n_rows", "duplicate_rows", "total_missing")  # one row each
 
 
 def dataset_overview(df: DataFrame) -> DataFrame:
@@ -82,23 +86,29 @@ def missing_report(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ B5-B6
 
 def detect_id_columns(df: DataFrame) -> list[str]:
-    """Name contains an id pattern, else an int/long/double column with all values distinct.
+    """Name contains an id pattern, else an int/long/double column with all values present and distinct.
 
-    Uniqueness: one pass of approximate distinct counts over all candidates, then
-    exact distinct counts only for the few candidates that come close.
+    One pass refutes for certain: a missing value, or whole numbers in a range narrower than the rows. A repeated
+    value among some first rows refutes as well. What is left is counted exactly.
     """
     by_name = [c for c in df.columns if any(p in c.lower() for p in S.ID_COLUMN_PATTERNS)]
+    fields = {f.name: f for f in df.schema.fields}
     cands = [f.name for f in df.schema.fields
              if f.name not in by_name and isinstance(f.dataType, _ID_TYPES)]
     unique: list[str] = []
     if cands:
-        approx = df.agg(F.count(F.lit(1)).alias("_n"),
-                        *[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(c) for c in cands]).first()
-        n = approx["_n"]
-        close = [c for c in cands if approx[c] >= 0.8 * n]  # rsd 5 %: a unique column cannot fall below
-        if close:
-            exact = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in close]).first()
-            unique = [c for c in close if exact[c] == n]
+        row = df.agg(F.count(F.lit(1)).alias("_n"), *[x for i, c in enumerate(cands) for x in (
+            F.count_if(_is_null(c, fields[c].dataType)).alias(f"null{i}"),
+            (F.max(F.col(f"`{c}`")) - F.min(F.col(f"`{c}`"))).cast("double").alias(f"span{i}"))]).first()
+        n = row["_n"]
+        left = [c for i, c in enumerate(cands) if n and not row[f"null{i}"]
+                and (isinstance(fields[c].dataType, DoubleType) or row[f"span{i}"] >= n - 1)]
+        for rows in (df.select(*[F.col(f"`{c}`") for c in left]).limit(10_000), df):
+            if left:
+                exact = rows.agg(F.count(F.lit(1)).alias("_n"), *[
+                    F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(left)]).first()
+                left = [c for i, c in enumerate(left) if exact[f"d{i}"] == exact["_n"]]
+        unique = left
     return [c for c in df.columns if c in by_name or c in unique]
 
 
@@ -107,20 +117,20 @@ def detect_target_column(df: DataFrame, configured: str | None = None) -> tuple[
     numeric 0/1 column whose share of ones lies strictly inside (0.01, 0.90)."""
     if configured and configured in df.columns:
         return configured, "configured"
-    lower = {c.lower(): c for c in df.columns}
-    for cand in S.TARGET_COLUMN_CANDIDATES:
-        if cand.lower() in lower:
-            return lower[cand.lower()], "name"
-    nums = [f.name for f in df.schema.fields if isinstance(f.dataType, (LongType, IntegerType, DoubleType))]
+    named = [c for want in S.TARGET_COLUMN_CANDIDATES for c in reversed(df.columns) if c.lower() == want.lower()]
+    if named:
+        return named[0], "name"
+    nums = [f for f in df.schema.fields if isinstance(f.dataType, (LongType, IntegerType, DoubleType))]
     if not nums:
         return None, None
-    row = df.agg(*[F.count_if(~F.col(f"`{c}`").isin(0, 1)).alias(f"bad_{i}") for i, c in enumerate(nums)],
-                 *[F.avg(F.col(f"`{c}`").cast("double")).alias(f"avg_{i}") for i, c in enumerate(nums)]).first()
+    present = [F.when(~_is_null(f.name, f.dataType), F.col(f"`{f.name}`").cast("double")) for f in nums]  # NaN is missing
+    row = df.agg(*[F.count_if(~x.isin(0.0, 1.0)).alias(f"bad_{i}") for i, x in enumerate(present)],
+                 *[F.avg(x).alias(f"avg_{i}") for i, x in enumerate(present)]).first()
     lo, hi = S.TARGET_RATE_BOUNDS
-    for i, c in enumerate(nums):
+    for i, f in enumerate(nums):
         rate = row[f"avg_{i}"]
         if row[f"bad_{i}"] == 0 and rate is not None and lo < rate < hi:
-            return c, "binary"
+            return f.name, "binary"
     return None, None
 
 
@@ -189,10 +199,12 @@ def modes(counts: DataFrame) -> DataFrame:
 
 
 def categorical_schema(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """B11 exploded: one row per (feature, category) with the default (mode) flagged."""
+    """B11 exploded: one row per (feature, category) in sorted order (``position`` from 1), the default (mode) flagged."""
     counts = value_counts_long(df, columns)
-    return counts.join(modes(counts), "feature").select(
-        "feature", F.col("value").alias("category"), (F.col("value") == F.col("mode")).alias("is_default"))
+    placed = running_totals(counts.withColumn("one", F.lit(1)), ["feature", "value"], {"place": "one"}, "categories")
+    return placed.join(placed.groupBy("feature").agg(F.min("place").alias("first")), "feature").join(modes(counts), "feature").select(
+        "feature", F.col("value").alias("category"), (F.col("value") == F.col("mode")).alias("is_default"),
+        (F.col("place") - F.col("first") + 1).cast("int").alias("position"))
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:

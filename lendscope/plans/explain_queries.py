@@ -70,9 +70,9 @@ def q_linear_attribution(spark, sf):
 @query("top_features", f"""
 select {_PRETTY.format(c='feature')} as feature, feature as raw_feature, position, {sql_r4('abs(w)')} as importance,
        cast(rank as integer) as rank
-from (select *, row_number() over (order by round_even(abs(w) * 10000.0E0, 0) desc, position) as rank
+from (select *, row_number() over (order by round_even(abs(w) * 1e11, 0) desc, position) as rank
       from feat_weights) where rank <= 15""",
        ("feat_weights",))
 def q_top_features(spark, sf):
     _, fitted, w, _ = explained(spark, sf)
-    return I.top_features(spark, fitted.feature_names, [abs(v) for v in w])
+    return I.top_features(spark, fitted.feature_names, [round(abs(v), 11) for v in w])  # equal up to summation order: the two levels of a binary column

@@ -126,7 +126,8 @@ _CAT_COUNTS = " union all ".join(
 
 
 @query("feature_schema_categorical", f"""
-select feature, value as category, rn = 1 as is_default from (
+select feature, value as category, rn = 1 as is_default,
+  cast(row_number() over (partition by feature order by value) as integer) as position from (
   select *, row_number() over (partition by feature order by c desc, value) as rn from ({_CAT_COUNTS}))""",
        ("applicants",))
 def q_feature_schema_categorical(spark, sf):

@@ -138,7 +138,8 @@ def q_explorer_preview(spark, sf):
     return L.explorer_preview(T.applicants(spark, sf), "loan_id", "loan_intent", PREVIEW_VALUES)
 
 
-@query("filter_values", "select distinct loan_intent from applicants where loan_intent is not null",
+@query("filter_values", "select loan_intent, cast(row_number() over (order by loan_intent) as integer) as position "
+       "from (select distinct loan_intent from applicants where loan_intent is not null)",
        ("applicants",))
 def q_filter_values(spark, sf):
     return L.filter_values(T.applicants(spark, sf), "loan_intent")

@@ -8,7 +8,7 @@ from lendscope.sources import csv as CSV
 from lendscope.sources import tables as T
 
 
-@query("csv_scan", "select n_nationkey, n_name, n_regionkey from nation")
+@query("csv_scan", "select cast(n_nationkey as bigint) as n_nationkey, n_name, cast(n_regionkey as bigint) as n_regionkey from nation")
 def q_csv_scan(spark, sf):
     path = scratch_path(spark, f"csv/{slug(sf)}/nation")
     CSV.write_csv(T.read_table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
@@ -16,10 +16,10 @@ def q_csv_scan(spark, sf):
 
 
 @query("csv_roundtrip_applicants", """
-select cast(loan_id as integer) as loan_id, cast(person_age as integer) as person_age,
-       cast(person_income as integer) as person_income, person_emp_length, loan_intent, loan_grade,
-       cast(loan_amnt as integer) as loan_amnt, loan_int_rate, loan_percent_income, cb_person_default_on_file,
-       cast(cb_person_cred_hist_length as integer) as cb_person_cred_hist_length, loan_status
+select loan_id, person_age,
+       person_income, person_emp_length, loan_intent, loan_grade,
+       loan_amnt, loan_int_rate, loan_percent_income, cb_person_default_on_file,
+       cb_person_cred_hist_length, cast(loan_status as bigint) as loan_status
 from applicants""", ("applicants",))
 def q_csv_roundtrip_applicants(spark, sf):
     """Applicants with NULLs written as CSV and read back: NULLs and doubles survive, types re-inferred."""

@@ -156,7 +156,10 @@ BOOST_SUBSAMPLE = 0.8
 
 # Hash bits per class of the stratified split's bucket table (2^bits rows per class at most).
 SPLIT_BUCKET_BITS = 16
-# Exact quantiles: sketch accuracy (rank error 1 / accuracy) and window margin in units of it.
+# Classes of a label that a split or a fit accepts, and categories of a one-hot column.
+SPLIT_MOST_CLASSES = 100
+MOST_LEVELS = 1000
+# Exact quantiles: marks that divide a window, values that the last window holds, windows at most.
 QUANTILE_MARKS = 1024
 QUANTILE_FEW = 4096
 QUANTILE_MOST_WINDOWS = 100_000

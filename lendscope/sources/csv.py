@@ -1,17 +1,14 @@
 """CSV source and sink (A1, A2) with the missing-value tokens of the pandas reader.
 
-``spark.read.csv`` takes one ``nullValue``; the reference's reader treats a list
-of tokens as missing and then infers the column type from what is left. Here:
-read with a header and type inference, turn the tokens into NULL in string
-columns, and cast a string column that became fully numeric (one aggregate
-pass decides which) to ``bigint`` or ``double``.
+``spark.read.csv`` takes one ``nullValue``; here a list of tokens is missing, and
+column types follow from what is left (one aggregate pass decides). Options are
+explicit, so a file means the same whatever the session's defaults are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The default missing-value tokens of the pandas CSV reader.
 NA_TOKENS = [
@@ -20,31 +17,41 @@ NA_TOKENS = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, full type inference, NA tokens -> NULL. ``path`` may be a file, folder or glob."""
-    raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    strings = [f.name for f in raw.schema.fields if isinstance(f.dataType, StringType)]
-    if not strings:
-        return raw
-    cleaned = raw.withColumns({
-        c: F.when(F.trim(F.col(f"`{c}`")).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(f"`{c}`"))
-        for c in strings})
-    # One pass: which string columns are numeric once the tokens are gone, and are they integral?
+# What the pandas reader takes as a number or a truth value.
+NUMBER = r"^[ \t]*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|inf|infinity|Inf|Infinity)[ \t]*$"
+WHOLE = r"^[ \t]*[+-]?\d{1,18}[ \t]*$"
+TRUTH = ["True", "TRUE", "true", "False", "FALSE", "false"]
+
+
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Header row, quoted fields with doubled quotes, NA tokens (taken exactly) -> NULL, types from what is left.
+
+    A column becomes ``bigint``, ``double`` or ``boolean`` when all its values are; everything else, dates included,
+    stays a string. Missing values are NULL, never NaN. ``path`` may be a file, folder or glob. Fields may hold line
+    breaks; a file is then read by one task. ``multiline=False`` splits files, for data known to hold none.
+    """
+    raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+           .option("multiLine", multiline).csv(path))
+    cleaned = raw.select(*[F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    # One pass: what is every column, once the tokens are gone?
     checks = []
-    for i, c in enumerate(strings):
+    for i, c in enumerate(raw.columns):
         v = F.col(f"`{c}`")
-        d = v.try_cast("double")
-        checks += [F.count_if(v.isNotNull() & d.isNull()).alias(f"bad{i}"),
-                   F.count_if(v.isNotNull()).alias(f"nn{i}"),
-                   F.count_if(d.isNotNull() & v.try_cast("bigint").isNull()).alias(f"frac{i}")]
-    row = cleaned.agg(*checks).first()
+        checks += [F.count(v).alias(f"n{i}"), F.count_if(v.rlike(NUMBER)).alias(f"number{i}"),
+                   F.count_if(v.rlike(WHOLE)).alias(f"whole{i}"), F.count_if(v.isin(TRUTH)).alias(f"truth{i}")]
+    row = cleaned.agg(*checks).first() if checks else {}
     casts = {}
-    for i, c in enumerate(strings):
-        if row[f"nn{i}"] > 0 and row[f"bad{i}"] == 0:
-            casts[c] = F.col(f"`{c}`").try_cast("bigint" if row[f"frac{i}"] == 0 else "double")
+    for i, c in enumerate(raw.columns):
+        n, v = row[f"n{i}"], F.trim(F.col(f"`{c}`"))
+        if n and row[f"whole{i}"] == n:
+            casts[c] = v.cast("bigint")
+        elif n and row[f"number{i}"] == n:
+            casts[c] = v.cast("double")
+        elif n and row[f"truth{i}"] == n:
+            casts[c] = v.cast("boolean")
     return cleaned.withColumns(casts) if casts else cleaned
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A2: header row, no index column; one file per partition under ``path``."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A2: header row, no index column, quotes doubled inside quoted fields; one file per partition under ``path``."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
