@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.llm import textvec as tv
@@ -25,6 +25,10 @@ from lendscope.llm.common import fresh, stage
 
 COORDINATES, ROWS, MATCHES = 32, 3, 5
 PREFIX = COORDINATES - MATCHES + 1
+#: Low bits of a posting list's number, which name its coordinate.
+COORDINATE_MASK = (1 << (COORDINATES - 1).bit_length()) - 1
+#: Words of 64 bits of the filters that are broadcast (4 MB): rows whose key's bit is not set take no part in a join.
+FILTER_WORDS = 1 << 18
 #: Members of a posting list that one block holds.
 BLOCK = 512
 #: Columns of the incidence matrix that one product takes.
@@ -83,7 +87,7 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if m < 2:
             continue
         sig = tv.list_values(group["sig"].chunk(0))[0].reshape(m, COORDINATES)
-        coord, block = group["coord"][0].as_py(), group["block"].to_numpy()
+        coord, block = group["list"][0].as_py() & COORDINATE_MASK, group["block"].to_numpy()
         across = group["i"][0].as_py() != group["j"][0].as_py()
         mate = np.zeros(m, dtype=bool)
         for a in range(0, m, 128):
@@ -161,6 +165,25 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return links
 
 
+def _bit(key: Column) -> tuple[Column, Column]:
+    """Word and bit of a key in a filter."""
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
+    return F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+
+
+def only_keys(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not in ``wanted`` (one column of keys); an exact join must follow.
+
+    The filter has ``FILTER_WORDS`` rows at most, whatever the number of keys. When it fills up it lets more rows
+    through and the join sees more of them; results do not change.
+    """
+    word, bit = _bit(wanted[wanted.columns[0]])
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    word, bit = _bit(df[key])
+    return (df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+            .where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*df.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of ``edges`` (a, b): the smallest id reachable. Large-star, small-star rounds."""
     def measure(e: DataFrame) -> tuple:
@@ -196,20 +219,20 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     described = stage(rows.mapInArrow(_describe, "id long, n long, d1 long, d2 long, sig array<long>"), "near-described")
     classes = stage(described.where("n > 0 and id is not null").groupBy("d1", "d2").agg(
         F.min("id").alias("cid"), F.first("sig").alias("sig")), "near-classes")
-    posted = classes.select("cid", "d1", F.posexplode(F.slice("sig", 1, PREFIX)).alias("coord", "value")).select(
-        "cid", "d1", "coord", F.xxhash64("coord", "value").alias("list"))
+    # a list's number: hash of coordinate and value, its low bits the coordinate
+    number = F.xxhash64("coord", "value").bitwiseAND(F.lit(~COORDINATE_MASK)).bitwiseOR(F.col("coord").cast("long"))
+    posted = classes.select("cid", F.posexplode(F.slice("sig", 1, PREFIX)).alias("coord", "value")).select("cid", number.alias("list"))
     lists = stage(posted.groupBy("list").agg(F.count(F.lit(1)).alias("length")).where("length > 1"), "near-lists")
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    met = (posted.join(lists, "list").withColumn("blocks", blocks)
-           .withColumn("block", F.pmod(F.xxhash64("cid", "d1"), F.col("blocks")).cast("int"))
+    met = (only_keys(posted, "list", lists.select("list")).join(lists, "list").withColumn("blocks", blocks)
+           .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "coord", "block", "cid", "d1"))
-    met = (met.join(classes.select("cid", "d1", "sig"), ["cid", "d1"])
+           .select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid"))
+    met = (met.join(classes.select("cid", "d1", "sig"), "cid")
            .repartition("list", "i", "j").sortWithinPartitions("list", "i", "j"))
     held = stage(met.mapInArrow(_partners, "list long, i int, j int, cid long, d1 long"), "near-retained")
-    wanted = held.select("cid").distinct()
-    sets = (rows.join(wanted, F.col("id") == F.col("cid"), "left_semi")
-            .mapInArrow(_sets, "cid long, d1 long, shingles array<long>").dropDuplicates(["cid", "d1"]))
+    sets = only_keys(rows, "id", held.select("cid")).mapInArrow(
+        _sets, "cid long, d1 long, shingles array<long>").dropDuplicates(["cid", "d1"])
     full = held.join(sets, ["cid", "d1"]).repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
     reached = components(full.mapInArrow(_confirm(percent), "a long, b long"))
     known = (classes.select("d1", "d2", "cid").join(reached, F.col("cid") == reached["id"], "left")
