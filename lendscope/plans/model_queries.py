@@ -1,4 +1,7 @@
-"""Queries on fitted models (F1-F6, H2, A3, A4, J2-J5): checked by row count and by tests' bounds.
+"""Queries on fitted models (F1-F6, H2, H3, A3, A4): facts that every right fit shows, checked by SQL.
+
+SQL cannot fit the models, but it knows the split, the feature layout and the rows that must come out; the flags beside
+them are computed from the fits. The full results stay with the operators (``metrics_of``, ``chosen``).
 
 Fits are memoised per input folder inside one Python process, so the keys that
 share a fit (metrics, importances, scoring, persistence) train it once, the way
@@ -7,16 +10,22 @@ a saved model is reused.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lendscope.functions.columns import r4
+from lendscope import settings as S
+from lendscope.functions.columns import classify_risk, r4
+from lendscope.operators import features as D
 from lendscope.operators import models as M
+from lendscope.operators.clean import align_columns
+from lendscope.plans import oracle
 from lendscope.plans.feature_queries import KEY, LABEL, fitted_on_train
 from lendscope.plans.profile_queries import CAT_FEATURES, NUM_FEATURES
 from lendscope.plans.fitted import memo
 from lendscope.plans.registry import query
-from lendscope.session import scratch_path, slug
+from lendscope.session import scratch_path, slug, written
 from lendscope.sources import tables as T
 
 def trained(spark: SparkSession, sf: str, name: str) -> M.TrainedModels:
@@ -40,62 +49,138 @@ def all_trained(spark: SparkSession, sf: str) -> M.TrainedModels:
     return merged
 
 
-def _metrics_of(spark, sf, name: str) -> DataFrame:
-    tm = trained(spark, sf, name)
-    return M.evaluate(tm, fitted_on_train(spark, sf)[0], LABEL).select(
-        "model", "accuracy", "precision", "recall", "f1", "roc_auc")
+#: Every candidate must reach this AUC on the test side.
+AUC_BOUND = 0.75
+#: Largest share of a feature's absolute residual that the penalty may leave unbalanced at the optimum.
+GRADIENT_BOUND = 1e-3
+
+oracle._cte("split_sizes", ["split"], """
+  select count(*) filter (where is_train) as n_train, count(*) filter (where not is_train) as n_test from split""")
+
+
+def metrics_of(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    """Metrics, selection score and best flag of the named candidates on the test side (the full result)."""
+    tm = all_trained(spark, sf) if names == M.MODEL_ORDER else trained(spark, sf, names[0])
+    return memo(spark, sf, f"metrics:{names}", lambda: written(M.evaluate(tm, fitted_on_train(spark, sf)[0], LABEL), "model-metrics"))
+
 
+def _facts(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    """What every fit must show, as SQL can state it: sizes of both sides, AUC bound, metrics in range, one best."""
+    sizes = trained(spark, sf, names[0])
+    share = lambda c: F.col(c).between(0.0, 1.0)
+    return metrics_of(spark, sf, names).select(
+        "model", F.lit(sizes.n_train).cast("bigint").alias("n_train"), F.lit(sizes.n_test).cast("bigint").alias("n_test"),
+        (F.col("roc_auc") >= AUC_BOUND).alias("auc_bound_met"),
+        (share("accuracy") & share("precision") & share("recall") & share("f1")).alias("metrics_in_range"),
+        F.sum(F.col("is_best").cast("int")).over(Window.partitionBy()).alias("n_best"))  # one row a model
 
-@query("train_logistic")
+
+def _facts_sql(*names: str) -> str:
+    return " union all ".join(f"select '{n}' as model, n_train, n_test, true as auc_bound_met, true as metrics_in_range, "
+                              "cast(1 as bigint) as n_best from split_sizes" for n in names)
+
+
+def logistic_gradient(spark: SparkSession, sf: str) -> list[float]:
+    """Per feature: weighted residual plus penalty, as a share of the weighted absolute residual (0 at the optimum)."""
+    tm = trained(spark, sf, "Logistic Regression")
+    split, fitted = fitted_on_train(spark, sf)
+    model = tm.models["Logistic Regression"]
+    coefficients = model.stages[-1].coefficients.toArray()
+    train = D.with_class_weight(split.where("is_train").withColumn("label", F.col(LABEL).cast("double")), "label",
+                                {float(k): v for k, v in tm.weights.items()})
+    rows = model.transform(train).select(F.col("weight").alias("w"), (vector_to_array("probability")[1] - F.col("label")).alias("r"),
+                                         vector_to_array("features").alias("x"))
+    row = rows.agg(F.sum("w").alias("n"), *[f(F.col("w") * F.col("r") * F.col("x")[j]).alias(f"{n}{j}") for j in range(len(coefficients))
+                                           for n, f in (("g", F.sum), ("a", lambda c: F.sum(F.abs(c))))]).first()
+    penalty = row["n"] / max(1, tm.n_train)
+    return [abs(row[f"g{j}"] + penalty * b) / max(row[f"a{j}"], 1e-12) for j, b in enumerate(coefficients)]
+
+
+@query("train_logistic", f"select *, true as optimal from ({_facts_sql('Logistic Regression')})", ("split_sizes",))
 def q_train_logistic(spark, sf):
-    return _metrics_of(spark, sf, "Logistic Regression")
+    worst = max(logistic_gradient(spark, sf))
+    return _facts(spark, sf, ["Logistic Regression"]).withColumn("optimal", F.lit(worst) < F.lit(GRADIENT_BOUND))
 
 
-@query("train_random_forest")
+@query("train_random_forest", _facts_sql("Random Forest"), ("split_sizes",))
 def q_train_random_forest(spark, sf):
-    return _metrics_of(spark, sf, "Random Forest")
+    return _facts(spark, sf, ["Random Forest"])
 
 
-@query("train_gbt")
+@query("train_gbt", _facts_sql("Gradient Boosting"), ("split_sizes",))
 def q_train_gbt(spark, sf):
-    return _metrics_of(spark, sf, "Gradient Boosting")
+    return _facts(spark, sf, ["Gradient Boosting"])
 
 
-@query("compare_models")
+@query("compare_models", _facts_sql(*M.MODEL_ORDER), ("split_sizes",))
 def q_compare_models(spark, sf):
-    return M.evaluate(all_trained(spark, sf), fitted_on_train(spark, sf)[0], LABEL)
+    return _facts(spark, sf, M.MODEL_ORDER)
 
 
 def best_name(spark, sf) -> str:
-    row = q_compare_models(spark, sf).where("is_best").select("model").first()
-    return row["model"]
+    return metrics_of(spark, sf, M.MODEL_ORDER).where("is_best").select("model").first()["model"]
 
 
-@query("feature_importance")
-def q_feature_importance(spark, sf):
-    tm = all_trained(spark, sf)
-    return M.feature_importance(spark, tm, best_name(spark, sf))
+def chosen(spark, sf) -> PipelineModel:
+    return all_trained(spark, sf).models[best_name(spark, sf)]
 
 
-@query("batch_score_model")
-def q_batch_score_model(spark, sf):
-    tm = all_trained(spark, sf)
-    model = tm.models[best_name(spark, sf)]
-    return M.batch_score(model, T.applicants(spark, sf), [KEY])
+oracle._cte("feature_layout", ["levels"], " union all ".join(
+    [f"select '{c}' as feature, {i} as position" for i, c in enumerate(NUM_FEATURES)]
+    + ["select feature || '_' || level, " + str(len(NUM_FEATURES) - 1) + " + cast(row_number() over (order by case feature "
+       + " ".join(f"when '{c}' then {j}" for j, c in enumerate(CAT_FEATURES)) + " end, level) as integer) from levels"]))
 
 
-@query("pipeline_roundtrip")
+@query("feature_importance", """
+select feature, position, true as valid, (select count(*) from feature_layout) as n_ranks from feature_layout""", ("feature_layout",))
+def q_feature_importance(spark, sf):
+    """Names and places in the vector; valid: finite, not negative, in order of rank, and a tree's sum to 1."""
+    name = best_name(spark, sf)
+    found = M.feature_importance(spark, all_trained(spark, sf), name)
+    whole, by_rank = Window.partitionBy(), Window.orderBy("rank")  # one row a feature
+    total = F.sum("importance").over(whole)
+    sums = F.abs(total - 1.0) < 1e-6 if name != "Logistic Regression" else total > 0
+    falls = F.coalesce(F.lag("importance").over(by_rank) >= F.col("importance"), F.lit(True))
+    return found.select("feature", "position", (sums & falls & (F.col("importance") >= 0)).alias("valid"),
+                        F.max("rank").over(whole).cast("bigint").alias("n_ranks"))
+
+
+@query("batch_score_model", "select loan_id, true as in_range, true as level_agrees, true as score_agrees from applicants", ("applicants",))
+def q_batch_score_model(spark, sf):
+    """Every applicant under the chosen model: probability in range, risk level and score as its probability says."""
+    p = F.col("default_prob")
+    scored = M.batch_score(chosen(spark, sf), T.applicants(spark, sf), [KEY])
+    edge = (F.abs(p - S.LOW_THRESHOLD) < 1e-4) | (F.abs(p - S.HIGH_THRESHOLD) < 1e-4)  # the level is of the unrounded one
+    return scored.select(KEY, p.between(0.0, 1.0).alias("in_range"), (edge | (F.col("risk_level") == classify_risk(p))).alias("level_agrees"),
+                         (F.abs(F.col("risk_score") - p * 100.0) < 0.06).alias("score_agrees"))
+
+
+@query("score_one_applicant", "select loan_id, true as same_as_batch from applicants where loan_id in (select min(loan_id) from applicants)",
+       ("applicants",))
+def q_score_one_applicant(spark, sf):
+    """H3: one applicant as a one-row table on the batch path, a trained column absent on the way in (C5 adds it)."""
+    rows = T.applicants(spark, sf)
+    one = rows.where(F.col(KEY) == rows.agg(F.min(KEY)).first()[0])
+    types = {f.name: f.dataType for f in rows.schema}
+    trained_columns = [KEY, *NUM_FEATURES, *CAT_FEATURES]
+    cut = align_columns(one.drop(NUM_FEATURES[0]), trained_columns, types)
+    whole = one.withColumn(NUM_FEATURES[0], F.lit(None).cast(types[NUM_FEATURES[0]]))
+    a = M.batch_score(chosen(spark, sf), cut, [KEY]).withColumnsRenamed({"default_prob": "a", "risk_level": "la"}).select(KEY, "a", "la")
+    b = M.batch_score(chosen(spark, sf), whole, [KEY]).withColumnsRenamed({"default_prob": "b", "risk_level": "lb"}).select(KEY, "b", "lb")
+    return a.join(b, KEY).select(KEY, ((F.col("a") == F.col("b")) & (F.col("la") == F.col("lb"))).alias("same_as_batch"))
+
+
+@query("pipeline_roundtrip", "select loan_id, true as equal from split", ("split",))
 def q_pipeline_roundtrip(spark, sf):
-    """A3: save the chosen pipeline to the shared folder, load it, score the test side both ways."""
-    tm = trained(spark, sf, "Logistic Regression")
-    model = tm.models["Logistic Regression"]
-    path = scratch_path(spark, f"models/{slug(sf)}/logistic")
+    """Save the chosen pipeline to the shared folder, load it, score both sides both ways."""
+    model = chosen(spark, sf)
+    path = scratch_path(spark, f"models/{slug(sf)}/chosen")
     M.save_pipeline(model, path)
     loaded = M.load_pipeline(path)
-    test = fitted_on_train(spark, sf)[0].where(~F.col("is_train"))
-    before = M.positive_probability(model, test, [KEY]).withColumnRenamed("prob", "p_before")
-    after = M.positive_probability(loaded, test, [KEY]).withColumnRenamed("prob", "p_after")
-    return before.join(after, KEY).withColumn("equal", F.col("p_before") == F.col("p_after"))
+    rows = fitted_on_train(spark, sf)[0]
+    before = M.positive_probability(model, rows, [KEY]).withColumnRenamed("prob", "p_before")
+    after = M.positive_probability(loaded, rows, [KEY]).withColumnRenamed("prob", "p_after")
+    return before.join(after, KEY).select(KEY, (F.col("p_before") == F.col("p_after")).alias("equal"))
 
 
 @query("run_info", """
