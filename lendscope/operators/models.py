@@ -107,20 +107,27 @@ def batch_score(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFra
     return with_risk(positive_probability(model, df, keep), "prob").drop("prob")
 
 
-def evaluate(trained: TrainedModels, split: DataFrame, label: str) -> DataFrame:
-    """Test-side metrics of every candidate, selection score and best flag."""
+def test_scores(trained: TrainedModels, split: DataFrame, label: str) -> DataFrame:
+    """(model, y, p): every candidate's unrounded test-side scores, computed once (written table)."""
     test = split.where(~F.col("is_train"))
     parts = None
-    for i, name in enumerate(MODEL_ORDER):
-        if name not in trained.models:
-            continue
-        p = positive_probability(trained.models[name], test, [label]).select(
-            F.lit(name).alias("model"), F.lit(i).alias("ordinal"), F.col(label).alias("y"),
-            F.col("prob").alias("p"))
-        parts = p if parts is None else parts.unionByName(p)
-    parts = written(parts, "test-scores")  # every model scores the test side once, for all metrics
+    for name in MODEL_ORDER:
+        if name in trained.models:
+            p = positive_probability(trained.models[name], test, [label]).select(
+                F.lit(name).alias("model"), F.col(label).alias("y"), F.col("prob").alias("p"))
+            parts = p if parts is None else parts.unionByName(p)
+    return written(parts, "test-scores")
+
+
+def evaluate_scores(scores: DataFrame) -> DataFrame:
+    """Metrics of every candidate, selection score and best flag."""
     place = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(MODEL_ORDER) for x in (n, i)]), F.col("model"))
-    return G.select_best(G.model_summary(parts, group="model").withColumn("ordinal", place))
+    return G.select_best(G.model_summary(scores, group="model").withColumn("ordinal", place))
+
+
+def evaluate(trained: TrainedModels, split: DataFrame, label: str) -> DataFrame:
+    """Test-side metrics of every candidate, selection score and best flag."""
+    return evaluate_scores(test_scores(trained, split, label))
 
 
 def feature_importance(spark, trained: TrainedModels, name: str) -> DataFrame:

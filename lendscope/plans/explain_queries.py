@@ -32,7 +32,7 @@ oracle._cte("contrib", ["matrix_long", "feat_weights"], """
          w.w * (m.value - w.mu) as attribution
   from matrix_long m join feat_weights w on w.feature = m.feature""")
 
-_PRETTY = ("array_to_string(list_transform(string_split(replace(replace(replace(replace({c}, 'num__', ''), "
+PRETTY_SQL = ("array_to_string(list_transform(string_split(replace(replace(replace(replace({c}, 'num__', ''), "
            "'cat__', ''), '_', ' '), '  ', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')")
 
 
@@ -45,7 +45,7 @@ def q_contributions(spark, sf):
 
 
 @query("top_risk_factors", f"""
-select loan_id, direction, cast(rank as integer) as rank, {_PRETTY.format(c='raw_feature')} as feature, raw_feature,
+select loan_id, direction, cast(rank as integer) as rank, {PRETTY_SQL.format(c='raw_feature')} as feature, raw_feature,
        {sql_r4('contribution')} as contribution,
        case when direction = 'risk' then 'Contributing factor toward higher predicted risk.'
             else 'Contributing factor toward lower predicted risk.' end as description
@@ -68,7 +68,7 @@ def q_linear_attribution(spark, sf):
 
 
 @query("top_features", f"""
-select {_PRETTY.format(c='feature')} as feature, feature as raw_feature, position, {sql_r4('abs(w)')} as importance,
+select {PRETTY_SQL.format(c='feature')} as feature, feature as raw_feature, position, {sql_r4('abs(w)')} as importance,
        cast(rank as integer) as rank
 from (select *, row_number() over (order by round_even(abs(w) * 1e11, 0) desc, position) as rank
       from feat_weights) where rank <= 15""",

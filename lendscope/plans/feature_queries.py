@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.columns import r4
 from lendscope.operators import features as D
+from lendscope.operators import training as TR
 from lendscope.plans import oracle
 from lendscope.plans.oracle import r4 as sql_r4
 from lendscope.plans.profile_queries import CAT_FEATURES, NUM_FEATURES
@@ -32,6 +33,11 @@ def fitted_on_train(spark: SparkSession, sf: str) -> tuple[DataFrame, D.FittedFe
     return memo(spark, sf, "train_features", fit)
 
 
+def prepared(spark: SparkSession, sf: str) -> TR.Prepared:
+    """The applicant table, prepared end to end from detected roles (once per session and input)."""
+    return memo(spark, sf, "prepared", lambda: TR.prepare(T.applicants(spark, sf)))
+
+
 # ------------------------------------------------------------------ oracle CTEs
 
 oracle._cte("split", ["applicants"], """
@@ -134,7 +140,8 @@ select case when is_train then 'train' else 'test' end as side, feature, count(*
        {sql_r4('avg(value)')} as mean, {sql_r4('stddev_pop(value)')} as std
 from matrix_long group by is_train, feature""", ("matrix_long",))
 def q_prepare_features(spark, sf):
-    split, fitted = fitted_on_train(spark, sf)
-    long = D.matrix_long(split, fitted, KEY, ["is_train"])
+    """D9 on the raw applicant table: target, id and roles are found, not given."""
+    ready = prepared(spark, sf)
+    long = D.matrix_long(ready.split, ready.fitted, ready.key, ["is_train"])
     return long.groupBy(F.when(F.col("is_train"), "train").otherwise("test").alias("side"), "feature").agg(
         F.count(F.lit(1)).alias("n"), r4(F.avg("value")).alias("mean"), r4(F.stddev_pop("value")).alias("std"))

@@ -19,9 +19,10 @@ from lendscope import settings as S
 from lendscope.functions.columns import classify_risk, r4
 from lendscope.operators import features as D
 from lendscope.operators import models as M
+from lendscope.operators import training as TR
 from lendscope.operators.clean import align_columns
 from lendscope.plans import oracle
-from lendscope.plans.feature_queries import KEY, LABEL, fitted_on_train
+from lendscope.plans.feature_queries import KEY, LABEL, fitted_on_train, prepared
 from lendscope.plans.profile_queries import CAT_FEATURES, NUM_FEATURES
 from lendscope.plans.fitted import memo
 from lendscope.plans.registry import query
@@ -199,3 +200,26 @@ def q_run_info(spark, sf):
     info.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
+
+
+@query("train_tables", """
+select 'model_metrics' as name, cast(3 as bigint) as n_rows, true as sound union all
+select 'roc_points', cast(3 as bigint), true union all
+select 'feature_importance', (select count(*) from feature_layout), true union all
+select 'run_info', (select n_train + n_test from split_sizes), true""", ("feature_layout", "split_sizes"))
+def q_train_tables(spark, sf):
+    """The four tables that training writes, read back: their rows (curves; features; rows split) and soundness."""
+    path = scratch_path(spark, f"train/{slug(sf)}")
+    best = TR.train(prepared(spark, sf), path, all_trained(spark, sf))
+    metrics, points, importance, info = (spark.read.parquet(f"{path}/{name}") for name in TR.TABLES)
+    fact = lambda name, df, n, sound: df.agg(F.lit(name).alias("name"), n.cast("bigint").alias("n_rows"), sound.alias("sound"))
+    whole = F.count_if((F.col("fpr") == 0) & (F.col("tpr") == 0) & F.col("threshold").isNull()) == F.count_if((F.col("fpr") == 1) & (F.col("tpr") == 1))
+    sizes = F.max(F.col("n_train") + F.col("n_test"))
+    parts = [fact("model_metrics", metrics, F.count(F.lit(1)), F.count_if(F.col("is_best")) == 1),
+             fact("roc_points", points, F.count_distinct("model"), whole),
+             fact("feature_importance", importance, F.count(F.lit(1)), F.count_if(F.col("importance").isNull()) == 0),
+             fact("run_info", info, sizes, (F.max("best_model") == best) & (F.max(F.size("feature_names")) == F.max("n_features")))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
