@@ -80,12 +80,10 @@ def q_train_test_split(spark, sf):
         F.sum("person_income").cast("bigint").alias("income_sum"))
 
 
-@query("median_impute", f"""
-select loan_id, {sql_r4('person_emp_length')} as person_emp_length, {sql_r4('loan_int_rate')} as loan_int_rate
-from imputed""", ("imputed",))
+@query("median_impute", "select loan_id, " + ", ".join(f"{sql_r4(c)} as {c}" for c in NUM_FEATURES) + " from imputed", ("imputed",))
 def q_median_impute(spark, sf):
     split, fitted = fitted_on_train(spark, sf)
-    return split.select(KEY, *[r4(fitted.imputed(c)).alias(c) for c in ["person_emp_length", "loan_int_rate"]])
+    return split.select(KEY, *[r4(fitted.imputed(c)).alias(c) for c in NUM_FEATURES])
 
 
 @query("standard_scale", "select loan_id, " + ", ".join(f"{sql_r4(c)} as {c}" for c in NUM_FEATURES)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.columns import sigmoid
 from lendscope.operators.scorecard import scorecard_logit
+from lendscope.plans.fitted import memo
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -32,19 +33,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_BOOKS: dict[tuple[str, str], DataFrame] = {}
-
-
 def credit_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One loan application per order (see module doc).
 
     The DataFrame (a lazy plan, no data) is built once per session and input, so
     the queries that start from it skip re-analysing the same plan.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BOOKS:
-        _BOOKS[key] = _build_credit_book(spark, sf_dir)
-    return _BOOKS[key]
+    return memo(spark, sf_dir, "credit_book", lambda: _build_credit_book(spark, sf_dir))
 
 
 def _build_credit_book(spark: SparkSession, sf_dir: str) -> DataFrame:

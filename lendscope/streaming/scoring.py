@@ -12,21 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope import settings as S
-from lendscope.functions.columns import classify_risk, r4, sigmoid
+from lendscope.functions.columns import sigmoid
 from lendscope.operators import products as K
 from lendscope.operators import segments as J
 from lendscope.operators.scorecard import scorecard_logit
+from lendscope.operators.scoring import with_risk
 
 
 def score_applications(stream: DataFrame, labels: dict[int, str] | None = None,
                        centroids=None, space=None, top_n: int = S.DEFAULT_TOP_N) -> DataFrame:
     """Scorecard probability, risk level, optional segment + label, and top-n products per row."""
-    z = scorecard_logit()
-    out = stream.withColumns({
-        "default_prob": r4(sigmoid(z)),
-        "risk_level": classify_risk(sigmoid(z)),
-        "risk_score": F.rint(sigmoid(z) * F.lit(100.0) * F.lit(10.0)) / F.lit(10.0),
-    })
+    out = with_risk(stream, sigmoid(scorecard_logit()))
     if centroids is not None and space is not None:
         out = J.assign_nearest(out, space, centroids)
         out = J.attach_labels(out, labels or {})
