@@ -1,14 +1,16 @@
-"""Shared pieces of the training-data operators: words, written intermediate tables, global order."""
+"""Shared pieces of the training-data operators: words, sizes, names, and the library's general helpers."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lendscope.session import ensure_checkpoint_dir
+from lendscope.functions.running import running_totals
+from lendscope.session import written as stage
+
+__all__ = ["SPACES", "WORD", "fresh", "let", "running_totals", "stage", "utf8_size", "word_count", "words_of"]
 
 #: Fixed value: white space between words (space and U+0009 to U+000D).
 SPACES = " \t\n\x0b\f\r"
@@ -35,42 +37,9 @@ def utf8_size(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the session's shared checkpoint folder and read it back.
-
-    Lineage ends at files that every executor can read, so a lost executor costs a re-read.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(columns: Sequence[str], name: str) -> str:
     """A column name that clashes with none of ``columns`` (compared without case)."""
     taken = {c.lower() for c in columns}
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def running_totals(df: DataFrame, order: Sequence[str], measures: dict[str, str], name: str,
-                   peers: bool = False) -> DataFrame:
-    """Add, for each ``measures`` item (new column: measured column), the sum over all rows up to and with this one.
-
-    The total order is ``order``. Rows are dealt by ranges of that order into many parts; each part is summed by a
-    window of its own, and what earlier parts hold is added from one row a part. No task sees more than its range,
-    and no key is kept together, so a source or group with a third of all rows is simply spread over many parts.
-    With ``peers`` rows that are equal in all of ``order`` share the sum that includes them all.
-    """
-    part = "_part"
-    laid = stage(df.repartitionByRange(*[F.col(c) for c in order]).withColumn(part, F.spark_partition_id()), name)
-    totals = laid.groupBy(part).agg(*[F.sum(c).alias(f"_t_{new}") for new, c in measures.items()])
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    offsets = totals.select(
-        F.col(part), *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).cast("long").alias(f"_o_{new}") for new in measures])
-    inside = Window.partitionBy(part).orderBy(*order)
-    inside = (inside.rangeBetween if peers else inside.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
-    summed = laid.select("*", *[F.sum(c).over(inside).alias(f"_s_{new}") for new, c in measures.items()])
-    return (summed.join(offsets, part)
-            .select(*df.columns, *[(F.col(f"_s_{new}") + F.col(f"_o_{new}")).cast("long").alias(new) for new in measures]))
