@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, NumericType, StringType
 
@@ -17,6 +17,7 @@ from lendscope import settings as S
 from lendscope.functions.columns import r2, r3, r4
 from lendscope.functions.quantiles import exact_quantiles
 from lendscope.functions.running import running_totals
+from lendscope.session import written
 
 # dtypes the reference's id / target heuristics accept (int64, int32, float64).
 _ID_TYPES = (LongType, IntegerType, DoubleType)
@@ -155,8 +156,6 @@ def id_detection(df: DataFrame) -> DataFrame:
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
     """Share of each non-null class, default rate and the imbalance flag (min share < 0.15)."""
-    from pyspark.sql import Window
-
     counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("count"))
     whole = Window.partitionBy()  # over the per-class rows only (a handful)
     share = F.col("count").cast("double") / F.sum("count").over(whole).cast("double")
@@ -232,8 +231,12 @@ def describe_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # ------------------------------------------------------------------ B13
 
 def validation_report(df: DataFrame) -> DataFrame:
-    """The report as (section, name, value_num, value_text) rows; never raises."""
+    """The report as (section, name, value_num, value_text) rows; never raises.
+
+    The input is written once; detection, counts, missing values and classes then read the written columns.
+    """
     spark = df.sparkSession
+    df = written(df, "report-input")
     ids = detect_id_columns(df)
     target, _ = detect_target_column(df)
     exclude = ids + ([target] if target else [])
@@ -260,20 +263,21 @@ def validation_report(df: DataFrame) -> DataFrame:
         item("duplicates", "duplicate_rows", F.col("duplicate_rows")),
         item("missing", "total_missing", F.col("total_missing")),
     ))))
-    miss = missing_report(df)
-    parts.append(miss.select(F.lit("missing_values").alias("section"), F.col("column_name").alias("name"),
-                             F.col("missing").cast("double").alias("value_num"),
-                             F.lit(None).cast("string").alias("value_text")))
-    parts.append(miss.select(F.lit("missing_pct").alias("section"), F.col("column_name").alias("name"),
-                             F.col("missing_pct").alias("value_num"), F.lit(None).cast("string").alias("value_text")))
+    parts.append(missing_report(df).select(F.explode(F.array(
+        F.struct(F.lit("missing_values").alias("section"), F.col("column_name").alias("name"), F.col("missing").cast("double").alias("value_num"),
+                 F.lit(None).cast("string").alias("value_text")),
+        F.struct(F.lit("missing_pct").alias("section"), F.col("column_name").alias("name"), F.col("missing_pct").alias("value_num"),
+                 F.lit(None).cast("string").alias("value_text")))).alias("x")).select("x.*"))
     if target:
-        dist = target_distribution(df, target)
-        parts.append(dist.select(F.lit("target_distribution").alias("section"),
-                                 F.col(target).cast("string").alias("name"),
-                                 F.col("share").alias("value_num"), F.lit(None).cast("string").alias("value_text")))
-        parts.append(dist.select("default_rate", "class_imbalanced").distinct().select(
-            F.inline(F.array(item("target", "default_rate", F.col("default_rate")),
-                             item("target", "class_imbalanced", F.col("class_imbalanced"))))))
+        # the class rows, and on the first of them the two values of the whole
+        first = F.col(target) == F.min(F.col(target)).over(Window.partitionBy())  # one row for each class
+        none = F.lit(None).cast("string").alias("value_text")
+        rows = F.array(
+            F.struct(F.lit("target_distribution").alias("section"), F.col(target).cast("string").alias("name"), F.col("share").alias("value_num"), none),
+            F.when(F.col("_first"), item("target", "default_rate", F.col("default_rate"))),
+            F.when(F.col("_first"), item("target", "class_imbalanced", F.col("class_imbalanced"))))
+        parts.append(target_distribution(df, target).withColumn("_first", first)
+                     .select(F.explode(F.filter(rows, lambda e: e.isNotNull())).alias("x")).select("x.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
