@@ -52,7 +52,66 @@ whole as (select doc_id, summed.source, size, source_size, target, reach, floor(
 times as (select *, case when source_size = 0 then 1 else least(full_epochs
                     + (case when reach - size::double / 2 < target - full_epochs * source_size then 1 else 0 end), 2) end::int epochs from whole)"""
 
+#: Components of near duplicates of ``{{rows}}`` (doc_id, text) at ``{{percent}}`` per cent, by comparing all pairs that share a shingle.
+NEAR = r"""
+lowered as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') ws from ({rows})),
+shingle as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') s from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) i
+            from lowered where len(ws) > 0)),
+sized as (select lowered.doc_id, count(s)::bigint n from lowered left join shingle using (doc_id) group by lowered.doc_id),
+pair as (select a.doc_id x, b.doc_id y, count(*) both_have from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (select x, y from pair join sized sx on sx.doc_id = x join sized sy on sy.doc_id = y
+         where 100 * both_have >= {percent} * (sx.n + sy.n - both_have)),
+edge as (select x, y from link union select y, x from link),
+reach as (select doc_id origin, doc_id there from sized union select origin, y from reach join edge on there = x),
+near as (select doc_id, n n_shingles, min(there)::bigint component_id from sized join reach on origin = doc_id group by doc_id, n)"""
+
+
+
+def _crc_table() -> str:
+    """The 256 table entries of CRC-32 (reversed polynomial 0xEDB88320), eight hexadecimal digits each."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(f"{c:08x}")
+    return "".join(out)
+
+
+#: Shards of the groups of equal texts: binary search of the capacity, a greedy pass folded into one number
+#: (shards before the current one above 44 bits, its fill below), then the greedy pass itself.
+#: CRC-32 is folded byte by byte.
+SHARDS = """
+summed as (select t, xor(list_reduce([4294967295::bigint] || list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::bigint),
+                                     lambda c, b: xor(('0x' || substr('CRC_TABLE', (xor(c, b) & 255) * 8 + 1, 8))::bigint, c >> 8)), 4294967295)::bigint text_crc32
+           from (select distinct coalesce(text, '') t from documents)),
+sized as (select doc_id, coalesce(text, '') t, strlen(coalesce(text, ''))::bigint + 1 size from documents),
+grouped as (select t, min(doc_id) lead, sum(size)::bigint w from sized group by t),
+placed as (select lead, t, w, row_number() over (order by lead) i from grouped),
+whole as (select list(w order by i) ws, sum(w)::bigint total, count(*) n from placed),
+search as (
+  select 0::bigint lo, total hi, 0 step from whole
+  union all
+  select case when fits then lo else mid end, case when fits then mid else hi end, step + 1 from (
+    select lo, hi, step, mid, (list_reduce(ws, lambda a, w: case when (a & 17592186044415) + w > mid
+                                           then (((a >> 44) + 1) << 44) + w else a + w end) >> 44) + 1 <= 16 fits
+    from (select lo, hi, step, (lo + hi) // 2 mid, ws from search, whole where hi - lo > 1))),
+capacity as (select min(hi) c from search),
+prefix as (select i, sum(w) over (order by i)::bigint r from placed),
+cuts as (
+  select 0 shard, 0::bigint after, 0::bigint r union all
+  select shard + 1, next.i, next.r from (
+    select shard, (select greatest(coalesce(max(p.i), 0), cuts.after + 1) from prefix p where p.r <= cuts.r + c) i from cuts, capacity
+    where cuts.after < (select n from whole)) step join prefix next on next.i = step.i),
+pass as (select p.i, max(cuts.shard) shard from prefix p join cuts on cuts.after < p.i group by p.i)"""
+
 SQL: dict[str, str] = {
+    "op7_sharding": "with recursive " + SHARDS.replace("CRC_TABLE", _crc_table()) + """
+select doc_id, size, text_crc32, 'bytes' law, shard,
+       row_number() over (partition by shard order by lead, doc_id) - 1 slot, null::integer grown_shard
+from sized join placed using (t) join pass using (i) join summed using (t)""",
+    "op2_near_dedup": "with recursive " + NEAR.format(rows="select doc_id, text from documents", percent=85) + """
+select doc_id, n_shingles, component_id, doc_id = component_id kept from near""",
     "op4_quality_rules": "with " + QUALITY.format(rows="select doc_id, text from documents") + """
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_bangs, n_upper,
        n_stop_words from verdict""",
