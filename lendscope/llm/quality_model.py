@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.llm import textvec as tv
@@ -81,35 +81,39 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, off in tv.chunks(batch.column(1)):
+        for a, b, data, off in tv.chunks(batch.column(2)):
             at, owner = features(data, off)
             by = np.argsort(owner, kind="stable")
             at, cut = at[by], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b - a))])
             pairs = [np.unique(at[i:j], return_counts=True) for i, j in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([p[0] for p in pairs], pa.list_(pa.int64())),
-                 pa.array([p[1] for p in pairs], pa.list_(pa.int64()))], ["label", "at", "times"])
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
+                 *(pa.array([p[k].astype(np.int32) for p in pairs], pa.list_(pa.int32())) for k in (0, 1))], ["label", "rank", "at", "times"])
 
 
-def fit(labelled: DataFrame, key: Column, text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Fit on ``labelled`` rows with a label 0 or 1; at most ``sample_rows`` of them, by the hash of ``key``.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "label",
+        sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+    """Fit on ``labels`` (id, label 0 or 1) and the texts of ``docs``; at most ``sample_rows`` labels, by the id's hash.
 
-    Rows with NULL or another label are left out. Without rows every text scores one half.
+    Labels are chosen before they meet a text, so only chosen texts are moved. Rows with NULL or another label are
+    left out, and labels without a document add nothing. Without rows every text scores one half.
     """
-    rows = labelled.select(F.col(f"`{label}`").cast("int").alias("label"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
-                           F.md5(key.cast("string").cast("binary")).alias("rank")).where("label in (0, 1)")
-    sample = rows.orderBy("rank", "label", "text").limit(sample_rows).select("label", "text")
-    data = sample.mapInArrow(_counted, "label int, at array<long>, times array<long>").collect()
-    data.sort(key=lambda r: (r["label"], len(r["at"]), list(r["at"])))
+    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("label in (0, 1)")
+    chosen = marked.withColumn("rank", F.md5(F.col("id").cast("string").cast("binary"))).orderBy("rank", "label").limit(sample_rows)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    sample = rows.join(F.broadcast(chosen), "id").select("label", "rank", "text")  # ``sample_rows`` rows at most
+    table = sample.mapInArrow(_counted, "label int, rank string, at array<int>, times array<int>").toArrow().sort_by(
+        [("rank", "ascending"), ("label", "ascending")])
     random = np.random.default_rng(13)
     model = QualityModel(random.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS, np.zeros((DIMENSIONS, 2)), np.zeros(2))
-    docs = [(np.array(r["at"], dtype=np.int64), np.array(r["times"], dtype=np.float64), r["label"]) for r in data]
-    steps, step = max(EPOCHS * len(docs), 1), 0
+    marks = table["label"].to_pylist()
+    found = [(a.values.to_numpy(), t.values.to_numpy(), y) for a, t, y in zip(table["at"], table["times"], marks, strict=True)]
+    steps, step = max(EPOCHS * len(found), 1), 0
     for _ in range(EPOCHS):
-        for d in random.permutation(len(docs)):
+        for d in random.permutation(len(found)):
             rate = RATE * (1 - step / steps)
             step += 1
-            at, times, y = docs[d]
+            at, times, y = found[d]
             share = times / max(times.sum(), 1.0)
             mean = share @ model.vectors[at]
             x = mean @ model.output + model.bias

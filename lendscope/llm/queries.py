@@ -70,8 +70,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = _crc(F.col("doc_id")) % 5 == 0
-    labelled = labels.where(~held_out).select("doc_id", F.col("quality").alias("label")).join(docs.select("doc_id", "text"), "doc_id")
-    model = quality_model.fit(labelled, F.col("doc_id"))
+    model = quality_model.fit(docs, labels.where(~held_out), label="quality")
     return quality_model.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

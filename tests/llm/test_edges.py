@@ -183,7 +183,7 @@ def test_language_and_quality_models(hostile, empty):
     by_text = {t: None for _, t, *_ in HOSTILE}
     assert None in by_text and all(r.lang_pred == "und" for r in got if r.doc_id in (3, 4, 5, 6))
     assert language_id.predict(empty, model).count() == 0
-    judge = quality_model.fit(hostile.withColumn("label", F.expr("if(doc_id > 5, 0, 1)")), F.col("doc_id"))
+    judge = quality_model.fit(hostile, hostile.withColumn("label", F.expr("if(doc_id > 5, 0, 1)")))
     marks = quality_model.score(hostile, judge).collect()
     assert len(marks) == len(HOSTILE) and all(0 <= r.score <= 1 for r in marks)
     assert quality_model.score(empty, judge).count() == 0
@@ -207,6 +207,24 @@ def test_codec(hostile, empty):
     assert piece_codec.decode(piece_codec.encode(empty, pieces, F.col("doc_id")), pieces).count() == 0
 
 
+def test_agenda_equals_heap():
+    random.seed(1)
+    pieces = piece_codec.load()
+    units = ["".join(random.choice(" abcdetheriongé▁\n😀") for _ in range(random.randint(1, 40))) for _ in range(1500)]
+    keys = [random.getrandbits(64) for _ in units]
+    for rate in (0.0, 0.1, 0.5):
+        assert piece_codec.Agenda(pieces, rate)(units, keys) == [piece_codec.encode_unit(u, pieces, k, rate) for u, k in zip(units, keys, strict=True)]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    pieces = piece_codec.load()
+    texts = [" ".join(f"word{random.Random(k).randrange(60)}" for _ in range(40)) + f" own{k}" for k in range(60)]
+    want = piece_codec.Encoder(pieces, 3, 0.1, 4)(texts, list(range(60)))
+    monkeypatch.setattr(piece_codec, "REMEMBERED", 16)
+    small = piece_codec.Encoder(pieces, 3, 0.1, 4)
+    assert [small([t], [k])[0] for k, t in enumerate(texts)] == want
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><p>Site</p></header>
 <nav><ul><li>Home</ul></nav><div id="cookie-notice">We use cookies</div>%s<div class="comments"><article>Reader says</article></div>
 <form><p>Mail</p></form><script>var x="</p><p>no";</script><footer>&copy; foot</footer></body></html>"""

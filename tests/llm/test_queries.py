@@ -122,5 +122,5 @@ def test_roles_recovered(spark):
 def test_models_without_rows(spark, empty, hostile):
     model = language_id.fit(empty, F.col("doc_id"))
     assert {(r.lang_pred, r.score) for r in language_id.predict(hostile, model).collect()} == {("und", 0.0)}
-    judge = quality_model.fit(empty.withColumn("label", F.lit(1)), F.col("doc_id"))
+    judge = quality_model.fit(hostile, empty.withColumn("label", F.lit(1)))
     assert all(abs(r.score - 0.5) < 1e-9 for r in quality_model.score(hostile, judge).collect())
