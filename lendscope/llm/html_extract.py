@@ -183,7 +183,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found])
             weights.append([len(t) if zone == LOOSE else 0 for t, zone in found])
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], batch.column(4), pa.array(lines, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int64()))],
+            [*batch.columns[:3], batch.column(4), pa.array(lines, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int32()))],
             ["id", "host", "path", "mark", "lines", "weights"])
 
 
@@ -233,9 +233,14 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url: str = "url", html
     mark = F.xxhash64(F.coalesce(F.col(f"`{url}`"), F.lit("")), F.coalesce(F.col(f"`{html}`"), F.lit("")))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), mark.alias("mark"))
     described = stage(rows.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html", "mark").mapInArrow(
-        _described, "id long, host string, path string, mark long, lines array<long>, weights array<long>").dropDuplicates(["id", "mark"])
-        .withColumn("one", F.lit(1).cast("long")), "pages-lines")
-    placed = stage(running_totals(described, ["host", "path", "id", "mark"], {"place": "one"}, "pages-order"), "pages-placed")
+        _described, "id long, host string, path string, mark long, lines array<long>, weights array<int>").dropDuplicates(["id", "mark"]), "pages-lines")
+    # the order needs the addresses alone; lines join their place afterwards
+    order = running_totals(described.select("host", "path", "id", "mark", F.lit(1).cast("long").alias("one")),
+                           ["host", "path", "id", "mark"], {"place": "one"}, "pages-order").select(
+        "place", F.col("host").alias("at_host"), F.col("id").alias("at_id"), F.col("mark").alias("at_mark"))
+    own = F.col("id").eqNullSafe(F.col("at_id")) & (F.col("mark") == F.col("at_mark"))
+    placed = stage(described.drop("host", "path").join(order, own).select("id", "mark", F.xxhash64("at_host").alias("host"), "place", "lines", "weights"),
+                   "pages-placed")
     beside = lambda step, name: placed.select(
         (F.col("place") + step).alias("place"), F.col("host").alias(f"h{name}"), F.col("lines").alias(name))
     pairs = (placed.select("id", "mark", "host", "place", "lines", "weights")
