@@ -4,18 +4,21 @@ A text is cut into units that no piece of the vocabulary crosses. Each unit star
 candidate merges of neighbours, best piece first, leftmost first. A candidate is skipped when the keyed hash of
 (seed, variant, unit, place, piece) falls below the dropout rate, so segmentations vary between units' occurrences and
 between seeds, repeat exactly in every run, and decode to the same text. Characters outside the vocabulary, and the
-literal space mark, are written as byte pieces. Units are encoded once per variant and task and then looked up.
+literal space mark, are written as byte pieces. Units are encoded once per variant and task, many at a time, and then
+looked up; long ones have a heap for their agenda, short ones a row of a matrix.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,19 +28,24 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 DROPOUT = 0.1
 VARIANTS = 4
-#: Encoded units that a task remembers at most before it starts anew.
-REMEMBERED = 400_000
+#: Encoded units that a task remembers at most: half of them the latest, half those in use before.
+REMEMBERED = 500_000
+#: Bits of a place within a unit, beside the merge's rank in the agenda.
+PLACE_BITS = 32
 
 
 @dataclass
 class Pieces:
-    """A BPE vocabulary: ``ids`` by piece, its ``rank`` (lower merges first), bytes for decoding, ids of the byte pieces."""
+    """A BPE vocabulary: ``ids`` by piece, ``merges`` (pair of neighbours -> piece), the merge order of each piece (equal
+    scores share a number), bytes for decoding, ids of the byte pieces, and the pattern that cuts a text into units."""
 
     ids: dict[str, int]
-    rank: list[float]
+    chars: dict[str, int]    # single characters, also those that occur only inside pieces (numbered behind the pieces)
+    merges: dict[int, int]   # left id << 32 | right id
+    order: list[int]
     surface: list[bytes]
     byte_ids: list[int]
-    units: str  # pattern that cuts a text into units
+    units: str
 
 
 def load(path: str = VOCABULARY) -> Pieces:
@@ -57,7 +65,12 @@ def load(path: str = VOCABULARY) -> Pieces:
         else:
             ids[piece] = i
             surface.append(piece.replace(MARK, " ").encode())
-    return Pieces(ids, rank, surface, byte_ids, _units(ids))
+    chars = {c: ids[c] if c in ids else len(surface) + k for k, c in enumerate(sorted({c for piece in ids for c in piece}))}
+    known = ids | chars
+    merges = {known[piece[:k]] << 32 | known[piece[k:]]: i for piece, i in ids.items() for k in range(1, len(piece))
+              if piece[:k] in known and piece[k:] in known}
+    place = {r: k for k, r in enumerate(sorted(set(rank)))}
+    return Pieces(ids, chars, merges, [place[r] for r in rank], surface, byte_ids, _units(ids))
 
 
 def _units(ids: dict[str, int]) -> str:
@@ -67,40 +80,48 @@ def _units(ids: dict[str, int]) -> str:
     space to space.
     """
     joint = {c for piece in ids for pair in re.findall(r"(?=(\w[^\w▁]|[^\w▁]\w))", piece) for c in pair if re.match(r"\w", c)}
-    odd = f"[{re.escape(''.join(sorted(joint)))}]" if joint else r"[^\w\W]"
-    finer = rf" *(?:(?:(?!{odd})\w)+|(?:[^\w ]|{odd})+)| +"
+    odd = re.escape("".join(sorted(joint)))
+    finer = rf" *(?:[^\W{odd}]+|(?:(?! )[\W{odd}])+)| +"
     cut = re.compile(finer)
     return finer if all(len(cut.findall(piece.replace(MARK, " "))) == 1 for piece in ids) else r" *[^ ]+| +"
 
 
-def encode_unit(unit: str, p: Pieces, key: int, dropout: float) -> list[int]:
-    """Ids of one unit; ``key`` decides with the place and piece which merges are skipped."""
-    ids, rank = p.ids, p.rank
-    symbols: list[str | None] = [MARK if c == " " else None if c == MARK else c for c in unit]
+def encode_unit(unit: str, p: Pieces, key: int, dropout: float) -> bytes:
+    """Ids of one unit (int32, packed); ``key`` decides with the place and piece which merges are skipped."""
+    merges, order = p.merges, p.order
+    known = p.chars.get
+    symbols = [known(MARK) if c == " " else -1 if c == MARK else known(c, -1) for c in unit]
     n = len(symbols)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
+    candidate = [-1] * n  # the piece that the symbol at a place and its neighbour would become
     limit = int(dropout * 65536)
-    agenda: list[tuple[float, int, str, int]] = []
+    agenda: list[int] = []
 
     def propose(i: int) -> None:
         j = after[i]
-        if j >= n or symbols[i] is None or symbols[j] is None:
-            return
-        whole = symbols[i] + symbols[j]
-        k = ids.get(whole)
-        if k is not None and not (limit and (((key ^ (i * 0x9E3779B1 + k * 0x85EBCA77)) * 0xC2B2AE3D27D4EB4F) >> 40 & 0xFFFF) < limit):
-            heapq.heappush(agenda, (rank[k], i, whole, j))
+        k = -1
+        if j < n:
+            k = merges.get(symbols[i] << 32 | symbols[j], -1) if symbols[i] >= 0 <= symbols[j] else -1
+            if k >= 0:
+                if limit and ((key ^ (i * 0x9E3779B1 + k * 0x85EBCA77)) * 0xC2B2AE3D27D4EB4F >> 40 & 0xFFFF) < limit:
+                    k = -1
+                else:
+                    heapq.heappush(agenda, order[k] << PLACE_BITS | i)
+        candidate[i] = k
 
     for i in range(n - 1):
         propose(i)
-    gone = [False] * n
+    low = (1 << PLACE_BITS) - 1
     while agenda:
-        _, i, whole, j = heapq.heappop(agenda)
-        if gone[i] or after[i] != j or gone[j] or symbols[i] + symbols[j] != whole:
+        best = heapq.heappop(agenda)
+        i = best & low
+        k = candidate[i]
+        if k < 0 or order[k] != best >> PLACE_BITS:
             continue  # a neighbour has merged meanwhile
-        symbols[i] = whole
-        gone[j] = True
+        j = after[i]
+        symbols[i] = k
+        candidate[j] = -1
         after[i] = after[j]
         if after[i] < n:
             before[after[i]] = i
@@ -108,41 +129,163 @@ def encode_unit(unit: str, p: Pieces, key: int, dropout: float) -> list[int]:
             propose(before[i])
         propose(i)
     out: list[int] = []
-    i = 0
+    i, pieces = 0, len(p.surface)
     while i < n:
-        s = symbols[i]
-        k = ids.get(s) if s is not None else None
-        if k is None:
-            out.extend(p.byte_ids[b] for b in (MARK if s is None else s).encode())
-        else:
-            out.append(k)
+        if 0 <= symbols[i] < pieces:
+            out.append(symbols[i])
+        else:  # one character without a piece of its own
+            out.extend(p.byte_ids[b] for b in unit[i].encode())
         i = after[i]
-    return out
+    return array("i", out).tobytes()
+
+
+class Agenda:
+    """Encodes many short units at once: a row of a matrix is a unit's agenda, and each round takes every row's best
+    candidate (the leftmost of equals). Gives what ``encode_unit`` gives.
+
+    A candidate is one number, merge order above and piece below. Pieces of equal score, which only runs of spaces can
+    become, would be told apart by it, so units that open with several spaces are left to ``encode_unit``.
+    """
+
+    WIDEST = 32
+    ROWS = 4096
+    PIECE = 15  # bits of a piece in a candidate
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, p: Pieces, dropout: float):
+        self.p, self.dropout, self.limit = p, dropout, int(dropout * 65536)
+        pairs = np.array(sorted(p.merges), dtype=np.int64)
+        self.pairs = (pairs >> 32) * (1 << 20) + (pairs & 0xFFFFFFFF)  # still ascending: ids are below 2^20
+        merged = np.array([p.merges[k] for k in sorted(p.merges)], dtype=np.int32)
+        self.codes = np.array(p.order, dtype=np.int32)[merged] << self.PIECE | merged
+        self.fits = len(p.order) <= 1 << self.PIECE  # larger vocabularies keep to ``encode_unit``
+        self.char = np.full(0x110000, -1, dtype=np.int32)
+        for c, i in p.chars.items():
+            self.char[ord(c)] = i
+        self.char[32], self.char[ord(MARK)] = p.chars[MARK], -1
+
+    def _propose(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Candidate merges of neighbours; NONE where there is none or it is skipped."""
+        pair = left.astype(np.int64) * (1 << 20) + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        code = self.codes[at]
+        good = (self.pairs[at] == pair) & (left >= 0) & (right >= 0)
+        if self.limit:
+            mark = place.astype(np.uint64) * np.uint64(0x9E3779B1) + (code & ((1 << self.PIECE) - 1)).astype(np.uint64) * np.uint64(0x85EBCA77)
+            good &= ((key ^ mark) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40) & np.uint64(0xFFFF)) >= self.limit
+        return np.where(good, code, self.NONE)
+
+    def __call__(self, units: list[str], keys: list[int]) -> list[bytes]:
+        """Packed ids of the units, in their order."""
+        out: list = [b""] * len(units)
+        size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        size[[u[:2] == "  " or not self.fits for u in units]] += self.WIDEST
+        by = np.argsort(size, kind="stable")
+        short = by[: np.searchsorted(size[by], self.WIDEST, "right")]
+        for a in range(0, len(short), self.ROWS):
+            rows = short[a:a + self.ROWS]
+            self._short([units[r] for r in rows], np.array([keys[r] for r in rows], dtype=np.uint64), rows, size[rows], out)
+        for r in by[len(short):]:
+            out[r] = encode_unit(units[r], self.p, keys[r], self.dropout)
+        return out
+
+    def _short(self, units: list[str], key: np.ndarray, rows: np.ndarray, size: np.ndarray, out: list) -> None:
+        n, width = len(units), int(size[-1])
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        inside = np.arange(width) < size[:, None]
+        symbol = np.full((n, width + 1), -2, dtype=np.int32)  # one column of padding at the end
+        symbol[:, :width][inside] = self.char[points]
+        place = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy()
+        code = self._propose(symbol[:, :-1], symbol[:, 1:], place[:, :-1], key[:, None])
+        columns = np.arange(width + 1)
+        row = np.arange(n)
+        while len(row):
+            best = code.argmin(1)
+            least = code[np.arange(len(row)), best]
+            busy = least < self.NONE
+            if not busy.all():
+                self._finish(units, rows, row[~busy], symbol[~busy], place[~busy], out)
+                row, symbol, place, code, key, best, least = (x[busy] for x in (row, symbol, place, code, key, best, least))
+                if not len(row):
+                    break
+            each, i = np.arange(len(row)), best
+            made = least & ((1 << self.PIECE) - 1)
+            source = columns + (columns > i[:, None])  # everything behind the merged pair moves one place
+            source[:, -1] = width
+            source += each[:, None] * (width + 1)
+            symbol, place = symbol.ravel()[source], place.ravel()[source]
+            symbol[:, -1] = -2
+            symbol[each, i] = made
+            source = columns[:-1] + (columns[:-1] > i[:, None])
+            source[:, -1] = width - 1
+            code = code.ravel()[source + each[:, None] * width]
+            code[each, i] = self._propose(made, symbol[each, i + 1], place[each, i], key)
+            left = np.flatnonzero(i > 0)
+            h = i[left] - 1
+            code[left, h] = self._propose(symbol[left, h], made[left], place[left, h], key[left])
+
+    def _finish(self, units: list[str], rows: np.ndarray, done: np.ndarray, symbol: np.ndarray, place: np.ndarray, out: list) -> None:
+        full = symbol != -2
+        odd = ((symbol == -1) | (symbol >= len(self.p.surface))).any(1)
+        packed = symbol[full].tobytes()
+        ends = np.cumsum(full.sum(1)) * 4
+        for d, a, b, o, k in zip(done.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), odd.tolist(), range(len(done)), strict=True):
+            if not o:
+                out[rows[d]] = packed[a:b]
+                continue
+            ids: list[int] = []
+            for x, i in zip(symbol[k][full[k]].tolist(), place[k][full[k]].tolist(), strict=True):
+                if 0 <= x < len(self.p.surface):
+                    ids.append(x)
+                else:
+                    ids.extend(self.p.byte_ids[byte] for byte in units[d][i].encode())
+            out[rows[d]] = array("i", ids).tobytes()
 
 
 class Encoder:
-    """Encodes whole texts; remembers encoded units."""
+    """Encodes whole texts; remembers encoded units, of which those in use outlive the others."""
 
     def __init__(self, pieces: Pieces, seed: int, dropout: float, variants: int):
-        self.pieces, self.seed, self.dropout, self.variants = pieces, seed, dropout, variants if dropout else 1
+        self.seed, self.variants = seed, variants if dropout else 1
         self.cut = re.compile(pieces.units)
-        self.known: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
-
-    def __call__(self, text: str, key: int) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        known, v = self.known, self.variants
-        if sum(map(len, known)) > REMEMBERED:
-            known = self.known = [{} for _ in range(v)]
-        for k, unit in enumerate(self.cut.findall(" " + text), key):
-            table = known[k % v]
-            found = table.get(unit)
-            if found is None:
-                keyed = xxhash.xxh64_intdigest(unit, self.seed * v + k % v)
-                found = table[unit] = encode_unit(unit, self.pieces, keyed, self.dropout)
-            out += found
-        return out
+        self.agenda = Agenda(pieces, dropout)
+        self.latest: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.earlier: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+
+    def __call__(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """Packed int32 ids of the texts."""
+        v = self.variants
+        for variant, table in enumerate(self.latest):
+            if len(table) > REMEMBERED // (2 * v):
+                self.earlier[variant], self.latest[variant] = table, {}
+        found: list[list] = []
+        redo: list[tuple[list, int, int, list[str]]] = []  # text's ids, first place, variant, units
+        wanted: list[set[str]] = [set() for _ in range(v)]
+        for text, key in zip(texts, keys, strict=True):
+            units = self.cut.findall(" " + text) if text else []
+            ids: list = [None] * len(units)
+            for variant in range(v):  # units take the variants in turn, from the text's key on
+                first = (variant - key) % v
+                part = units[first::v]
+                known = list(map(self.latest[variant].get, part))
+                if None in known:
+                    wanted[variant].update([u for u, x in zip(part, known, strict=True) if x is None])
+                    redo.append((ids, first, variant, part))
+                else:
+                    ids[first::v] = known
+            found.append(ids)
+        for variant, units in enumerate(wanted):
+            self._learn(variant, list(units))
+        for ids, first, variant, part in redo:
+            ids[first::v] = map(self.latest[variant].__getitem__, part)
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, variant: int, units: list[str]) -> None:
+        past = list(map(self.earlier[variant].get, units))
+        table, seed = self.latest[variant], self.seed * self.variants + variant
+        table.update([(u, x) for u, x in zip(units, past, strict=True) if x is not None])
+        new = [u for u, x in zip(units, past, strict=True) if x is None]
+        table.update(zip(new, self.agenda(new, [xxhash.xxh64_intdigest(u, seed) for u in new]), strict=True))
 
 
 def encode(df: DataFrame, pieces: Pieces, key: Column, text: str = "text", out: str = "ids", seed: int = 1,
@@ -160,15 +303,28 @@ def encode(df: DataFrame, pieces: Pieces, key: Column, text: str = "text", out:
         run = Encoder(held.value, seed, dropout, variants)
         for batch in batches:
             texts, keys = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
-            for a in range(0, batch.num_rows, 64):
-                part = texts.slice(a, 64).to_pylist()
-                ids = [None if t is None else np.array(run(t, k), dtype=np.int32) for t, k in zip(part, keys[a:a + 64], strict=True)]
-                yield _batch([*(c.slice(a, 64) for c in batch.columns[:-2]), pa.array(ids, pa.list_(pa.int32()))])
+            for a, b in _slices(texts):
+                part = texts.slice(a, b - a).to_pylist()
+                ids = run([t or "" for t in part], keys[a:b])
+                ids = [None if t is None else np.frombuffer(x, dtype=np.int32) for t, x in zip(part, ids, strict=True)]
+                yield _batch([*(c.slice(a, b - a) for c in batch.columns[:-2]), pa.array(ids, pa.list_(pa.int32()))])
 
     return _mapped(df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"), F.pmod(F.coalesce(key.cast("long"), F.lit(0)), F.lit(1 << 20))),
                    encoded, rest, out, "array<int>")
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with about a million characters; a longer text is alone."""
+    size, a = 0, 0
+    for k, n in enumerate(pc.utf8_length(texts).fill_null(0).to_pylist()):
+        if size and size + n > 1 << 20:
+            yield a, k
+            a, size = k, 0
+        size += n
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def _batch(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
 
