@@ -7,11 +7,11 @@ were given; the last adds the pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendscope.llm import piece_codec
-from lendscope.llm.common import stage
+from lendscope.llm.common import fresh, stage
 from lendscope.llm.exact_dedup import drop_exact
 from lendscope.llm.mixing import mixed_rows
 from lendscope.llm.near_dedup import drop_near
@@ -39,9 +39,15 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text as pieces (``pieces``), their number, and whether they decode to the text."""
+    """Every text as pieces (``pieces``), their number, and whether they decode to the text.
+
+    Rows that repeat a document (its epochs) are numbered, so that each has a segmentation of its own.
+    """
     pieces = piece_codec.load()
-    coded = piece_codec.encode(docs, pieces, F.xxhash64("doc_id"), out="pieces")
+    epoch = fresh(docs.columns, "_epoch")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    docs_numbered = docs.withColumn(epoch, F.row_number().over(same))
+    coded = piece_codec.encode(docs_numbered, pieces, F.xxhash64("doc_id", epoch), out="pieces")
     checked = piece_codec.decode(coded, pieces, "pieces", "decoded_text")
     return checked.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "pieces"], "pieces",
                           F.size("pieces").cast("long").alias("n_pieces"), F.col("decoded_text").eqNullSafe(F.col("text")).alias("lossless"))

@@ -2,10 +2,11 @@
 
 A text is cut into units that no piece of the vocabulary crosses. Each unit starts as characters; an agenda holds the
 candidate merges of neighbours, best piece first, leftmost first. A candidate is skipped when the keyed hash of
-(seed, variant, unit, place, piece) falls below the dropout rate, so segmentations vary between units' occurrences and
-between seeds, repeat exactly in every run, and decode to the same text. Characters outside the vocabulary, and the
-literal space mark, are written as byte pieces. Units are encoded once per variant and task, many at a time, and then
-looked up; long ones have a heap for their agenda, short ones a row of a matrix.
+(seed, text's key, unit's place in the text, place, piece) falls below the dropout rate, so segmentations vary between
+units' occurrences and between seeds, repeat exactly in every run, and decode to the same text. Characters outside the
+vocabulary, and the literal space mark, are written as byte pieces. Occurrences of a unit that skip the same merges have
+the same pieces, so a task encodes those once, many at a time, and then looks them up; long units have a heap for their
+agenda, short ones a row of a matrix.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,12 @@ from pyspark.sql.types import DataType, StructField, StructType
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 DROPOUT = 0.1
-VARIANTS = 4
-#: Encoded units that a task remembers at most: half of them the latest, half those in use before.
+#: Units, and results with merges skipped (half of them the latest, half those in use before), that a task remembers.
 REMEMBERED = 500_000
+#: Candidates of a unit up to which its results are remembered: bits beside the unit's number.
+BITS = 40
+#: Occurrences among about a million characters from which a unit's results are remembered; rarer ones cost less anew.
+OFTEN = 6
 #: Bits of a place within a unit, beside the merge's rank in the agenda.
 PLACE_BITS = 32
 
@@ -175,21 +181,24 @@ class Agenda:
             good &= ((key ^ mark) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40) & np.uint64(0xFFFF)) >= self.limit
         return np.where(good, code, self.NONE)
 
-    def __call__(self, units: list[str], keys: list[int]) -> list[bytes]:
-        """Packed ids of the units, in their order."""
+    def takes(self, unit: str) -> bool:
+        return self.fits and len(unit) <= self.WIDEST and unit[:2] != "  "
+
+    def __call__(self, units: list[str], keys: list[int], trace: list | None = None) -> list[bytes]:
+        """Packed ids of the units, in their order; ``trace`` takes the merges made (units, places, pieces), heaps apart."""
         out: list = [b""] * len(units)
         size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        size[[u[:2] == "  " or not self.fits for u in units]] += self.WIDEST
+        size[[not self.takes(u) for u in units]] += self.WIDEST
         by = np.argsort(size, kind="stable")
         short = by[: np.searchsorted(size[by], self.WIDEST, "right")]
         for a in range(0, len(short), self.ROWS):
             rows = short[a:a + self.ROWS]
-            self._short([units[r] for r in rows], np.array([keys[r] for r in rows], dtype=np.uint64), rows, size[rows], out)
+            self._short([units[r] for r in rows], np.array([keys[r] for r in rows], dtype=np.uint64), rows, size[rows], out, trace)
         for r in by[len(short):]:
             out[r] = encode_unit(units[r], self.p, keys[r], self.dropout)
         return out
 
-    def _short(self, units: list[str], key: np.ndarray, rows: np.ndarray, size: np.ndarray, out: list) -> None:
+    def _short(self, units: list[str], key: np.ndarray, rows: np.ndarray, size: np.ndarray, out: list, trace: list | None) -> None:
         n, width = len(units), int(size[-1])
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         inside = np.arange(width) < size[:, None]
@@ -210,6 +219,8 @@ class Agenda:
                     break
             each, i = np.arange(len(row)), best
             made = least & ((1 << self.PIECE) - 1)
+            if trace is not None:
+                trace.append((rows[row], place[each, i], made))
             source = columns + (columns > i[:, None])  # everything behind the merged pair moves one place
             source[:, -1] = width
             source += each[:, None] * (width + 1)
@@ -243,64 +254,150 @@ class Agenda:
 
 
 class Encoder:
-    """Encodes whole texts; remembers encoded units, of which those in use outlive the others."""
+    """Encodes whole texts; every unit's occurrence skips merges by its own key (seed, text's key, place in the text).
+
+    Nothing is shared between occurrences but results that are equal: a unit's result without dropout serves those that
+    skip none of the merges made on the way to it, and any other result is remembered under the unit and all candidates
+    skipped, a bit each. Units are numbered for this when a call has them ``OFTEN`` times; the others, long ones and those
+    with more than ``bits`` candidates run for each occurrence.
+    """
 
-    def __init__(self, pieces: Pieces, seed: int, dropout: float, variants: int):
-        self.seed, self.variants = seed, variants if dropout else 1
+    STRETCH = 16384  # occurrences whose candidates are tested at once
+
+    def __init__(self, pieces: Pieces, seed: int, dropout: float, bits: int = BITS):
+        self.pieces, self.seed, self.bits = pieces, seed & (1 << 64) - 1, bits
         self.cut = re.compile(pieces.units)
-        self.agenda = Agenda(pieces, dropout)
-        self.latest: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.earlier: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.agenda, self.plain = Agenda(pieces, dropout), Agenda(pieces, 0.0)
+        self.stems = {piece[:k]: -1 for piece in pieces.ids for k in range(2, len(piece))} | pieces.ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units: dict[str, int] = {}  # -1: too many candidates
+        self.whole: list[bytes] = []  # results without dropout
+        self.path = np.zeros(0, dtype=np.int64)  # the merges made on the way to them, a bit each
+        self.first, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # candidates in ``marks``
+        self.marks = np.zeros(0, dtype=np.uint64)
+        self.latest: dict[int, bytes] = {}
+        self.earlier: dict[int, bytes] = {}
 
     def __call__(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Packed int32 ids of the texts."""
-        v = self.variants
-        for variant, table in enumerate(self.latest):
-            if len(table) > REMEMBERED // (2 * v):
-                self.earlier[variant], self.latest[variant] = table, {}
-        found: list[list] = []
-        redo: list[tuple[list, int, int, list[str]]] = []  # text's ids, first place, variant, units
-        wanted: list[set[str]] = [set() for _ in range(v)]
-        for text, key in zip(texts, keys, strict=True):
-            units = self.cut.findall(" " + text) if text else []
-            ids: list = [None] * len(units)
-            for variant in range(v):  # units take the variants in turn, from the text's key on
-                first = (variant - key) % v
-                part = units[first::v]
-                known = list(map(self.latest[variant].get, part))
-                if None in known:
-                    wanted[variant].update([u for u, x in zip(part, known, strict=True) if x is None])
-                    redo.append((ids, first, variant, part))
-                else:
-                    ids[first::v] = known
-            found.append(ids)
-        for variant, units in enumerate(wanted):
-            self._learn(variant, list(units))
-        for ids, first, variant, part in redo:
-            ids[first::v] = map(self.latest[variant].__getitem__, part)
-        return [b"".join(ids) for ids in found]
-
-    def _learn(self, variant: int, units: list[str]) -> None:
-        past = list(map(self.earlier[variant].get, units))
-        table, seed = self.latest[variant], self.seed * self.variants + variant
-        table.update([(u, x) for u, x in zip(units, past, strict=True) if x is not None])
-        new = [u for u, x in zip(units, past, strict=True) if x is None]
-        table.update(zip(new, self.agenda(new, [xxhash.xxh64_intdigest(u, seed) for u in new]), strict=True))
+        if len(self.units) > REMEMBERED:
+            self._forget()
+        if len(self.latest) > REMEMBERED // 2:
+            self.earlier, self.latest = self.latest, {}
+        units: list[str] = []
+        ends = [0]
+        for text in texts:
+            if text:
+                units += self.cut.findall(" " + text)
+            ends.append(len(units))
+        number = np.fromiter(map(self.units.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        rest = np.flatnonzero(number < 0).tolist()
+        tally = Counter([units[k] for k in rest])
+        self._learn([u for u, n in tally.items() if n >= OFTEN and len(u) <= Agenda.WIDEST and u not in self.units])
+        number[rest] = [self.units.get(units[k], -1) for k in rest]
+        key = self._keys(keys, np.diff(ends))
+        ids: list = list(map((self.whole or [b""]).__getitem__, number.tolist()))  # -1 takes any, and is set below
+        for a in range(0, len(units) if self.agenda.limit else 0, self.STRETCH):
+            here = slice(a, a + self.STRETCH)
+            skipped = self._skipped(number[here], key[here])
+            varied = np.flatnonzero(skipped & np.append(self.path, 0)[number[here]])
+            if len(varied):
+                self._vary(a + varied, (number[here][varied] << self.bits | skipped[varied]).tolist(), units, key, ids)
+        alone = np.flatnonzero(number < 0)
+        for k, x in zip(alone.tolist(), self.agenda([units[k] for k in alone], key[alone].tolist()), strict=True):
+            ids[k] = x
+        return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _keys(self, keys: list[int], sizes: np.ndarray) -> np.ndarray:
+        """A key for every unit: the stream of its text's key, at its place."""
+        of_text = [xxhash.xxh64_intdigest((k & (1 << 64) - 1).to_bytes(8, "little"), self.seed) for k in keys]
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        x = np.repeat(np.array(of_text, dtype=np.uint64), sizes) + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return x ^ x >> np.uint64(31)
+
+    def _skipped(self, number: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The candidates that each occurrence skips, a bit each."""
+        count, first = np.append(self.count, 0)[number], np.append(self.first, 0)[number]
+        owner = np.repeat(np.arange(len(number)), count)
+        bit = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        draw = (key[owner] ^ self.marks[first[owner] + bit]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40) & np.uint64(0xFFFF)
+        hit = np.flatnonzero(draw < self.agenda.limit)
+        out = np.zeros(len(number), dtype=np.int64)
+        if len(hit):
+            starts = np.flatnonzero(np.diff(owner[hit], prepend=-1))
+            out[owner[hit][starts]] = np.add.reduceat(np.int64(1) << bit[hit], starts)
+        return out
+
+    def _vary(self, places: np.ndarray, codes: list[int], units: list[str], key: np.ndarray, ids: list) -> None:
+        """Set ``ids`` at ``places``; a code is the unit's number and the candidates skipped."""
+        latest, at = self.latest, places.tolist()
+        known = list(map(latest.get, codes))
+        wanted = {c: k for c, k, x in zip(codes, at, known, strict=True) if x is None}
+        if wanted:
+            past = {c: x for c in wanted if (x := self.earlier.get(c)) is not None}
+            latest.update(past)
+            new = [(c, k) for c, k in wanted.items() if c not in past]
+            latest.update(zip([c for c, _ in new], self.agenda([units[k] for _, k in new], [int(key[k]) for _, k in new]), strict=True))
+            known = map(latest.__getitem__, codes)
+        for k, x in zip(at, known, strict=True):
+            ids[k] = x
+
+    def _candidates(self, unit: str) -> list[tuple[int, int]]:
+        """Places and pieces of all stretches of a unit that are a piece; no run of the agenda proposes anything else."""
+        out = []
+        s = unit.replace(MARK, "\0").replace(" ", MARK)
+        for i in range(len(s) - 1):
+            for j in range(i + 2, len(s) + 1):
+                k = self.stems.get(s[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    out.append((i, k))
+        return out
+
+    def _learn(self, units: list[str]) -> None:
+        """Number units; set their candidates, results without dropout and the merges made on the way."""
+        found = list(map(self._candidates, units))
+        self.units.update([(u, -1) for u, x in zip(units, found, strict=True) if len(x) > self.bits])
+        units, found = [u for u, x in zip(units, found, strict=True) if len(x) <= self.bits], [x for x in found if len(x) <= self.bits]
+        if not units:
+            return
+        self.units.update(zip(units, range(len(self.whole), len(self.whole) + len(units)), strict=True))
+        place, made = np.array([x for one in found for x in one], dtype=np.int64).reshape(-1, 2).T
+        count = np.array(list(map(len, found)), dtype=np.int64)
+        first = np.cumsum(count) - count
+        trace: list[tuple] = []
+        self.whole += self.plain(units, [0] * len(units), trace)
+        row, at, piece = (np.concatenate([[], *x]).astype(np.int64) for x in (zip(*trace, strict=True) if trace else ((), (), ())))
+        code = np.repeat(np.arange(len(units)), count) << 40 | place << 20 | made
+        order = np.argsort(code)
+        path = np.zeros(len(units), dtype=np.int64)
+        if len(row):
+            np.bitwise_or.at(path, row, np.int64(1) << order[np.searchsorted(code[order], row << 40 | at << 20 | piece)] - first[row])
+        heap = [not self.plain.takes(u) for u in units]
+        path[heap] = (np.int64(1) << count[heap]) - 1  # not traced: any candidate may be on the way
+        self.path, self.count = np.append(self.path, path), np.append(self.count, count)
+        self.first = np.append(self.first, first + len(self.marks))
+        mark = place.astype(np.uint64) * np.uint64(0x9E3779B1) + made.astype(np.uint64) * np.uint64(0x85EBCA77)
+        self.marks = np.append(self.marks, mark)
 
 
 def encode(df: DataFrame, pieces: Pieces, key: Column, text: str = "text", out: str = "ids", seed: int = 1,
-           dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+           dropout: float = DROPOUT) -> DataFrame:
     """Add ``out`` (array<int>) to ``df``: the pieces of every whole text.
 
-    ``key`` (long) with the unit's number in the text chooses among ``variants`` keyed segmentations; a NULL key
-    counts as 0. NULL text gives NULL ids, the empty text none. A column named ``out`` is replaced. Rows are
+    ``key`` (long) with the unit's place in the text decides which merges are skipped; a NULL key counts as 0. NULL text gives NULL ids, the empty text none. A column named ``out`` is replaced. Rows are
     independent: ties, repeats and other columns do not matter.
     """
     held = df.sparkSession.sparkContext.broadcast(pieces)
     rest = [c for c in df.columns if c.lower() != out.lower()]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = Encoder(held.value, seed, dropout, variants)
+        run = Encoder(held.value, seed, dropout)
         for batch in batches:
             texts, keys = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
             for a, b in _slices(texts):
@@ -309,7 +406,7 @@ def encode(df: DataFrame, pieces: Pieces, key: Column, text: str = "text", out:
                 ids = [None if t is None else np.frombuffer(x, dtype=np.int32) for t, x in zip(part, ids, strict=True)]
                 yield _batch([*(c.slice(a, b - a) for c in batch.columns[:-2]), pa.array(ids, pa.list_(pa.int32()))])
 
-    return _mapped(df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"), F.pmod(F.coalesce(key.cast("long"), F.lit(0)), F.lit(1 << 20))),
+    return _mapped(df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"), F.coalesce(key.cast("long"), F.lit(0))),
                    encoded, rest, out, "array<int>")
 
 

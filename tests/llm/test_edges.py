@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lendscope.llm import chat_format, html_extract, language_id, near_dedup, piece_codec, quality_model, sharding
 from lendscope.llm.exact_dedup import drop_exact, exact_dedup
 from lendscope.llm.mixing import mix, mixed_rows, source_targets
@@ -225,6 +226,29 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert [small([t], [k])[0] for k, t in enumerate(texts)] == want
 
 
+def test_every_occurrence_draws_its_own_merges():
+    pieces = piece_codec.load()
+    run = piece_codec.Encoder(pieces, 3, 0.1)
+    texts = [" ".join(["tokenization"] * 40 + ["  two", "é▁x", "日本語", "a1-b2", "=" * 60]) + " x" * (k % 5) for k in range(200)]
+    got = run(texts, list(range(200)))
+    for k, (text, ids) in enumerate(zip(texts, got, strict=True)):
+        units = run.cut.findall(" " + text)
+        keys = run._keys([k], np.array([len(units)])).tolist()
+        assert ids == b"".join(piece_codec.encode_unit(u, pieces, x, 0.1) for u, x in zip(units, keys, strict=True))
+    assert len(set(run([texts[0]] * 200, list(range(200))))) == 200  # one text, 200 documents
+    # a unit is left whole as often as none of its merges is skipped
+    unit, ways = " the", Counter(run([" ".join(["the"] * 5000)], [7]))
+    merges = piece_codec.Agenda(pieces, 0.0)([unit], [0], trace := []) and len(trace)
+    whole = next(iter(ways)).count(np.int32(pieces.ids["▁the"]).tobytes()) / 5000
+    assert merges == 3 and 0.9**merges - 0.04 < whole < 0.96
+
+
+def test_epochs_of_a_document_differ(spark):
+    rows = [(1, LONG[:4000], "en", "a")] * 2 + [(2, LONG[:4000], "en", "a")]
+    got = corpus_pipeline.encoding(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "").collect()
+    assert len({tuple(r.pieces) for r in got}) == 3 and all(r.lossless for r in got)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><p>Site</p></header>
 <nav><ul><li>Home</ul></nav><div id="cookie-notice">We use cookies</div>%s<div class="comments"><article>Reader says</article></div>
 <form><p>Mail</p></form><script>var x="</p><p>no";</script><footer>&copy; foot</footer></body></html>"""
