@@ -2,10 +2,11 @@
 
 A page is read into text blocks, each in the article, in page furniture (menus, headers, footers, sidebars, notices,
 adverts, forms, comments: by element, role, class or id) or loose. Pages of a host stand in the order of their URL
-paths; each is aligned with its neighbours by the longest common subsequence of block hashes. Blocks shared with a
-neighbour are the host's template. Furniture always goes. Where the page marks its article, the article's blocks are
-the text; shared blocks stay there, since articles quote and copy each other. Where nothing marks it, the loose blocks
-that no neighbour shares are the text. A neighbour that shares nearly all loose text is a copy and says nothing.
+paths. Pages in a row with equal blocks are copies and stand there once; each is aligned with its neighbours, the nearest
+different pages, by the longest common subsequence of block hashes. Blocks shared with a neighbour are the host's
+template. Furniture always goes. Where the page marks its article, the article's blocks are the text; shared blocks stay
+there, since articles quote and copy each other. Where nothing marks it, the loose blocks that no neighbour shares are
+the text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 from lendscope.llm.common import running_totals, stage
 
 ARTICLE, LOOSE, FURNITURE = 0, 1, 2
-#: A neighbour that shares more than this share of the loose characters is a copy of the page.
-COPY_SHARE = 0.8
 
 #: Elements whose content is never text; elements of page furniture; block and void elements.
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -177,33 +176,19 @@ def main_text(html: str | None, template: set[int]) -> str:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines, weights = [], []
-        for html in batch.column(3):
-            found = blocks(html.as_py())
-            lines.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found])
-            weights.append([len(t) if zone == LOOSE else 0 for t, zone in found])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], batch.column(4), pa.array(lines, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int32()))],
-            ["id", "host", "path", "mark", "lines", "weights"])
+        lines = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in blocks(html.as_py())] for html in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(lines, pa.list_(pa.int64()))],
+                                         ["id", "host", "path", "mark", "lines"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        template, common = [], []
-        for lines, weights, *others in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-            taken: set[int] = set()
-            shared: set[int] = set()
-            for other in others:
-                if other:
-                    hit = [k for k, x in enumerate(shared_lines(lines, other)) if x]
-                    shared.update(hit)
-                    if sum(weights[k] for k in hit) <= COPY_SHARE * sum(weights):
-                        taken.update(hit)
-            template.append(sorted(taken))
-            common.append(len(shared))
+        template = []
+        for lines, *others in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
+            template.append(sorted({k for other in others if other for k, x in enumerate(shared_lines(lines, other)) if x}))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(template, pa.list_(pa.int32())), pa.array(common, pa.int64())],
-            ["id", "mark", "template", "n_shared"])
+            [batch.column(0), pa.array(template, pa.list_(pa.int32())), pa.array(list(map(len, template)), pa.int64())],
+            ["run", "template", "n_shared"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,29 +211,33 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url: str = "url", html
     """One row per input row: id, url, text, n_chars, n_shared (blocks that a neighbour shares).
 
     NULL html counts as empty and gives an empty text; a NULL or relative URL belongs to the empty host. Pages with
-    equal paths follow their id, then their content; repeated rows are one page for the pairing. A page alone on its
-    host has no neighbour. Hosts are not kept together: pages are ordered over the whole table and meet the rows one
-    place before and after, so a host with a third of all pages is spread like any other. Other columns are ignored.
+    equal paths follow their id, then their content; repeated rows are one page for the pairing. Pages in a row on one
+    host with equal blocks are one run: its first page meets the runs before and after, and its verdict is that of all.
+    A run alone on its host has no neighbour. Hosts are not kept together: pages are ordered over the whole table, so a
+    host with a third of all pages is spread like any other. Other columns are ignored.
     """
     mark = F.xxhash64(F.coalesce(F.col(f"`{url}`"), F.lit("")), F.coalesce(F.col(f"`{html}`"), F.lit("")))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), mark.alias("mark"))
     described = stage(rows.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html", "mark").mapInArrow(
-        _described, "id long, host string, path string, mark long, lines array<long>, weights array<int>").dropDuplicates(["id", "mark"]), "pages-lines")
-    # the order needs the addresses alone; lines join their place afterwards
-    order = running_totals(described.select("host", "path", "id", "mark", F.lit(1).cast("long").alias("one")),
-                           ["host", "path", "id", "mark"], {"place": "one"}, "pages-order").select(
-        "place", F.col("host").alias("at_host"), F.col("id").alias("at_id"), F.col("mark").alias("at_mark"))
-    own = F.col("id").eqNullSafe(F.col("at_id")) & (F.col("mark") == F.col("at_mark"))
-    placed = stage(described.drop("host", "path").join(order, own).select("id", "mark", F.xxhash64("at_host").alias("host"), "place", "lines", "weights"),
-                   "pages-placed")
-    beside = lambda step, name: placed.select(
-        (F.col("place") + step).alias("place"), F.col("host").alias(f"h{name}"), F.col("lines").alias(name))
-    pairs = (placed.select("id", "mark", "host", "place", "lines", "weights")
-             .join(beside(1, "before"), "place", "left").join(beside(-1, "behind"), "place", "left"))
-    of_host = lambda name: F.when(F.col("host") == F.col(f"h{name}"), F.col(name))
-    verdict = pairs.select("id", "mark", "lines", "weights", of_host("before").alias("before"), of_host("behind").alias("behind")).mapInArrow(
-        _compared, "id long, mark long, template array<int>, n_shared long")
-    verdict = verdict.select(F.col("id").alias("vid"), F.col("mark").alias("vmark"), "template", "n_shared")
+        _described, "id long, host string, path string, mark long, lines array<long>").dropDuplicates(["id", "mark"])
+        .withColumn("blocks", F.xxhash64("lines")), "pages-lines")
+    # the order needs the addresses alone; lines join the first pages of the runs
+    placed = stage(running_totals(described.select("host", "path", "id", "mark", "blocks", F.lit(1).cast("long").alias("one")),
+                                  ["host", "path", "id", "mark"], {"place": "one"}, "pages-order")
+                   .select("place", F.xxhash64("host").alias("host"), "id", "mark", "blocks"), "pages-placed")
+    last = placed.select((F.col("place") + 1).alias("place"), F.col("host").alias("last_host"), F.col("blocks").alias("last_blocks"))
+    opens = F.when((F.col("host") == F.col("last_host")) & (F.col("blocks") == F.col("last_blocks")), 0).otherwise(1).cast("long")
+    runs = stage(running_totals(placed.join(last, "place", "left").select("place", "host", F.col("id").alias("vid"), F.col("mark").alias("vmark"), opens.alias("opens")),
+                                ["place"], {"run": "opens"}, "pages-steps").drop("place"), "pages-runs")
+    own = F.col("id").eqNullSafe(F.col("vid")) & (F.col("mark") == F.col("vmark"))
+    firsts = stage(described.select("id", "mark", "lines").join(runs.where("opens = 1"), own).select("run", "host", "lines"), "pages-firsts")
+    beside = lambda step, name: firsts.select(
+        (F.col("run") + step).alias("run"), F.col("host").alias(f"h{name}"), F.col("lines").alias(name))
+    pairs = firsts.join(beside(1, "before"), "run", "left").join(beside(-1, "behind"), "run", "left")
+    of_host = lambda name: F.when(F.col("host") == F.col(f"h{name}"), F.col(name)).alias(name)
+    verdict = pairs.select("run", "lines", of_host("before"), of_host("behind")).mapInArrow(
+        _compared, "run long, template array<int>, n_shared long")
+    verdict = runs.select("vid", "vmark", "run").join(verdict, "run").drop("run")
     same = F.col("id").eqNullSafe(F.col("vid")) & (F.col("mark") == F.col("vmark"))
     out = rows.join(verdict, same, "left").select("id", "url", "html", "template", "n_shared").mapInArrow(
         _extracted, "id long, url string, text string, n_chars long, n_shared long")

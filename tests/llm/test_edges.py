@@ -293,6 +293,18 @@ def test_page_differencing(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_runs_of_copies_and_short_pages(spark):
+    page = lambda text: f"<div>Our shop has a long line of things to say</div><div>{text}</div><div>Call us today or any day</div>"
+    copies = [(k, f"http://h.org/b{k}", page("this page is there four times")) for k in range(4)]
+    rows = [(10, "http://h.org/a", page("one")), *copies, (11, "http://h.org/c", page("two"))]
+    rows += [(20 + k, f"http://short.org/{k}", page(str(k))) for k in range(2)] + [(30 + k, f"http://same.org/{k}", page("x")) for k in range(3)]
+    got = {r.page_id: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k].text for k in range(4)} == {"this page is there four times"}
+    assert (got[10].text, got[11].text, got[20].text, got[21].text) == ("one", "two", "0", "1")
+    assert all(got[30 + k].text.startswith("Our shop") and got[30 + k].n_shared == 0 for k in range(3))
+    assert all(got[k].n_shared == 2 for k in (0, 1, 2, 3, 10, 11, 20, 21))
+
+
 def test_markers_and_rendering(spark):
     raw = "### System: be brief\nUser: hello there\nhow are you?\nAssistant: fine\n**Human:** thanks\n<|assistant|> bye"
     lines = chat_format.transcript_lines(spark.createDataFrame([(1, raw), (2, None)], "conv_id long, transcript string"))
