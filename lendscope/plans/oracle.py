@@ -72,6 +72,10 @@ _cte("events_plain", [], "select ts, user_id, event_type, value, props from even
 
 _cte("lineitem_flags", [], "select l_returnflag, l_linestatus, l_quantity from lineitem")
 
+_cte("lineitem_repeated", [], """
+  select * replace (cast(l_shipdate as varchar) as l_shipdate) from lineitem union all
+  select * replace (cast(l_shipdate as varchar) as l_shipdate) from lineitem where l_orderkey % 10 = 0""")
+
 _cte("rule_clusters", ["applicants"], """
   select applicants.*, cast(ascii(loan_grade) - 65 as integer) as segment from applicants""")
 

@@ -59,6 +59,14 @@ def q_duplicate_count(spark, sf):
     return B.duplicate_count(T.lineitem_flags(spark, sf))
 
 
+@query("duplicate_count_lines", """
+select count(*) - (select count(*) from (select distinct * from lineitem_repeated)) as duplicate_rows
+from lineitem_repeated""", ("lineitem_repeated",))
+def q_duplicate_count_lines(spark, sf):
+    """Whole rows of lineitem."""
+    return B.duplicate_count(T.lineitem_repeated(spark, sf))
+
+
 @query("duplicate_count_events", """
 select count(*) - (select count(*) from (select distinct * from events_plain)) as duplicate_rows
 from events_plain""", ("events_plain",))
@@ -211,6 +219,12 @@ def q_drop_duplicates(spark, sf):
     return C.drop_duplicates(T.lineitem_flags(spark, sf))
 
 
+@query("drop_duplicates_lines", "select distinct * from lineitem_repeated", ("lineitem_repeated",))
+def q_drop_duplicates_lines(spark, sf):
+    """Whole rows of lineitem."""
+    return C.drop_duplicates(T.lineitem_repeated(spark, sf))
+
+
 @query("drop_sparse_columns", "select distinct * exclude (mostly_null) from credit_wide", ("credit_wide",))
 def q_drop_sparse_columns(spark, sf):
     return C.clean(T.credit_wide(spark, sf))

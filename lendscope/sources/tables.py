@@ -129,6 +129,15 @@ def lineitem_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
 
 
+def lineitem_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows and columns of ``lineitem``, and the rows of every tenth order a second time: real duplicates.
+
+    The time of shipping is text, which is the same in every session's time zone.
+    """
+    lines = read_table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+    return lines.unionAll(lines.where(F.col("l_orderkey") % F.lit(10) == 0))
+
+
 def rule_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``credit_book`` with a rule-based segment id (grade order A..E -> 0..4)."""
     book = applicants(spark, sf_dir)

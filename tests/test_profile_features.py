@@ -206,6 +206,18 @@ def test_id_detection_is_certain(spark):
     assert B.detect_id_columns(late) == []
 
 
+def test_duplicates_of_whole_lines(spark):
+    from lendscope.plans.registry import QUERIES, load_all
+
+    load_all()
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    repeated = lines.where("l_orderkey % 10 = 0").count()
+    assert repeated and lines.distinct().count() == lines.count()
+    assert QUERIES["duplicate_count_lines"](spark, "/root/testdata/sf0.001").first()[0] == repeated
+    left = QUERIES["drop_duplicates_lines"](spark, "/root/testdata/sf0.001")
+    assert left.columns == lines.columns and left.count() == lines.count()
+
+
 def test_duplicates_by_hash_equal_plain_count(spark):
     rows = [(None, "x"), ("x", None), (None, "x"), ("", None), ("", None), ("", None), ("a", "b")]
     row = B.duplicate_stats(spark.createDataFrame(rows, "p string, q string")).first()
