@@ -15,6 +15,17 @@ def q_csv_scan(spark, sf):
     return CSV.read_csv(spark, path)
 
 
+@query("csv_scan_orders", """
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(o_orderdate as varchar) as o_orderdate, o_orderpriority
+from orders""")
+def q_csv_scan_orders(spark, sf):
+    """Every column of a table that grows; no field holds a line break, so files are split."""
+    path = scratch_path(spark, f"csv/{slug(sf)}/orders")
+    orders = T.read_table(spark, sf, "orders")
+    CSV.write_csv(orders.withColumn("o_orderdate", orders["o_orderdate"].cast("string")), path)
+    return CSV.read_csv(spark, path, multiline=False)
+
+
 @query("csv_roundtrip_applicants", """
 select loan_id, person_age,
        person_income, person_emp_length, loan_intent, loan_grade,

@@ -193,6 +193,17 @@ def test_csv_hostile_fixture(spark, tmp_path):
     assert again.dtypes == df.dtypes and sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
 
 
+def test_csv_scan_of_orders(spark):
+    from lendscope.plans.registry import QUERIES, load_all
+
+    load_all()
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    got = QUERIES["csv_scan_orders"](spark, "/root/testdata/sf0.001")
+    assert got.columns == orders.columns and got.count() == orders.count()
+    plan = got._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().options()
+    assert plan.get("multiLine").get() == "false"
+
+
 def test_target_with_nan_is_found(spark):
     df = spark.createDataFrame([(float("nan"), 1.5), (1.0, 2.5), (0.0, 2.5), (0.0, 3.5)], "t double, x double")
     assert B.detect_target_column(df) == ("t", "binary")
