@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lendscope.llm import chat_format, language_id, piece_codec, quality_model
 from lendscope.llm.exact_dedup import exact_dedup
+from lendscope.llm.filter_audit import audit
 from lendscope.llm.html_extract import extract_pages
 from lendscope.llm.mixing import mix
 from lendscope.llm.near_dedup import near_classes
@@ -84,7 +85,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.parse_transcripts(_table(spark, sf_dir, "conversations"), learned)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_piece_codec, op4_quality_rules, op5_html_extract,
-                            op6_exact_dedup, op7_sharding, op8_quality_model, op9_mixing, op10_chat_format)
+                            op6_exact_dedup, op7_sharding, op8_quality_model, op9_mixing, op10_chat_format,
+                            op13_filter_audit)
 }

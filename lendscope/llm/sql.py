@@ -105,7 +105,40 @@ cuts as (
     where cuts.after < (select n from whole)) step join prefix next on next.i = step.i),
 pass as (select p.i, max(cuts.shard) shard from prefix p join cuts on cuts.after < p.i group by p.i)"""
 
+#: Masks of failed filters (``masks``: part, mask, good, toxic) of ``documents``.
+AUDIT = r"""
+words as (select doc_id, coalesce(source, '') part, coalesce(text, '') t,
+                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+judged as (select words.*, min(doc_id) over (partition by t) lowest from words),
+marks as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by doc_id),
+masks as (select part, (case when len(ws) < 200 then 1 else 0 end)
+                 + (case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 2 else 0 end)
+                 + (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 4 else 0 end)
+                 + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end)
+                 + (case when doc_id > lowest then 16 else 0 end) mask,
+                 coalesce(good, 0) good, coalesce(toxic, 0) toxic
+          from judged left join marks using (doc_id)),
+cell as (select part, mask, count(*)::bigint n, sum(good)::bigint good, sum(toxic)::bigint toxic from masks group by all),
+letters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+prefixes as (select '' prefix, '' letter, 0 bit, 0 applied, 0 step
+             union all
+             select prefix || l.letter, l.letter, l.bit, applied | prefixes.bit, step + 1
+             from prefixes join letters l on not contains(prefix, l.letter)),
+steps as (select part, prefix, letter, step,
+                 coalesce(sum(n) filter (mask & (applied | bit) = 0), 0)::bigint kept,
+                 coalesce(sum(n) filter (mask & bit <> 0 and mask & applied = 0), 0)::bigint removed,
+                 coalesce(sum(n) filter (mask & bit <> 0 and mask & applied <> 0), 0)::bigint redundant,
+                 coalesce(sum(n) filter (mask = bit), 0)::bigint unique_fails,
+                 coalesce(sum(good) filter (mask & bit <> 0 and mask & applied = 0), 0)::bigint good_lost,
+                 coalesce(sum(toxic) filter (mask & bit <> 0 and mask & applied = 0), 0)::bigint toxic_lost
+          from prefixes, cell where step > 0 group by all),
+orders as (select prefix filter_order from prefixes where step = 5),
+listed as (select filter_order, steps.* from orders join steps on starts_with(filter_order, prefix))"""
+
 SQL: dict[str, str] = {
+    "op13_filter_audit": "with recursive " + AUDIT + """
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, letter))::bigint shapley from listed""",
     "op7_sharding": "with recursive " + SHARDS.replace("CRC_TABLE", _crc_table()) + """
 select doc_id, size, text_crc32, 'bytes' law, shard,
        row_number() over (partition by shard order by lead, doc_id) - 1 slot, null::integer grown_shard
