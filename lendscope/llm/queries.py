@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm import chat_format, language_id, piece_codec, quality_model
+from lendscope.llm import chat_format, language_id, license_scan, piece_codec, quality_model
 from lendscope.llm.exact_dedup import exact_dedup
 from lendscope.llm.filter_audit import audit
 from lendscope.llm.html_extract import extract_pages
@@ -85,12 +85,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.parse_transcripts(_table(spark, sf_dir, "conversations"), learned)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = license_scan.scan(docs, license_scan.fit(docs))
+    found = F.col("licences")
+    return scanned.select("doc_id", found.n_words.alias("n_words"), found.n_base.alias("n_base"), found.first_word.alias("first_word"),
+                          found.last_word.alias("last_word"), F.concat_ws(",", found.base_labels).alias("base_labels"),
+                          F.concat_ws(",", found["labels"]).alias("labels"), found.score.alias("score"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_piece_codec, op4_quality_rules, op5_html_extract,
-                            op6_exact_dedup, op7_sharding, op8_quality_model, op9_mixing, op10_chat_format,
+                            op6_exact_dedup, op7_sharding, op8_quality_model, op9_mixing, op10_chat_format, op11_license_scan,
                             op13_filter_audit)
 }
