@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.llm import chat_format, language_id, license_scan, piece_codec, quality_model
+from lendscope.llm.collocation import collocations
 from lendscope.llm.exact_dedup import exact_dedup
 from lendscope.llm.filter_audit import audit
 from lendscope.llm.html_extract import extract_pages
@@ -94,6 +95,10 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.concat_ws(",", found["labels"]).alias("labels"), found.score.alias("score"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -101,5 +106,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_piece_codec, op4_quality_rules, op5_html_extract,
                             op6_exact_dedup, op7_sharding, op8_quality_model, op9_mixing, op10_chat_format, op11_license_scan,
-                            op13_filter_audit)
+                            op12_collocations, op13_filter_audit)
 }

@@ -135,7 +135,30 @@ steps as (select part, prefix, letter, step,
 orders as (select prefix filter_order from prefixes where step = 5),
 listed as (select filter_order, steps.* from orders join steps on starts_with(filter_order, prefix))"""
 
+#: Collocations of ``documents``: every phrase counted on its own.
+PHRASES = r"""
+piece as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') ws from piece),
+gram as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) phrase
+         from words, range(1, 5) t(k) where len(ws) >= k),
+f as (select lang, k, phrase, count(*)::hugeint f from gram group by all),
+n as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+cand as (select lang, k, phrase, f a, string_split(phrase, ' ') ws from f where k >= 2 and f >= 30),
+cut as (select cand.*, c, array_to_string(ws[:c], ' ') x, array_to_string(ws[c + 1:], ' ') y from cand, range(1, 4) t(c) where c < k),
+scored as (select cut.lang, cut.phrase, a, c, fx.f l, fy.f r, (2000000::hugeint * a) // (fx.f + fy.f) score
+           from cut join f fx on fx.lang = cut.lang and fx.phrase = x join f fy on fy.lang = cut.lang and fy.phrase = y),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inside as (select lang, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))) phrase, a longer
+           from cand, range(2, 4) t(j) where j < k),
+held as (select lang, phrase, max(longer) longer from inside group by all),
+kept as (select lowest.* from lowest left join held using (lang, phrase) where longer is null or 100 * longer < 80 * a)"""
+
 SQL: dict[str, str] = {
+    "op12_collocations": "with " + PHRASES + """
+select lang, rank, phrase, a::bigint a, l::bigint l, r::bigint r, n, score::bigint score
+from (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) rank from kept) join n using (lang)
+where rank <= 2000""",
     "op13_filter_audit": "with recursive " + AUDIT + """
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        (sum(removed) over (partition by part, letter))::bigint shapley from listed""",
