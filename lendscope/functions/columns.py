@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fresh(columns: Sequence[str], name: str) -> str:
+    """A column name that clashes with none of ``columns`` (compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def round_half_even(c: str | Column, digits: int) -> Column:
     """NumPy-style rounding: ``rint(x * 10^d) / 10^d`` (half to even on the scaled value).
 

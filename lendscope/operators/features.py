@@ -82,7 +82,7 @@ class FittedFeatures:
         for c in self.cat_features:
             cat = f"coalesce(cast({_q(c)} as string), '{S.MISSING_CATEGORY}')"
             for lv in self.levels[c]:
-                lv_sql = lv.replace("'", "\\'")
+                lv_sql = lv.replace("\\", "\\\\").replace("'", "\\'")
                 exprs.append(f"CASE WHEN {cat} = '{lv_sql}' THEN 1.0D ELSE 0.0D END")
         cols = ", ".join(f"{e} AS __f{i}" for i, e in enumerate(exprs))
         return f"SELECT *, {cols} FROM __THIS__"
@@ -167,49 +167,58 @@ def matrix_long(df: DataFrame, fitted: FittedFeatures, key: str, extra: Sequence
 
 # ------------------------------------------------------------------ split and weights
 
-def _hash_key(key: str) -> Column:
-    """Multiplicative hash of the key in [0, 2^32): fits in bigint arithmetic, no overflow."""
-    return ((F.col(_q(key)) % F.lit(2147483648)) * F.lit(2654435761)) % F.lit(4294967296)
+def _hash_key(key: Column) -> Column:
+    """Multiplicative hash of a key in [0, 2^32), negative keys too: fits in bigint arithmetic, no overflow."""
+    return (F.pmod(key, F.lit(2147483648)) * F.lit(2654435761)) % F.lit(4294967296)
 
 
 def _cuts(rows: DataFrame, wanted: dict, bucket_bits: int) -> dict:
-    """For each class the (hash, key) of its last train row: found from counts by hash bucket, then by hash, then by
-    key among the rows of one hash. ``rows`` has c (class), h (hash), k (key)."""
-    at: dict = {}  # class -> (lower bound of the hash, rows before it)
-    for shift in (32 - bucket_bits, 0):
-        bucket = F.shiftrightunsigned(F.col("h"), shift)
-        if shift:
-            inside = F.lit(True)
-        else:
-            inside = F.lit(False)
-            for c, (b, _) in at.items():
-                inside = inside | (F.col("c").eqNullSafe(F.lit(c)) & (F.shiftrightunsigned(F.col("h"), 32 - bucket_bits) == b))
-        counts = rows.where(inside).groupBy("c", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        # at most 2^bucket_bits (then 2^(32 - bucket_bits)) rows a class
+    """For each class the place of its last train row, as the values of h, k and t down to the first that decides it.
+
+    ``rows`` has c (class) and the order's columns h (hash), k (key), t (row hash). The place is narrowed by counts of
+    buckets: of the hash's upper bits, of the hash, then, only for classes where rows share that hash, of the key, and,
+    only where rows share the key, of the row hash, 16 bits a step. A step holds 2^16 counts a class
+    (of the hash, 2^``bucket_bits``), but for the keys that share one hash value (a share of 2^-32 of them).
+    """
+    shift = 32 - bucket_bits
+    levels = [("h", F.shiftright(F.col("h"), shift)), ("h", F.col("h")), ("k", F.col("k")),
+              *[("t", F.shiftright(F.col("t"), x)) for x in (47, 31, 15)], ("t", F.col("t"))]
+    at: dict = {c: (F.lit(True), 0) for c in wanted}  # class -> (rows still in question, rows before them)
+    found: dict = {c: {} for c in wanted}
+    for name, bucket in levels:
+        if not at:
+            break
+        inside, goal = F.lit(False), F.lit(None).cast("long")
+        for c, (where, before) in at.items():
+            own = F.col("c").eqNullSafe(F.lit(c))
+            inside = inside | (own & where)
+            goal = F.when(own, F.lit(wanted[c] - before)).otherwise(goal)
+        counts = rows.where(inside).groupBy("c", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max(name).alias("most"))
         through = F.sum("n").over(Window.partitionBy("c").orderBy("b"))
-        start = {c: at[c][1] if at else 0 for c in wanted}
-        goal = F.lit(None).cast("long")
-        for c, n in wanted.items():
-            goal = F.when(F.col("c").eqNullSafe(F.lit(c)), F.lit(n - start[c])).otherwise(goal)
-        found = (counts.withColumn("t", through).where((F.col("t") >= goal) & (F.col("t") - F.col("n") < goal)).collect())
-        at = {r["c"]: (r["b"], start[r["c"]] + r["t"] - r["n"]) for r in found}
-    out = {}
-    for c, (h, before) in at.items():  # rows that share one hash value: a class's share of 2^-32 of its rows
-        same = rows.where(F.col("c").eqNullSafe(F.lit(c)) & (F.col("h") == h)).orderBy("k").limit(wanted[c] - before)
-        out[c] = (h, same.agg(F.max("k")).first()[0])
-    return out
+        hit = counts.withColumn("to", through).where((F.col("to") >= goal) & (F.col("to") - F.col("n") < goal)).collect()
+        for r in hit:
+            c, (where, before) = r["c"], at.pop(r["c"])
+            found[c][name] = r["most"]
+            if before + r["to"] > wanted[c]:  # the bucket goes on beyond the last train row
+                at[c] = (where & (bucket == r["b"]), before + r["to"] - r["n"])
+    return found
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = S.TEST_SIZE,
                      bucket_bits: int = S.SPLIT_BUCKET_BITS) -> DataFrame:
     """Exact stratified split; adds ``is_train``.
 
-    Within each class rows are ordered by (hash(key), key); the first ``n_c - rint(test_size * n_c)`` are train. The
-    last train row of each class is found from bucket counts over a narrow written table of classes and keys, and the
+    Within each class rows are ordered by (hash(key), key, hash of the row); the first ``n_c - rint(test_size * n_c)`` are
+    train. Any whole numbers are keys, negative and repeated ones too: rows that share a key are told apart by their other
+    columns, a NULL key by the row's hash. Only rows equal in every column stay together (on the train side, if the cut
+    falls among them). The last train row of each class is found from bucket counts over a narrow written table, and the
     split itself is a projection against these literals: no join, no window over a class. A missing label raises.
     Where a class has fewer than two rows, or there are more classes than test rows, all rows are split as one class.
     """
-    rows = written(df.select(F.col(_q(label)).alias("c"), F.col(_q(key)).alias("k"), _hash_key(key).alias("h")), "split-keys")
+    row_hash = F.shiftrightunsigned(F.xxhash64(*[F.col(_q(c)) for c in df.columns]), 1)
+    order = {"k": F.coalesce(F.col(_q(key)).cast("long"), row_hash), "t": row_hash}
+    order = {"h": _hash_key(order["k"]), **order}
+    rows = written(df.select(F.col(_q(label)).alias("c"), *[x.alias(n) for n, x in order.items()]), "split-keys")
     classes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     found = classes.limit(S.SPLIT_MOST_CLASSES + 1).collect()
     if len(found) > S.SPLIT_MOST_CLASSES:
@@ -224,9 +233,12 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = S.T
     wanted = {c: n - int(np.rint(test_size * n)) for c, n in sizes.items()}
     last = _cuts(rows, {c: n for c, n in wanted.items() if n}, bucket_bits)
     train = F.lit(False)
-    h, k = _hash_key(key), F.col(_q(key))
-    for c, (cut_h, cut_k) in last.items():
-        train = F.when(own == F.lit(c), (h < cut_h) | ((h == cut_h) & (k <= cut_k))).otherwise(train)
+    for c, place in last.items():
+        within = F.lit(True)
+        for name in reversed([n for n in ("h", "k", "t") if n in place]):
+            here = F.lit(place[name])
+            within = (order[name] < here) | ((order[name] == here) & within)
+        train = F.when(own == F.lit(c), within).otherwise(train)
     return df.withColumn("is_train", train)
 
 

@@ -86,30 +86,33 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ B5-B6
 
-def detect_id_columns(df: DataFrame) -> list[str]:
-    """Name contains an id pattern, else an int/long/double column with all values present and distinct.
+def unique_columns(df: DataFrame, cands: Sequence[str]) -> list[str]:
+    """Those of ``cands`` (numbers) in which no value is missing and none repeats.
 
     One pass refutes for certain: a missing value, or whole numbers in a range narrower than the rows. A repeated
     value among some first rows refutes as well. What is left is counted exactly.
     """
-    by_name = [c for c in df.columns if any(p in c.lower() for p in S.ID_COLUMN_PATTERNS)]
     fields = {f.name: f for f in df.schema.fields}
-    cands = [f.name for f in df.schema.fields
-             if f.name not in by_name and isinstance(f.dataType, _ID_TYPES)]
-    unique: list[str] = []
-    if cands:
-        row = df.agg(F.count(F.lit(1)).alias("_n"), *[x for i, c in enumerate(cands) for x in (
-            F.count_if(_is_null(c, fields[c].dataType)).alias(f"null{i}"),
-            (F.max(F.col(f"`{c}`")) - F.min(F.col(f"`{c}`"))).cast("double").alias(f"span{i}"))]).first()
-        n = row["_n"]
-        left = [c for i, c in enumerate(cands) if n and not row[f"null{i}"]
-                and (isinstance(fields[c].dataType, DoubleType) or row[f"span{i}"] >= n - 1)]
-        for rows in (df.select(*[F.col(f"`{c}`") for c in left]).limit(10_000), df):
-            if left:
-                exact = rows.agg(F.count(F.lit(1)).alias("_n"), *[
-                    F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(left)]).first()
-                left = [c for i, c in enumerate(left) if exact[f"d{i}"] == exact["_n"]]
-        unique = left
+    if not cands:
+        return []
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[x for i, c in enumerate(cands) for x in (
+        F.count_if(_is_null(c, fields[c].dataType)).alias(f"null{i}"),
+        (F.max(F.col(f"`{c}`")) - F.min(F.col(f"`{c}`"))).cast("double").alias(f"span{i}"))]).first()
+    n = row["_n"]
+    left = [c for i, c in enumerate(cands) if n and not row[f"null{i}"]
+            and (isinstance(fields[c].dataType, DoubleType) or row[f"span{i}"] >= n - 1)]
+    for rows in (df.select(*[F.col(f"`{c}`") for c in left]).limit(10_000), df):
+        if left:
+            exact = rows.agg(F.count(F.lit(1)).alias("_n"), *[
+                F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(left)]).first()
+            left = [c for i, c in enumerate(left) if exact[f"d{i}"] == exact["_n"]]
+    return left
+
+
+def detect_id_columns(df: DataFrame) -> list[str]:
+    """Name contains an id pattern, else an int/long/double column with all values present and distinct."""
+    by_name = [c for c in df.columns if any(p in c.lower() for p in S.ID_COLUMN_PATTERNS)]
+    unique = unique_columns(df, [f.name for f in df.schema.fields if f.name not in by_name and isinstance(f.dataType, _ID_TYPES)])
     return [c for c in df.columns if c in by_name or c in unique]
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.functions.columns import r4
+from lendscope.functions.columns import fresh, r4
 from lendscope.operators import clean as C
 from lendscope.operators import features as D
 from lendscope.operators import metrics as G
@@ -35,18 +35,20 @@ class Prepared:
 def prepare(df: DataFrame, target: str | None = None) -> Prepared:
     """Clean (C1, C2), detect target and ids (B5, B6), assign roles (B7, B8), split (D6) and fit on the train side.
 
-    Rows are told apart in the split by the first whole-numbered id column, or by a hash of the row without one.
+    Rows are told apart in the split by the first id column of whole numbers that is unique, or by a hash of the row
+    without one. The cleaned rows are written once; detection, split and fits read that.
     """
-    rows = C.clean(df)
+    rows = materialize(C.drop_duplicates(df))
+    rows = rows.drop(*C.sparse_columns(rows))
     target, _ = B.detect_target_column(rows, target)
     if target is None:
         raise ValueError("no target column was found")
     ids = [c for c in B.detect_id_columns(rows) if c != target]
     kinds = dict(rows.dtypes)
-    key = next((c for c in ids if kinds[c] in ("int", "bigint")), None)
+    key = next((c for c in ids if kinds[c] in ("int", "bigint") and B.unique_columns(rows, [c])), None)
     if key is None:
-        key = "_row"
-        rows = rows.withColumn(key, F.abs(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]) % F.lit(2**62)))
+        key = fresh(rows.columns, "_row")
+        rows = rows.withColumn(key, F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), 1))
     skip = {*ids, target, key}
     split = materialize(D.stratified_split(rows, target, key))
     nums, cats = B.numeric_columns(rows, skip), B.categorical_columns(rows, skip)

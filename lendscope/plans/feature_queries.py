@@ -44,7 +44,7 @@ oracle._cte("split", ["applicants"], """
   select * exclude (h, n_c, rn), rn <= n_c - cast(round_even(0.2E0 * n_c, 0) as bigint) as is_train from (
     select *, count(*) over (partition by loan_status) as n_c,
            row_number() over (partition by loan_status order by h, loan_id) as rn
-    from (select *, ((loan_id % 2147483648) * 2654435761) % 4294967296 as h from applicants))""")
+    from (select *, (((loan_id % 2147483648 + 2147483648) % 2147483648) * 2654435761) % 4294967296 as h from applicants))""")
 oracle._cte("train_medians", ["split"], "select " + ", ".join(
     f"median(cast({c} as double)) as {c}" for c in NUM_FEATURES) + " from split where is_train")
 oracle._cte("imputed", ["split", "train_medians"], "select s.loan_id, s.loan_status, s.is_train, " + ", ".join(
@@ -67,6 +67,10 @@ oracle._cte("matrix_long", ["scaled", "levels"], " union all ".join(
            from scaled s, (select level, row_number() over (order by level) as rk from levels
                            where feature = '{c}') l""" for j, c in enumerate(CAT_FEATURES)]))
 
+# Roles as the data show them: numbers without a missing or repeated value are ids, no features.
+oracle._cte("found_ids", ["applicants"], "select name from (" + " union all ".join(
+    f"select '{c}' as name, count(distinct {c}) = count(*) and count(*) > 0 as is_id from applicants" for c in NUM_FEATURES) + ") where is_id")
+
 
 # ------------------------------------------------------------------ queries
 
@@ -136,7 +140,7 @@ def q_scale_pos_weight(spark, sf):
 @query("prepare_features", f"""
 select case when is_train then 'train' else 'test' end as side, feature, count(*) as n,
        {sql_r4('avg(value)')} as mean, {sql_r4('stddev_pop(value)')} as std
-from matrix_long group by is_train, feature""", ("matrix_long",))
+from matrix_long where feature not in (select name from found_ids) group by is_train, feature""", ("matrix_long", "found_ids"))
 def q_prepare_features(spark, sf):
     """D9 on the raw applicant table: target, id and roles are found, not given."""
     ready = prepared(spark, sf)

@@ -35,7 +35,8 @@ _cte("credit_book", [], """
       case when top_tax = 1 then 'Y' else 'N' end as cb_person_default_on_file,
       1 + c_custkey % 45 as cb_person_cred_hist_length
     from orders join customer on c_custkey = o_custkey left join li on l_orderkey = o_orderkey),
-  p as (select b.*, cast(loan_amnt as double) / cast(person_income as double) as loan_percent_income from b),
+  p as (select b.*, (round_even(cast(loan_amnt as double) / cast(person_income as double) * 10000.0E0, 0) / 10000.0E0 + 0.0E0)
+               as loan_percent_income from b),
   s as (
     select p.*, -2.5E0
       + case when cb_person_default_on_file = 'Y' then 2.5E0 else 0.0E0 end

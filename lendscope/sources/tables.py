@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.functions.columns import sigmoid
+from lendscope.functions.columns import r4, sigmoid
 from lendscope.operators.scorecard import scorecard_logit
 from lendscope.plans.fitted import memo
 
@@ -83,7 +83,7 @@ def _build_credit_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     book = book.withColumn(
         "loan_percent_income",
-        F.col("loan_amnt").cast("double") / F.col("person_income").cast("double"),
+        r4(F.col("loan_amnt").cast("double") / F.col("person_income").cast("double")),  # a ratio of 4 decimals
     )
     book = book.select(
         "loan_id", "customer_id", "person_age", "person_income", "person_emp_length", "loan_intent",

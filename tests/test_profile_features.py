@@ -9,6 +9,7 @@ from lendscope.operators import clean as C
 from lendscope.operators import features as D
 from lendscope.operators import metrics as G
 from lendscope.operators import profile as B
+from lendscope.operators import training as TR
 
 
 def test_id_trap_and_uniqueness(spark):
@@ -304,3 +305,45 @@ def test_quantiles_shuffle_no_raw_rows(spark):
         type(spark.range(1)).collect = listed
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(plans) >= 2 and all("SortMergeJoin" not in p and "ShuffledHashJoin" not in p for p in plans)
+
+
+def _sides(out):
+    return {(r["y"], r["is_train"]): r["n"] for r in out.groupBy("y", "is_train").agg(F.count("*").alias("n")).collect()}
+
+
+def test_split_of_negative_and_repeated_keys(spark):
+    label = (F.col("id") % 5 == 0).cast("int").alias("y")
+    negative = spark.range(1000).select((F.col("id") - 500).alias("k"), label)
+    assert _sides(D.stratified_split(negative, "y", "k")) == {(0, True): 640, (0, False): 160, (1, True): 160, (1, False): 40}
+    ten = spark.range(1000).select((F.col("id") % 10).alias("k"), "id", label)
+    assert _sides(D.stratified_split(ten, "y", "k")) == {(0, True): 640, (0, False): 160, (1, True): 160, (1, False): 40}
+    one = spark.range(1000).select(F.lit(7).alias("k"), "id", label)
+    assert _sides(D.stratified_split(one, "y", "k", bucket_bits=4)) == {(0, True): 640, (0, False): 160, (1, True): 160, (1, False): 40}
+    none = spark.range(1000).select(F.lit(None).cast("long").alias("k"), "id", label)
+    out = D.stratified_split(none, "y", "k")
+    assert _sides(out) == {(0, True): 640, (0, False): 160, (1, True): 160, (1, False): 40} and out.where("is_train is null").count() == 0
+    equal = spark.range(100).select(F.lit(7).alias("k"), (F.col("id") % 2).cast("int").alias("y"))
+    assert _sides(D.stratified_split(equal, "y", "k")) == {(0, True): 50, (1, True): 50}  # equal rows stay together
+    shuffled = ten.orderBy(F.rand(3)).repartition(7)
+    assert sorted(D.stratified_split(shuffled, "y", "k").where("is_train").select("id").collect()) == \
+        sorted(D.stratified_split(ten, "y", "k").where("is_train").select("id").collect())
+
+
+def test_prepare_chooses_a_unique_id(spark):
+    df = spark.range(1500).select((F.col("id") % 7).alias("residence"), (F.col("id") * 3 - 900).alias("loan_id"),
+                                  (F.col("id") % 11).cast("double").alias("x"), (F.col("id") % 4 == 0).cast("int").alias("loan_status"))
+    ready = TR.prepare(df)
+    assert (ready.key, ready.num_features) == ("loan_id", ["x"])
+    assert _sides(ready.split.withColumnRenamed("loan_status", "y")) == {(0, True): 900, (0, False): 225, (1, True): 300, (1, False): 75}
+    without = TR.prepare(df.drop("loan_id").withColumn("z", F.rand(1)).withColumn("w", F.lit("a")))
+    assert without.key == "_row" and without.split.where("is_train is null").count() == 0
+
+
+def test_levels_with_quotes_and_backslashes(spark):
+    levels = ["a\\", "o'k", "plain", "\\'", "x\\n"]
+    df = spark.createDataFrame([(i, levels[i % 5], float(i)) for i in range(50)], "k long, c string, x double")
+    fitted = D.fit_features(df, ["x"], ["c"])
+    from pyspark.ml.feature import SQLTransformer
+    rows = SQLTransformer(statement=fitted.sql_statement()).transform(df).orderBy("k").collect()
+    for r in rows:
+        assert [r[f"__f{i}"] for i in range(1, 6)] == [float(r["c"] == lv) for lv in fitted.levels["c"]]
