@@ -59,7 +59,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Delete the files of a table from ``written`` that no later step reads (nothing for any other DataFrame)."""
+    at = table.__dict__.pop("_written_at", None)
+    if at:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df):

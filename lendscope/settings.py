@@ -148,6 +148,8 @@ BOOST_ITERS = 300
 BOOST_DEPTH = 6
 BOOST_RATE = 0.05
 BOOST_SUBSAMPLE = 0.8
+BOOST_PENALTY = 1.0
+BOOST_LEAST_CHILD = 1.0
 
 
 # ---------------------------------------------------------------------------
