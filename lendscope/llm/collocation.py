@@ -14,10 +14,12 @@ the path and off the nodes between paths.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +32,9 @@ LONGEST = 4
 MIN_COUNT = 30
 TOP = 2_000
 SCALE = 2_000_000
-#: Distinct grams that a task holds before it emits their weights. Bounds memory, not results.
-HELD = 200_000
-#: Grams of a long piece that are made at once.
-RUN = 50_000
+#: Bytes of text whose grams a task sums at once, and grams of them (a long text is worked on in runs). Bounds memory only.
+CHUNK_BYTES = 3_000_000
+CHUNK_GRAMS = 500_000
 #: Pairs of first words are told apart by this many slots when shares are estimated; a slot above 1 / HOT_SHARE of the sampled
 #: grams is hot, and its grams are dealt by all their words. At most HOT_SHARE slots can be hot.
 SLOTS = 1 << 16
@@ -54,47 +55,71 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def grams_of(text: str | None) -> Iterator[list[bytes]]:
-    """For each piece of a text (long ones in runs), the gram that each of its words begins (UTF-8, joined by the gap). NULL has no pieces."""
-    data = (text or "").encode().translate(_TABLE)
+def _grams(texts: list[str]) -> Iterator[pa.Array]:
+    """The grams that the words of ``texts`` begin, as binary arrays of at most ``CHUNK_GRAMS``, words joined by the gap.
+
+    A gram is a slice of the joined text: from the start of its first word to the end of the last one that is no further
+    than ``LONGEST`` words and still in the piece.
+    """
+    data = b"\n".join(t.encode() for t in texts).translate(_TABLE)
     if _LOW.search(data):
         data = _LOW.sub(lambda m: _ESCAPED[m[0]], data)
-    for piece in data.split(b"\n"):
-        words = [w for w in piece.split(b" ") if w]
-        last = max(len(words) - LONGEST + 1, 0)  # from here on grams are cut off by the end of the piece
-        for i in range(0, last, RUN):
-            run = words[i:min(i + RUN, last) + LONGEST - 1]
-            yield list(map(_GAP.join, zip(*(run[j:] for j in range(LONGEST)))))
-        if words:
-            yield [_GAP.join(words[i:]) for i in range(last, len(words))]
+    a = np.frombuffer(data, np.uint8)
+    between = (a == 32) | (a == 10)
+    starts = np.flatnonzero(~between & np.concatenate([[True], between[:-1]]))
+    ends = np.flatnonzero(~between & np.concatenate([between[1:], [True]])) + 1
+    if not len(starts):
+        return
+    piece = np.cumsum(a == 10)[starts]
+    inside = piece[1:] == piece[:-1]
+    if (starts[1:] - ends[:-1])[inside].max(initial=1) > 1:  # several blanks in a row: only the first stays
+        keep = ~between | np.concatenate([[False], ~between[:-1]])
+        at = np.cumsum(keep) - 1
+        a, starts, ends = a[keep], at[starts], at[ends - 1] + 1
+    a = np.where(a == 32, np.uint8(ord(GAP)), a)
+    bounds = np.append(np.flatnonzero(~inside), len(starts) - 1)  # the last word of each piece
+    last = np.repeat(bounds, np.diff(bounds, prepend=-1))
+    ends = ends[np.minimum(np.arange(len(starts)) + LONGEST - 1, last)]
+    for i in range(0, len(starts), CHUNK_GRAMS):
+        yield _slices(a, starts[i:i + CHUNK_GRAMS], ends[i:i + CHUNK_GRAMS])
+
+
+def _slices(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The slices of a buffer as one binary array."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(a[at])])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) batches to (lang, gram, weight): weights summed over many texts, in the order of the grams."""
-    held: dict[str, Counter[bytes]] = {}
-
-    def emit() -> Iterator[pa.RecordBatch]:
-        for lang, counter in held.items():
-            grams = sorted(counter)
+    held: dict[str, list[str]] = defaultdict(list)
+    size: Counter[str] = Counter()
+
+    def emit(lang: str) -> Iterator[pa.RecordBatch]:
+        for grams in _grams(held.pop(lang, [])):
+            counted = grams.value_counts()
+            order = pc.sort_indices(counted.field(0))
+            grams, weights = counted.field(0).take(order), counted.field(1).take(order)
             for i in range(0, len(grams), 50_000):
-                part = grams[i:i + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
-                     pa.array([counter[g] for g in part], pa.int64())], names=["lang", "gram", "weight"])
-        held.clear()
+                part = grams[i:i + 50_000].cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part, weights[i:i + 50_000]], names=["lang", "gram", "weight"])
+        size.pop(lang, None)
 
-    size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counter = held.setdefault(lang, Counter())
-            before = len(counter)
-            for grams in grams_of(text.as_py()):
-                counter.update(grams)
-                if len(counter) - before + size >= HELD:  # a long text is emitted in several parts
-                    yield from emit()
-                    counter, before, size = held.setdefault(lang, Counter()), 0, 0
-            size += len(counter) - before
-    yield from emit()
+            text = text.as_py()
+            if text:
+                held[lang].append(text)
+                size[lang] += len(text)
+                if size[lang] >= CHUNK_BYTES:
+                    yield from emit(lang)
+        if size.total() >= 8 * CHUNK_BYTES:  # many languages, little of each
+            for lang in list(held):
+                yield from emit(lang)
+    for lang in list(held):
+        yield from emit(lang)
 
 
 def _pair(gram: Column) -> Column:
@@ -114,61 +139,108 @@ def edge_weights(docs: DataFrame) -> DataFrame:
 
 def hot_slots(docs: DataFrame) -> list[int]:
     """Slots of first words that hold more than 1 / ``HOT_SHARE`` of a sample's grams; at most ``HOT_SHARE`` of them."""
-    slots = (edge_weights(docs.sample(SAMPLE, 7)).groupBy(_slot(F.col("lang"), F.col("gram")).alias("slot"))
-             .agg(F.count(F.lit(1)).alias("n")))
+    slots = stage(edge_weights(docs.sample(SAMPLE, 7)).groupBy(_slot(F.col("lang"), F.col("gram")).alias("slot"))
+                  .agg(F.count(F.lit(1)).alias("n")), "gram-slots")
     total = slots.agg(F.sum("n")).first()[0] or 0
     return [r.slot for r in slots.where(F.col("n") * HOT_SHARE > total).collect()] if total else []
 
 
-def _flows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, weight, hot) sorted by lang and gram to (lang, phrase, n_words, f).
+class _Flow:
+    """Sums of sorted grams of one language by their first 1 to ``LONGEST`` words.
 
-    What begins with the same words stands together, so one running sum for each length is all that is held. Sums of one
-    word, and all but the longest of hot slots, are partial: other tasks have further edges out of these nodes. Complete
-    sums below ``least`` are left out.
+    What begins with the same words stands together, so beside the batch at hand only the sums of the last gram's own
+    beginnings are held. Sums of one word, and all but the longest of hot slots, are partial: other tasks have further edges
+    out of these nodes. Complete sums below ``least`` are left out.
     """
-    out: list[tuple[str, bytes, int, int]] = []
-    state: list[list] = [[None, None, 0, False] for _ in range(LONGEST)]  # lang, phrase, sum, hot
-
-    def close(k: int) -> None:
-        lang, phrase, f, hot = state[k]
-        if phrase is not None and (f >= least or k == 0 or hot and k < LONGEST - 1):
-            phrase = phrase.replace(_GAP, b" ")
-            out.append((lang, _PAIRS.sub(lambda m: _PLAIN[m[0]], phrase) if b"\x02" in phrase else phrase, k + 1, f))
-
-    def batch_of() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()).cast(pa.string()),
-             pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.int64())],
-            names=["lang", "phrase", "n_words", "f"])
-        out.clear()
-        return made
-
-    last_lang, last, last_words = None, None, []
-    for batch in batches:
-        for lang, gram, weight, hot in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(),
-                                           batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if gram == last and lang == last_lang:
-                for k in range(len(last_words)):
-                    state[k][2] += weight
+
+    def __init__(self, lang: str, least: int):
+        self.lang, self.least = lang, least
+        self.last, self.hot, self.sums = b"", False, [0] * LONGEST
+
+    def add(self, grams: pa.Array, weights: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sums that are complete once these grams are added."""
+        given = [pa.array([self.last], pa.binary()), grams.cast(pa.binary())] if self.last else [grams.cast(pa.binary())]
+        rows = pa.concat_arrays(given)
+        if self.last:
+            weights, hot = np.append(0, weights), np.append(self.hot, hot)
+        n = len(rows)
+        offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset:rows.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(rows.buffers()[2], np.uint8) if rows.buffers()[2] else np.zeros(0, np.uint8)
+        sizes = np.diff(offsets)
+        data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+        # Length of what each row has in common with the one before: its first byte that differs, or that the other lacks.
+        row = np.repeat(np.arange(n), sizes)
+        place = np.arange(len(data)) - offsets[row]
+        before = np.append(0, sizes[:-1])
+        other = np.maximum(np.arange(len(data)) - before[row], 0)
+        differs = np.flatnonzero((place >= before[row]) | (data != data[other]))
+        first = np.searchsorted(differs, offsets[:-1])
+        common = np.append(differs, len(data))[first] - offsets[:-1]
+        common = np.minimum(common, sizes)
+        common[0] = 0
+        gaps = np.flatnonzero(data == ord(GAP))
+        gap_row = row[gaps]
+        begin = np.searchsorted(gap_row, np.arange(n))
+        words = np.searchsorted(gap_row, np.arange(n), side="right") - begin + 1
+        known = np.append(gaps, 0)
+        for k in range(LONGEST):
+            has = words > k
+            # Where the first k + 1 words end, from the start of the row.
+            to = np.where(words > k + 1, known[np.minimum(begin + k, len(gaps))] - offsets[:-1], sizes)
+            same = has & np.append(False, has[:-1]) & (common >= to) & (to == np.append(-1, to[:-1]))
+            starts = np.flatnonzero(has & ~same)
+            if not len(starts):
+                self.sums[k] = 0
                 continue
-            words = gram.split(_GAP)
-            same = 0
-            if lang == last_lang:
-                while same < len(words) and same < len(last_words) and words[same] == last_words[same]:
-                    same += 1
-            for k in range(same):
-                state[k][2] += weight
-                state[k][3] |= hot
-            for k in range(same, LONGEST):
-                close(k)
-                state[k] = [lang, _GAP.join(words[:k + 1]), weight, hot] if k < len(words) else [None, None, 0, False]
-            last_lang, last, last_words = lang, gram, words
-        if len(out) >= 10_000:
-            yield batch_of()
-    for k in range(LONGEST):
-        close(k)
-    yield batch_of()
+            totals = np.add.reduceat(np.where(has, weights, 0), starts)
+            if self.last and has[0]:
+                totals[0] += self.sums[k]
+            goes_on = has[-1]  # the last sum may grow with the next grams
+            self.sums[k] = int(totals[-1]) if goes_on else 0
+            closed = len(starts) - int(goes_on)
+            wanted = self._wanted(k, totals[:closed], hot[starts[:closed]])
+            yield from self._out(k, data, offsets[starts[:closed]][wanted], (offsets[:-1] + to)[starts[:closed]][wanted], totals[:closed][wanted])
+        self.last, self.hot = data[offsets[-2]:].tobytes(), bool(hot[-1])
+
+    def _wanted(self, k: int, totals: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        return np.full(len(totals), True) if k == 0 else (totals >= self.least) | (hot if k < LONGEST - 1 else False)
+
+    def _out(self, k: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(totals):
+            phrases = _slices(np.where(data == ord(GAP), np.uint8(32), data), starts, ends)
+            if (data == 2).any():
+                phrases = pa.array([_PAIRS.sub(lambda m: _PLAIN[m[0]], x) for x in phrases.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.lang] * len(totals)), phrases.cast(pa.string()), pa.array(np.full(len(totals), k + 1, np.int32)), pa.array(totals)],
+                names=["lang", "phrase", "n_words", "f"])
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """The sums of the last gram's own beginnings."""
+        words = self.last.split(_GAP) if self.last else []
+        data = np.frombuffer(self.last, np.uint8)
+        for k in range(len(words)):
+            total = np.array([self.sums[k]])
+            if self._wanted(k, total, np.array([self.hot]))[0]:
+                yield from self._out(k, data, np.array([0]), np.array([len(_GAP.join(words[:k + 1]))]), total)
+
+
+def _flows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, weight, hot) sorted by lang and gram to (lang, phrase, n_words, f)."""
+    flow: _Flow | None = None
+    for batch in batches:
+        langs = batch.column(0)
+        at = 0
+        while at < len(langs):
+            lang = langs[at].as_py()
+            to = len(langs) if langs[len(langs) - 1].as_py() == lang else at + pc.index(pc.not_equal(langs[at:], lang), True).as_py()
+            if flow is None or flow.lang != lang:
+                if flow is not None:
+                    yield from flow.close()
+                flow = _Flow(lang, least)
+            yield from flow.add(batch.column(1)[at:to], batch.column(2)[at:to].to_numpy(), batch.column(3)[at:to].to_numpy(zero_copy_only=False))
+            at = to
+    if flow is not None:
+        yield from flow.close()
 
 
 def phrase_counts(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
