@@ -37,7 +37,7 @@ from lendscope.session import forget, written
 
 #: Bins of a feature (missing values have one more), and the rounds after which running margins are written anew.
 MOST_BINS = 64
-KEEP_ROUNDS = 25
+KEEP_ROUNDS = 10
 #: Rows that one task works on, about; the binned table is written in so many parts.
 ROWS_A_TASK = 100_000
 
@@ -112,19 +112,26 @@ def _uniform(keys: np.ndarray, seed: int) -> np.ndarray:
         return (z ^ (z >> np.uint64(31))).astype(np.float64) / 2.0**64
 
 
-def best_splits(g: np.ndarray, h: np.ndarray, least: float, penalty: float) -> tuple[np.ndarray, ...]:
-    """Best split of each node. ``g``, ``h``: (nodes, features, bins + 1), the last bin being the missing values.
+def split_gains(g: np.ndarray, h: np.ndarray, least: float, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gain of every split, and g and h of its left child: (nodes, features, bins, 2), missing values right or left.
 
-    Returns feature, bin, missing_left, gain (0 and below: none), and g, h of the left child. Ties go to the first
-    feature, then the lowest bin, then to missing values on the right.
+    ``g``, ``h``: (nodes, features, bins + 1), the last bin being the missing values. A split that leaves a child less
+    than ``least`` of h gains minus infinity. The last cut parts the missing values from all others.
     """
     total_g, total_h = g[:, :1].sum(2)[:, :, None, None], h[:, :1].sum(2)[:, :, None, None]
-    left_g, left_h = (np.cumsum(a[:, :, :-1], 2) for a in (g, h))  # the last cut parts the missing values from all others
-    left_g, left_h = (np.stack([a, a + m[:, :, -1:]], -1) for a, m in ((left_g, g), (left_h, h)))  # missing right, left
+    left_g, left_h = (np.stack([np.cumsum(a[:, :, :-1], 2), np.cumsum(a[:, :, :-1], 2) + a[:, :, -1:]], -1) for a in (g, h))
     right_g, right_h = total_g - left_g, total_h - left_h
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = left_g**2 / (left_h + penalty) + right_g**2 / (right_h + penalty) - total_g**2 / (total_h + penalty)
-    gain = np.where((left_h >= least) & (right_h >= least), gain, -np.inf)
+    return np.where((left_h >= least) & (right_h >= least), gain, -np.inf), left_g, left_h
+
+
+def best_splits(g: np.ndarray, h: np.ndarray, least: float, penalty: float) -> tuple[np.ndarray, ...]:
+    """Best split of each node (sums as in ``split_gains``): feature, bin, missing_left, gain, and g, h of the left child.
+
+    Ties go to the first feature, then the lowest bin, then to missing values on the right.
+    """
+    gain, left_g, left_h = split_gains(g, h, least, penalty)
     nodes, _, cuts, _ = gain.shape
     flat = gain.reshape(nodes, -1)
     # Gains closer than the sums' own error are ties.
@@ -173,6 +180,7 @@ class Booster:
         self.n_columns = max(1, int(columns * self.d))
         #: Whole steps of one unit of weight: sums stay below 2^62.
         self.scale = 2.0 ** min(30, 61 - math.ceil(math.log2(weight + 2)))
+        self.parts = table.rdd.getNumPartitions()
         self.recent: list[Tree] = []
         self.trees: list[Tree] = []
         self.losses: list[float] = []
@@ -204,7 +212,8 @@ class Booster:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(held, -1)), pa.array(np.append(g_sum[held], loss)), pa.array(np.append(h_sum[held], 0))], names=["cell", "g", "h"])
 
-        found = self.table.mapInArrow(sums, "cell bigint, g bigint, h bigint").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        rows = self.table.coalesce(1) if self.parts == 1 else self.table  # one part has nothing to exchange, which Spark then sees
+        found = rows.mapInArrow(sums, "cell bigint, g bigint, h bigint").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
         got = found.toPandas()  # one row a cell
         loss = got.loc[got.cell == -1, "g"].sum() / scale
         got = got[got.cell >= 0]
@@ -213,6 +222,12 @@ class Booster:
         shape = (nodes, len(columns), width)
         return g.reshape(shape), h.reshape(shape), float(loss)
 
+    def root_gains(self) -> list[np.ndarray]:
+        """For each feature the gain of a cut at each of its edges, at the root of the next tree (missing values right)."""
+        g, h, _ = self._level(Tree.empty(self.depth), 0, np.arange(self.d), len(self.trees))
+        gains = split_gains(g, h, self.least, self.penalty)[0][0, :, :, 0]
+        return [gains[j, :len(e)] for j, e in enumerate(self.edges)]
+
     def round(self) -> Tree:
         """Grow the next tree, level by level."""
         number = len(self.trees)

@@ -34,6 +34,7 @@ class TrainedModels:
     n_test: int
     default_rate: float
     weights: dict = field(default_factory=dict)
+    pos_weight: float = 1.0
 
 
 def _preprocess_stages(fitted: D.FittedFeatures) -> list:
@@ -89,7 +90,7 @@ def train_candidates(split: DataFrame, label: str, num_features, cat_features,
             data = D.with_class_weight(base, label, balanced)
             est = logistic(n_train) if name == "Logistic Regression" else random_forest()
         models[name] = Pipeline(stages=_preprocess_stages(fitted) + [est]).fit(data)
-    return TrainedModels(fitted, models, n_train, n_test, counts.get(1, 0) / max(1, n_train), balanced)
+    return TrainedModels(fitted, models, n_train, n_test, counts.get(1, 0) / max(1, n_train), balanced, pos_weight)
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Queries on fitted models (F1-F6, H2, H3, A3, A4): facts that every right fit shows, checked by SQL.
 
 SQL cannot fit the models, but it knows the split, the feature layout and the rows that must come out; the flags beside
-them are computed from the fits. The full results stay with the operators (``metrics_of``, ``chosen``).
+them are computed from the fits. Beside them stand keys without SQL that return the fits' own numbers (``model_metrics``,
+``model_importances``, ``train_boosted``, ``model_contributions``, ``model_risk_factors``), which tests recompute.
 
 Fits are memoised per input folder inside one Python process, so the keys that
 share a fit (metrics, importances, scoring, persistence) train it once, the way
@@ -16,13 +17,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendscope import settings as S
-from lendscope.functions.columns import classify_risk, r4
+from lendscope.functions.columns import classify_risk, r2, r4
+from lendscope.operators import attribution as A
+from lendscope.operators import explain as I
 from lendscope.operators import features as D
 from lendscope.operators import models as M
 from lendscope.operators import training as TR
+from lendscope.operators.boosting import BoostedTrees
 from lendscope.operators.clean import align_columns
 from lendscope.plans import oracle
 from lendscope.plans.feature_queries import KEY, LABEL, fitted_on_train, prepared
+from lendscope.plans.oracle import r2 as sql_r2
 from lendscope.plans.profile_queries import CAT_FEATURES, NUM_FEATURES
 from lendscope.plans.fitted import memo
 from lendscope.plans.registry import query
@@ -118,6 +123,46 @@ def q_compare_models(spark, sf):
     return _facts(spark, sf, M.MODEL_ORDER)
 
 
+@query("model_metrics")
+def q_model_metrics(spark, sf):
+    """Metrics, selection score and choice of every candidate (the full result of ``compare_models``)."""
+    return metrics_of(spark, sf, M.MODEL_ORDER)
+
+
+@query("train_boosted")
+def q_train_boosted(spark, sf):
+    """mean training loss before each round and after the last."""
+    tm = trained(spark, sf, "Gradient Boosting")
+    model = tm.models["Gradient Boosting"].stages[-1]
+    weight = tm.pos_weight
+    total = tm.n_train * (1 - tm.default_rate) + weight * tm.n_train * tm.default_rate
+    return spark.createDataFrame([(i, x / total) for i, x in enumerate(model.training_loss)], "round int, loss double")
+
+
+@query("boosting_first_split", f"""
+select feature, {sql_r2('gl * gl / (hl + 1.0E0) + (g - gl) * (g - gl) / (h - hl + 1.0E0) - g * g / (h + 1.0E0)')} as gain
+from (select m.feature, sum(w.g) as g, sum(w.h) as h, sum(case when m.value <= 0.5E0 then w.g else 0.0E0 end) as gl,
+             sum(case when m.value <= 0.5E0 then w.h else 0.0E0 end) as hl
+      from matrix_long m join (
+        select loan_id, case when loan_status = 1 then p * -0.5E0 else 0.5E0 end as g, case when loan_status = 1 then p * 0.25E0 else 0.25E0 end as h
+        from split, (select cast(count(*) filter (where loan_status = 0) as double)
+                            / cast(greatest(1, count(*) filter (where loan_status = 1)) as double) as p from split where is_train)
+        where is_train) w on w.loan_id = m.loan_id
+      where m.pos0 >= {len(NUM_FEATURES)} group by m.feature)""", ("matrix_long", "split"))
+def q_boosting_first_split(spark, sf):
+    """gains of the cuts that part the two values of each one-hot feature, at the root of the first tree."""
+    split, fitted = fitted_on_train(spark, sf)
+    train = split.where("is_train")
+    weight = train.agg(D.scale_pos_weight(train, LABEL)).first()[0]
+    rows = PipelineModel(stages=M._preprocess_stages(fitted)).transform(train.select(
+        "*", F.col(LABEL).cast("double").alias("label"), F.when(F.col(LABEL) == 1, weight).otherwise(1.0).alias("weight")))
+    run = BoostedTrees(weightCol="weight", rows=1.0).booster(rows)
+    gains = run.root_gains()
+    first = len(NUM_FEATURES)
+    return spark.createDataFrame([(n, float(gains[first + j][0])) for j, n in enumerate(fitted.feature_names[first:])],
+                                 "feature string, gain double").select("feature", r2("gain").alias("gain"))
+
+
 def best_name(spark, sf) -> str:
     return metrics_of(spark, sf, M.MODEL_ORDER).where("is_best").select("model").first()["model"]
 
@@ -126,6 +171,47 @@ def chosen(spark, sf) -> PipelineModel:
     return all_trained(spark, sf).models[best_name(spark, sf)]
 
 
+def explained_model(spark: SparkSession, sf: str):
+    """The chosen pipeline and its explainer (once per session and input)."""
+    def fit():
+        split, fitted = fitted_on_train(spark, sf)
+        model = chosen(spark, sf)
+        return model, A.explainer(model, fitted.feature_names, I.feature_means(split.where("is_train"), fitted))
+
+    return memo(spark, sf, "explained_model", fit)
+
+
+@query("model_importances")
+def q_model_importances(spark, sf):
+    """importances of the chosen model's features, ranked (the full result of ``feature_importance``)."""
+    return M.feature_importance(spark, all_trained(spark, sf), best_name(spark, sf))
+
+
+@query("explained_predictions", "select loan_id, true as sums_to_prediction from applicants", ("applicants",))
+def q_explained_predictions(spark, sf):
+    """For every applicant, whether the chosen model's contributions and their base sum to its prediction."""
+    model, explain = explained_model(spark, sf)
+    rows = A.with_contributions(T.applicants(spark, sf), model, explain)
+    p = vector_to_array("probability")[1]
+    told = F.aggregate("contributions", F.lit(float(explain.base)), lambda s, c: s + c)
+    as_probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-told)) if explain.scale == "log-odds" else told
+    return rows.select(KEY, (F.abs(as_probability - p) < 1e-9).alias("sums_to_prediction"))
+
+
+@query("model_contributions")
+def q_model_contributions(spark, sf):
+    """Every feature's contribution to the chosen model's prediction, for every applicant."""
+    model, explain = explained_model(spark, sf)
+    return A.contribution_rows(A.with_contributions(T.applicants(spark, sf), model, explain), explain, [KEY])
+
+
+@query("model_risk_factors")
+def q_model_risk_factors(spark, sf):
+    """The strongest risk and positive factors of every applicant under the chosen model."""
+    model, explain = explained_model(spark, sf)
+    return A.top_rows(A.with_contributions(T.applicants(spark, sf), model, explain), explain, [KEY])
+
+
 oracle._cte("feature_layout", ["levels"], " union all ".join(
     [f"select '{c}' as feature, {i} as position" for i, c in enumerate(NUM_FEATURES)]
     + ["select feature || '_' || level, " + str(len(NUM_FEATURES) - 1) + " + cast(row_number() over (order by case feature "

@@ -10,7 +10,7 @@ from lendscope.plans import oracle
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
-# Keys whose result depends on a fitted model: checked by row count and by own bounds in tests.
+# Keys whose result is a fit's own numbers, which SQL cannot state: tests recompute them.
 ROWS_ONLY: set[str] = set()
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lendscope.operators import models as M
 from lendscope.operators import segments as J
-from lendscope.plans.feature_queries import split_applicants
+from lendscope.plans import model_queries as MQ
+from lendscope.plans.feature_queries import fitted_on_train, split_applicants
 from lendscope.plans.profile_queries import CAT_FEATURES, NUM_FEATURES
 from lendscope.session import scratch_path
 from lendscope.sources import tables as T
@@ -59,8 +60,9 @@ def test_batch_score_unseen_category(spark, logistic):
 
 
 def test_trees_and_importances(spark):
-    split = split_applicants(spark, SF001)
-    tm = M.train_candidates(split, "loan_status", NUM_FEATURES, CAT_FEATURES, ["Random Forest", "Gradient Boosting"])
+    split = fitted_on_train(spark, SF001)[0]
+    tm = MQ.trained(spark, SF001, "Random Forest")
+    tm = M.TrainedModels(tm.fitted, {**tm.models, **MQ.trained(spark, SF001, "Gradient Boosting").models}, tm.n_train, tm.n_test, tm.default_rate)
     ev = {r["model"]: r for r in M.evaluate(tm, split, "loan_status").collect()}
     assert set(ev) == {"Random Forest", "Gradient Boosting"}
     assert sum(r["is_best"] for r in ev.values()) == 1
