@@ -96,12 +96,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """Fit on ``labels`` (id, label 0 or 1) and the texts of ``docs``; at most ``sample_rows`` labels, by the id's hash.
 
     Labels are chosen before they meet a text, so only chosen texts are moved. Rows with NULL or another label are
-    left out, and labels without a document add nothing. Without rows every text scores one half.
+    left out, and labels without a document add nothing. Labels that repeat count once; where an id repeats, the text
+    with the smallest hash stands for it. Without rows every text scores one half.
     """
-    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("label in (0, 1)")
+    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("label in (0, 1)").distinct()
     chosen = marked.withColumn("rank", F.md5(F.col("id").cast("string").cast("binary"))).orderBy("rank", "label").limit(sample_rows)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    sample = rows.join(F.broadcast(chosen), "id").select("label", "rank", "text")  # ``sample_rows`` rows at most
+    # one text for each chosen label, kept while rows are read: ``sample_rows`` rows at most, however often an id repeats
+    sample = (rows.join(F.broadcast(chosen), "id").groupBy("id", "label", "rank").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+              .select("label", "rank", "text"))
     table = sample.mapInArrow(_counted, "label int, rank string, at array<int>, times array<int>").toArrow().sort_by(
         [("rank", "ascending"), ("label", "ascending")])
     random = np.random.default_rng(13)
