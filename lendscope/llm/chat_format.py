@@ -29,7 +29,9 @@ ALIASES = {
 }
 #: A line that opens with a name and a colon, or with a bracketed name alone.
 MARKER = (r"^\s*(?:(?:#{1,6}\s*|\*\*|\[|<\|?)?(?:im_start\|?>\s*)?([A-Za-z][A-Za-z_ ]{0,20}?)"
-          r"(?:(?:\*\*|\]|\|?>)?\s*:(?:\*\*)?|\]|\|>|>))\s*")
+          r"(?:(?:\*\*|\]|\|?>)?\s*:(?:\*\*)?|\]|\|>|>))")
+#: What belongs to a marker behind it: blanks to the end of its line, or one blank.
+BEHIND = r"(?:[ \t]*\r?\n|[ \t])?"
 FEATURES = ("marker", "position", "length", "shape")
 #: Counts added to every cell, and to a marker's own role.
 SMOOTH, MARKED = 0.5, 200.0
@@ -54,9 +56,19 @@ def marker_role(text: Column) -> Column:
 
 
 def body_of(text: Column) -> Column:
-    """The line without a marker that names a role, trimmed."""
+    """The line without a marker that names a role; white space stays as it is."""
     text = F.coalesce(text, F.lit(""))
-    return F.trim(F.when(marker_role(text).isin(*ROLES), F.regexp_replace(text, MARKER, "")).otherwise(text))
+    return F.when(marker_role(text).isin(*ROLES), F.regexp_replace(text, MARKER + BEHIND, "")).otherwise(text)
+
+
+def escaped(text: Column) -> Column:
+    """A text that cannot be read as a delimiter: ``<`` and ``|`` are kept apart by one more backslash than there is."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
+def unescaped(text: Column) -> Column:
+    """The text that ``escaped`` was given."""
+    return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
 
 
 def features(text: Column, first: Column) -> dict[str, Column]:
@@ -74,7 +86,7 @@ def ordered(df: DataFrame, id_col: str, turn: str, text: str, role: str | None)
     """Lines in one global order (written table): id, turn, text, role, place, first, and the features."""
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{text}`").alias("text"),
                      (F.col(f"`{role}`") if role else F.lit(None)).cast("string").alias("role"))
-    rows = rows.select("id", "turn", F.xxhash64("text", "role").alias("tie"), "text", "role", F.lit(1).cast("long").alias("one"))
+    rows = rows.select("id", "turn", F.xxhash64("text").alias("tie"), "text", "role", F.lit(1).cast("long").alias("one"))
     placed = stage(running_totals(rows, ["id", "turn", "tie"], {"place": "one"}, "chat-order"), "chat-placed")
     starts = placed.select("id", "place").groupBy("id").agg(F.min("place").alias("from"))
     first = F.col("place") == F.col("from")
@@ -184,7 +196,8 @@ def parse_transcripts(df: DataFrame, known: Column | None = None, id_col: str =
     given. Lines of one transcript follow ``turn``, NULL first, then the text's hash; lines without id are one
     transcript. Neighbouring lines with the same recovered role are one canonical turn: the first opens it
     ("<|role|>" on a line of its own), the last closes it ("<|end|>"). ``rendered`` joined in order is the canonical
-    conversation; nothing is gathered by transcript. NULL text is an empty line. An empty table gives an empty result.
+    conversation; delimiters inside a text are escaped (``unescaped`` takes that back); nothing is gathered by transcript.
+    NULL text is an empty line. An empty table gives an empty result.
     """
     lines = ordered(df, id_col, turn, text, role)
     model = model or fit(lines, F.lit(True) if known is None else known)
@@ -195,7 +208,7 @@ def parse_transcripts(df: DataFrame, known: Column | None = None, id_col: str =
     both = found.join(past, "place", "left").join(ahead, "place", "left")
     opens = F.col("first") | ~F.col("past_role").eqNullSafe(F.col("role_pred"))
     closes = F.coalesce(F.col("ahead_first"), F.lit(True)) | ~F.col("ahead_role").eqNullSafe(F.col("role_pred"))
-    rendered = F.concat(F.when(opens, F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"))).otherwise(""), body_of(F.col("text")),
+    rendered = F.concat(F.when(opens, F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"))).otherwise(""), escaped(body_of(F.col("text"))),
                         F.when(closes, F.lit("\n<|end|>\n")).otherwise("\n"))
     return both.select(F.col("id").alias(id_col), F.col("turn").alias(turn), "role", "role_pred",
                        opens.alias("opens"), closes.alias("closes"), rendered.alias("rendered"))
