@@ -11,6 +11,7 @@ the text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lendscope.llm.common import running_totals, stage
 
-ARTICLE, LOOSE, FURNITURE = 0, 1, 2
+ARTICLE, LOOSE, FURNITURE, TEASER = 0, 1, 2, 3
 
 #: Elements whose content is never text; elements of page furniture; block and void elements.
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -42,6 +43,14 @@ NAMES = frozenset(
 OUTER_NAMES = frozenset("header masthead footer topbar top bottom copyright legal alert announcement".split())
 REMARKS = frozenset("comment comments disqus reply replies".split())
 ABOUT = frozenset("no has with without is not".split())
+#: Inside an article only container elements are furniture by name, and only if every part of the class or id
+#: is such a name or one of these ("share-buttons", "related-posts"; not "share-price").
+CONTAINERS = frozenset("div section aside ul ol dl table figure nav span header footer details".split())
+PLAIN_PARTS = frozenset(
+    "area article articles bar block bottom box button buttons container content form icons inline item items left links list "
+    "module newsletter panel post posts right row section side slot small stories story text top unit wrap wrapper".split())
+#: Names of articles that only announce others; they are text on pages that have no other article.
+TEASERS = frozenset("teaser teasers card preview related recommended recommendation promo".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -49,11 +58,14 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _NAME = re.compile(r"[a-z0-9]+")
 
 
-def _names(attributes: str) -> tuple[set[str], set[str], str]:
-    """Words of class and id, the words that these names begin with, and the role; "no-ads" and the like name nothing."""
+def _names(attributes: str) -> tuple[set[str], set[str], bool, str]:
+    """Words of class and id, the words that these names begin with, whether one is furniture throughout, and the role.
+
+    "no-ads" and the like name nothing.
+    """
     words: set[str] = set()
     heads: set[str] = set()
-    role = ""
+    role, whole = "", False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
@@ -62,25 +74,28 @@ def _names(attributes: str) -> tuple[set[str], set[str], str]:
                 if parts and parts[0] not in ABOUT:
                     words.update(parts)
                     heads.add(parts[0])
+                    whole |= any(x in NAMES for x in parts) and all(x in NAMES or x in PLAIN_PARTS or x.isdigit() for x in parts)
         elif name == "role":
             role = value.strip()
-    return words, heads, role
+    return words, heads, whole, role
 
 
 def blocks(html: str | None) -> list[tuple[str, int]]:
     """Text blocks of a page in order, each with its zone; character references decoded, white space single."""
     html = html or ""
     out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it is furniture, whether it is an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, whether it is furniture, an article, one that only announces
     text: list[str] = []
 
     def flush() -> None:
         line = " ".join("".join(text).split())
         text.clear()
         if line:
-            inside = any(x[2] for x in stack)
-            main = any(x[0] == "main" for x in stack)
-            out.append((line, FURNITURE if any(x[1] for x in stack) else ARTICLE if inside else LOOSE, main))
+            # A form around the article is part of the page's frame: it does not make the article furniture.
+            core = max((k for k, x in enumerate(stack) if x[0] in ("article", "main")), default=-1)
+            furniture = any(x[1] and (k > core or x[0] != "form") for k, x in enumerate(stack))
+            zone = FURNITURE if furniture else TEASER if any(x[3] for x in stack) else ARTICLE if any(x[2] for x in stack) else LOOSE
+            out.append((line, zone, any(x[0] == "main" for x in stack)))
 
     def close(name: str) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -119,7 +134,7 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
                 stack.pop()
         if name in VOID or attributes.endswith("/"):
             continue
-        words, heads, role = _names(attributes) if attributes else (set(), set(), "")
+        words, heads, whole, role = _names(attributes) if attributes else (set(), set(), False, "")
         article = any(x[2] for x in stack)
         if name in ("article", "main"):
             # an article does not stand in a menu or header: such an element was not closed
@@ -131,38 +146,53 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
         elif name in ("html", "body"):
             furniture = False
         else:
-            furniture = (name in DROPPED or role in ROLES or bool(words & NAMES)
+            furniture = (name in DROPPED or role in ROLES or (whole and name in CONTAINERS if article else bool(words & NAMES))
                          or not article and (name == "header" or bool(words & OUTER_NAMES)))
-        stack.append((name, furniture, name == "article" and not furniture))
+        stack.append((name, furniture, name == "article" and not furniture, name == "article" and bool(heads & TEASERS)))
     flush()
+    if any(zone == TEASER for _, zone, _ in out):
+        other = any(zone == ARTICLE for _, zone, _ in out)
+        out = [(line, (FURNITURE if other else ARTICLE) if zone == TEASER else zone, m) for line, zone, m in out]
     marked = any(zone == ARTICLE for _, zone, _ in out)
     main = not marked and any(m and zone == LOOSE for _, zone, m in out)
     return [(line, ARTICLE if main and m and zone == LOOSE else zone) for line, zone, m in out]
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[bool]:
-    """Which items of ``a`` are in a longest common subsequence with ``b`` (rows of the table as bits of one number)."""
+    """Which items of ``a`` are in a longest common subsequence with ``b``.
+
+    Rows of the table are bits of one number each. Only every r-th row is kept, r being the root of their number; the rows
+    between are made again, stretch by stretch, on the way back. So long pages take (length of b) / 8 bytes for about
+    twice the root of the length of a.
+    """
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
-    rows = [full]
-    for x in a:
-        v = rows[-1]
-        u = v & where.get(x, 0)
-        rows.append(((v + u) | (v - u)) & full)
+
+    def following(v: int, items: list[int]) -> Iterator[int]:
+        for x in items:
+            u = v & where.get(x, 0)
+            v = ((v + u) | (v - u)) & full
+            yield v
+
+    step = math.isqrt(len(a)) + 1
+    kept = [full, *(v for k, v in enumerate(following(full, a), 1) if k % step == 0)]
     out = [False] * len(a)
     i, j = len(a), len(b)
-    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
+    length = lambda row, j: j - (row & ((1 << j) - 1)).bit_count()
     while i and j:
-        here = length(i, j)
-        if length(i - 1, j) == here:
-            i -= 1
-        elif length(i, j - 1) == here:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out[i] = True
+        first = (i - 1) // step * step
+        rows = [kept[first // step], *following(kept[first // step], a[first:i])]
+        while i > first and j:
+            here = length(rows[i - first], j)
+            if length(rows[i - first - 1], j) == here:
+                i -= 1
+            elif length(rows[i - first], j - 1) == here:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out[i] = True
     return out
 
 
