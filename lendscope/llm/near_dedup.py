@@ -61,8 +61,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, salt in enumerate(tv.odd_constants(2, 8)):
                     digest[k, full] = np.add.reduceat(tv.mix(values ^ salt), edges[:-1])
             yield pa.RecordBatch.from_arrays([
-                ids.slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                tv.long_lists(sig.reshape(-1), np.arange(b - a + 1) * COORDINATES)], ["id", "n", "d1", "d2", "sig"])
+                ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
+                tv.long_lists(sig.reshape(-1), np.arange(b - a + 1) * COORDINATES)], ["id", "th", "n", "d1", "d2", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,20 +132,21 @@ def overlaps(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low: list[int] = []
-        high: list[int] = []
+        low: list[tuple[int, int]] = []
+        high: list[tuple[int, int]] = []
         for group in tv.runs(batches, ["list", "i", "j"]):
             group = group.combine_chunks()
             m = group.num_rows
             if m < 2:
                 continue
             values, off = tv.list_values(group["shingles"].chunk(0))
-            ids = group["cid"].to_numpy()
+            ids, digest = group["cid"].to_numpy(), group["d1"].to_numpy()
+            nodes = list(zip(ids.tolist(), digest.tolist(), strict=True))
             sizes = np.diff(off)
             inter = overlaps(values, off)
             linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
             root = np.full(m, -1)
-            for s in np.argsort(ids, kind="stable"):  # breadth first from the smallest id: a star for each component
+            for s in np.lexsort((digest, ids)):  # breadth first from the smallest node: a star for each component
                 if root[s] >= 0:
                     continue
                 root[s], edge = s, np.array([s])
@@ -153,14 +154,18 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     found = np.flatnonzero(linked[edge].any(0) & (root < 0))
                     root[found] = s
                     edge = found
-            out = np.flatnonzero(ids[root] != ids)
-            low += ids[root[out]].tolist()
-            high += ids[out].tolist()
+            out = [k for k in range(m) if nodes[root[k]] != nodes[k]]  # a class may stand in both blocks
+            low += [nodes[root[k]] for k in out]
+            high += [nodes[k] for k in out]
             if len(low) > 20_000:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+                yield batch_of(low, high)
                 low, high = [], []
         if low:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+            yield batch_of(low, high)
+
+    def batch_of(low: list[tuple[int, int]], high: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({f"{side}{part}": pa.array([x[k] for x in nodes], pa.int64())
+                                           for side, nodes in (("a", low), ("b", high)) for k, part in enumerate(("id", "d1"))})
 
     return links
 
@@ -185,7 +190,10 @@ def only_keys(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id of ``edges`` (a, b): the smallest id reachable. Large-star, small-star rounds."""
+    """(id, component) for every node of ``edges`` (a, b; of any type with an order): the smallest node reachable.
+
+    Large-star, small-star rounds.
+    """
     def measure(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -206,45 +214,65 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+def text_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """One row per input row: id, th (hash of its text), n, the digests d1, d2 of its set, and component.
 
-    Texts are linked with ``100 * intersection >= percent * union`` of their sets of five-word shingles (A-Z
-    lower-cased; fewer words: the whole sequence as one). component_id is the smallest id reachable, and the row with
-    that id is kept. Texts without words, and NULL, are linked with nothing and kept. Rows without id are linked with
-    nothing, have no component and are kept. Rows that repeat an id are one node. Other columns are ignored; an empty
-    table gives an empty result.
+    Nodes are classes of equal sets, named by their smallest id and a digest: rows that share an id but not the set are
+    different nodes. component is the smallest node (cid, d1) reachable, NULL without words or id.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    described = stage(rows.mapInArrow(_describe, "id long, n long, d1 long, d2 long, sig array<long>"), "near-described")
+    described = stage(rows.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(
+        _describe, "id long, th long, n long, d1 long, d2 long, sig array<long>"), "near-described")
     classes = stage(described.where("n > 0 and id is not null").groupBy("d1", "d2").agg(
         F.min("id").alias("cid"), F.first("sig").alias("sig")), "near-classes")
     # a list's number: hash of coordinate and value, its low bits the coordinate
     number = F.xxhash64("coord", "value").bitwiseAND(F.lit(~COORDINATE_MASK)).bitwiseOR(F.col("coord").cast("long"))
-    posted = classes.select("cid", F.posexplode(F.slice("sig", 1, PREFIX)).alias("coord", "value")).select("cid", number.alias("list"))
+    posted = (classes.select("cid", "d1", F.posexplode(F.slice("sig", 1, PREFIX)).alias("coord", "value"))
+              .select("cid", "d1", number.alias("list")))
     lists = stage(posted.groupBy("list").agg(F.count(F.lit(1)).alias("length")).where("length > 1"), "near-lists")
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     met = (only_keys(posted, "list", lists.select("list")).join(lists, "list").withColumn("blocks", blocks)
            .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid"))
-    met = (met.join(classes.select("cid", "d1", "sig"), "cid")
+           .select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "d1"))
+    met = (met.join(classes.select("cid", "d1", "sig"), ["cid", "d1"])
            .repartition("list", "i", "j").sortWithinPartitions("list", "i", "j"))
     held = stage(met.mapInArrow(_partners, "list long, i int, j int, cid long, d1 long"), "near-retained")
     sets = only_keys(rows, "id", held.select("cid")).mapInArrow(
         _sets, "cid long, d1 long, shingles array<long>").dropDuplicates(["cid", "d1"])
     full = held.join(sets, ["cid", "d1"]).repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
-    reached = components(full.mapInArrow(_confirm(percent), "a long, b long"))
-    known = (classes.select("d1", "d2", "cid").join(reached, F.col("cid") == reached["id"], "left")
-             .select("d1", "d2", F.coalesce("component", "cid").alias("component")))
-    out = described.select("id", "n", "d1", "d2").join(known, ["d1", "d2"], "left")
-    own = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"),
-                      F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    node = lambda side: F.struct(F.col(f"{side}id").alias("cid"), F.col(f"{side}d1").alias("d1")).alias(side)
+    reached = components(full.mapInArrow(_confirm(percent), "aid long, ad1 long, bid long, bd1 long").select(node("a"), node("b")))
+    own = F.struct("cid", "d1")
+    known = (classes.select("d1", "d2", own.alias("own")).join(reached, F.col("own") == reached["id"], "left")
+             .select("d1", "d2", F.coalesce("component", "own").alias("component")))
+    return described.select("id", "th", "n", "d1", "d2").join(known, ["d1", "d2"], "left").select(
+        "id", "th", "n", "d1", "d2", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component"))
+
+
+def near_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept.
+
+    Texts are linked with ``100 * intersection >= percent * union`` of their sets of five-word shingles (A-Z
+    lower-cased; fewer words: the whole sequence as one). component_id is the smallest id reachable, and the row with
+    that id is kept. Texts without words, and NULL, are linked with nothing and kept. Rows without id are linked with
+    nothing, have no component and are kept. Rows that repeat an id are judged by their own texts, each for itself. Other
+    columns are ignored; an empty table gives an empty result. Texts of any length are compared whole.
+    """
+    found = text_classes(df, id_col, text, percent)
+    own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component.cid"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"),
+                        F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that stay, one of each class, columns unchanged."""
-    gone = fresh(df.columns, "_near_id")
-    dropped = near_classes(df, id_col, text, percent).where("not kept").select(F.col(id_col).alias(gone)).distinct()
-    return df.join(dropped, F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+    """The rows of ``df`` that stay, columns unchanged: of each component the rows of its smallest node with that id.
+
+    Rows without words or without id stay. Where an id repeats, each of its texts is judged for itself; rows equal in id
+    and text stay or go together. Ties do not arise: nodes are ordered by id and digest. An empty table stays empty.
+    """
+    gone, hashed = fresh(df.columns, "_near_id"), fresh(df.columns, "_near_text")
+    stays = (F.col("component.cid") == F.col("id")) & (F.col("component.d1") == F.col("d1"))
+    dropped = (text_classes(df, id_col, text, percent).where(F.col("component").isNotNull() & ~stays)
+               .select(F.col("id").alias(gone), F.col("th").alias(hashed)).distinct())
+    return df.join(dropped, (F.col(f"`{id_col}`") == F.col(gone)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(hashed)), "left_anti")
