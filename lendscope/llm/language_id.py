@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope.llm import textvec as tv
+from lendscope.llm.common import stage
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (1, 2, 3)
 #: Rows of the fitting sample in all, shared among the languages.
 SAMPLE_ROWS = 4000
+#: Languages that a model can tell apart; the sample has at least four rows of each.
+MOST_LANGUAGES = 1000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 UNKNOWN = "und"
@@ -152,24 +155,48 @@ def _calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _sampled(rows: DataFrame, sizes: dict[str, int], each: int) -> DataFrame:
+    """(lang, text) of the ``each`` rows of every language with the smallest hashes of key and text; equal rows count once.
+
+    Hashes below a language's cut, about twice as many as wanted, are ranked without their texts; where that was too few,
+    the cut is raised. Texts are then picked by the chosen hashes, at most ``each`` a language.
+    """
+    spark = rows.sparkSession
+    hashed = rows.select("lang", "text", F.md5(F.concat_ws("\0", F.md5(F.col("text").cast("binary")), "key").cast("binary")).alias("h"))
+    share = F.conv(F.substring("h", 1, 13), 16, 10).cast("double") / 2.0**52
+    cuts = {x: min(1.0, (2 * each + 64) / n) for x, n in sizes.items()}
+    while True:
+        table = spark.createDataFrame(sorted(cuts.items()), "lang string, cut double")
+        low = hashed.select("lang", "h", share.alias("share")).join(F.broadcast(table), "lang").where("share < cut").select("lang", "h").distinct()
+        first = Window.partitionBy("lang").orderBy("h")  # about 2 * ``each`` hashes a language
+        chosen = stage(low.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("lang", "h"), "language-sample")
+        found = {r[0]: r[1] for r in chosen.groupBy("lang").count().collect()}
+        few = [x for x in cuts if found.get(x, 0) < each and cuts[x] < 1.0]
+        if not few:
+            return hashed.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+        cuts |= {x: min(1.0, 8 * cuts[x]) for x in few}
+
+
 def fit(train: DataFrame, key: Column, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on the rows of ``train`` that have text and language; ``key`` orders rows for the sample.
 
-    Statistics cover all these rows; at most ``sample_rows`` of them, the same number for each language, are fitted.
+    Statistics cover all these rows; at most ``sample_rows`` of them, the same number for each language, are fitted (all of
+    a language that has fewer). More than ``MOST_LANGUAGES`` languages raise.
     Without any such row the model knows no language.
     """
-    rows = train.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"),
-                        F.md5(key.cast("string").cast("binary")).alias("rank")).where("text is not null and lang is not null")
-    languages = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    rows = train.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), key.cast("string").alias("key")).where(
+        "text is not null and lang is not null")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"column {lang!r} has more than {MOST_LANGUAGES} languages")
+    languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
     seen = np.zeros(BUCKETS + 1)
     for r in rows.select("text").mapInArrow(_document_frequency, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         seen[r[0]] = r[1]
     idf = np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1
-    each = max(sample_rows // len(languages), 1)
-    first = Window.partitionBy("lang").orderBy("rank", "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("lang", "text")
+    sample = _sampled(rows, sizes, max(sample_rows // len(languages), 1))
     data = sample.mapInArrow(_features, "lang string, at array<long>, times array<long>").collect()
     data.sort(key=lambda r: (r["lang"], list(r["at"]), list(r["times"])))
     number = {x: i for i, x in enumerate(languages)}
