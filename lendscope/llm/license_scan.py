@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lendscope.llm.common import fresh
-
 #: Words of a template that a file looks up (its rarest ones that the file holds).
 ANCHORS = 3
 #: Words that a notice may have more or less than its template between two matched words.
@@ -224,7 +222,6 @@ def scan(docs: DataFrame, index: Index, text: str = "text", out: str = "licences
     in proportion to their length.
     """
     names = [c for c in docs.columns if c.lower() != out.lower()]
-    raw = fresh(names, "_text")
     kind = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
                       ("base_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string())),
                       ("notices", pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("score", pa.float64())]))),
@@ -242,8 +239,9 @@ def scan(docs: DataFrame, index: Index, text: str = "text", out: str = "licences
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = pa.array([judge(x.as_py()) for x in batch.column(batch.num_columns - 1)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[f"c{k}" for k in range(batch.num_columns)])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(raw))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField(out, RESULT)])
-    return given.mapInArrow(run, schema)
+    given = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string"))
+    given = given.toDF(*[f"c{k}" for k in range(len(names) + 1)])  # any name may stand in the table
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField(f"c{len(names)}", RESULT)])
+    return given.mapInArrow(run, schema).toDF(*names, out)
