@@ -27,5 +27,7 @@ def running_totals(df: DataFrame, order: Sequence[str], measures: dict[str, str]
     inside = Window.partitionBy(part).orderBy(*order)
     inside = (inside.rangeBetween if peers else inside.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
     summed = laid.select("*", *[F.sum(c).over(inside).alias(f"_s_{new}") for new, c in measures.items()])
-    return (summed.join(offsets, part)
-            .select(*df.columns, *[(F.col(f"_s_{new}") + F.col(f"_o_{new}")).cast("long").alias(new) for new in measures]))
+    out = (summed.join(offsets, part)
+           .select(*df.columns, *[(F.col(f"_s_{new}") + F.col(f"_o_{new}")).cast("long").alias(new) for new in measures]))
+    out._written_at = laid._written_at  # ``forget`` deletes the dealt rows once the sums are written elsewhere
+    return out
