@@ -8,9 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lendscope.functions.running import running_totals
+from lendscope.session import forget
 from lendscope.session import written as stage
 
-__all__ = ["SPACES", "WORD", "fresh", "let", "running_totals", "stage", "utf8_size", "word_count", "words_of"]
+__all__ = ["SPACES", "WORD", "forget", "fresh", "let", "running_totals", "stage", "utf8_size", "word_count", "words_of"]
 
 #: Fixed value: white space between words (space and U+0009 to U+000D).
 SPACES = " \t\n\x0b\f\r"

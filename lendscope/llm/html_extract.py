@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import running_totals, stage
+from lendscope.llm.common import forget, running_totals, stage
 
 ARTICLE, LOOSE, FURNITURE, TEASER = 0, 1, 2, 3
 
@@ -252,15 +252,20 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url: str = "url", html
         _described, "id long, host string, path string, mark long, lines array<long>").dropDuplicates(["id", "mark"])
         .withColumn("blocks", F.xxhash64("lines")), "pages-lines")
     # the order needs the addresses alone; lines join the first pages of the runs
-    placed = stage(running_totals(described.select("host", "path", "id", "mark", "blocks", F.lit(1).cast("long").alias("one")),
-                                  ["host", "path", "id", "mark"], {"place": "one"}, "pages-order")
-                   .select("place", F.xxhash64("host").alias("host"), "id", "mark", "blocks"), "pages-placed")
+    numbered = running_totals(described.select("host", "path", "id", "mark", "blocks", F.lit(1).cast("long").alias("one")),
+                              ["host", "path", "id", "mark"], {"place": "one"}, "pages-order")
+    placed = stage(numbered.select("place", F.xxhash64("host").alias("host"), "id", "mark", "blocks"), "pages-placed")
+    forget(numbered)
     last = placed.select((F.col("place") + 1).alias("place"), F.col("host").alias("last_host"), F.col("blocks").alias("last_blocks"))
     opens = F.when((F.col("host") == F.col("last_host")) & (F.col("blocks") == F.col("last_blocks")), 0).otherwise(1).cast("long")
-    runs = stage(running_totals(placed.join(last, "place", "left").select("place", "host", F.col("id").alias("vid"), F.col("mark").alias("vmark"), opens.alias("opens")),
-                                ["place"], {"run": "opens"}, "pages-steps").drop("place"), "pages-runs")
+    steps = running_totals(placed.join(last, "place", "left").select("place", "host", F.col("id").alias("vid"), F.col("mark").alias("vmark"), opens.alias("opens")),
+                           ["place"], {"run": "opens"}, "pages-steps")
+    runs = stage(steps.drop("place"), "pages-runs")
+    forget(steps)
+    forget(placed)
     own = F.col("id").eqNullSafe(F.col("vid")) & (F.col("mark") == F.col("vmark"))
     firsts = stage(described.select("id", "mark", "lines").join(runs.where("opens = 1"), own).select("run", "host", "lines"), "pages-firsts")
+    forget(described)
     beside = lambda step, name: firsts.select(
         (F.col("run") + step).alias("run"), F.col("host").alias(f"h{name}"), F.col("lines").alias(name))
     pairs = firsts.join(beside(1, "before"), "run", "left").join(beside(-1, "behind"), "run", "left")
