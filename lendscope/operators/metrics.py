@@ -86,7 +86,9 @@ def _running(sc: DataFrame, group: str | None) -> DataFrame:
 def roc_auc(df: DataFrame, label: str = "y", score: str = "p", group: str | None = None) -> DataFrame:
     """ROC AUC per group (4 dp) of the unrounded scores; NULL when a class is absent."""
     run = _running(score_counts(df, label, score, group), group)
-    num = F.sum((F.col("neg") * (F.lit(2) * (F.col("tps") - F.col("pos")) + F.col("pos"))).cast("decimal(38,0)"))
+    # products of counts pass 64 bits with some 2e9 rows a class
+    long_ = lambda c: c.cast("decimal(18,0)")
+    num = F.sum((long_(F.col("neg")) * long_(F.lit(2) * (F.col("tps") - F.col("pos")) + F.col("pos"))).cast("decimal(38,0)"))
     den = F.lit(2.0) * F.first("P") * F.first("N")
     return run.groupBy(*_keys(group)).agg(r4(F.try_divide(num.cast("double"), den)).alias("roc_auc"))
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendscope import artefacts
 from lendscope.functions.columns import fresh, r4
 from lendscope.operators import clean as C
 from lendscope.operators import features as D
@@ -58,23 +59,29 @@ def prepare(df: DataFrame, target: str | None = None) -> Prepared:
 
 
 def train(prepared: Prepared, path: str, candidates: M.TrainedModels | None = None) -> str:
-    """Fit the candidates (unless given), save the chosen pipeline under ``path``/model and the four tables beside it.
+    """Fit the candidates (unless given) and publish the chosen pipeline (``model``) and the four tables as a version of ``path``.
 
-    Returns the chosen name. model_metrics has the metrics, selection score and choice of every candidate; roc_points
-    their curves; feature_importance the chosen model's features; run_info the sizes, rate, feature counts and name.
+    ``artefacts.current`` gives its folder; all five appear together. Returns the chosen name. model_metrics has the
+    metrics, selection score and choice of every candidate; roc_points their curves; feature_importance the chosen model's
+    features; run_info the sizes, rate, feature counts and name.
     """
     p, spark = prepared, prepared.split.sparkSession
     tm = candidates or M.train_candidates(p.split, p.target, p.num_features, p.cat_features, fitted=p.fitted)
     scores = M.test_scores(tm, p.split, p.target)
     metrics = written(M.evaluate_scores(scores), "train-metrics")
     best = metrics.where("is_best").first()["model"]
-    M.save_pipeline(tm.models[best], f"{path}/model")
     info = p.split.agg(
         F.count_if(F.col("is_train")).alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"),
         r4(F.avg(F.when(F.col("is_train"), F.col(p.target).cast("double")))).alias("default_rate")).select(
         "*", F.lit(len(p.num_features)).alias("n_numeric"), F.lit(len(p.cat_features)).alias("n_categorical"),
         F.lit(len(p.fitted.feature_names)).alias("n_features"), F.lit(p.target).alias("target"), F.lit(best).alias("best_model"),
         F.array(*[F.lit(n) for n in p.fitted.feature_names]).alias("feature_names"))
-    for name, table in zip(TABLES, (metrics, G.roc_curve(scores, group="model"), M.feature_importance(spark, tm, best), info), strict=True):
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    tables = (metrics, G.roc_curve(scores, group="model"), M.feature_importance(spark, tm, best), info)
+
+    def write(folder: str) -> None:
+        M.save_pipeline(tm.models[best], f"{folder}/model")
+        for name, table in zip(TABLES, tables, strict=True):
+            table.write.parquet(f"{folder}/{name}")
+
+    artefacts.publish(spark, path, write)
     return best

@@ -63,8 +63,9 @@ def q_linear_attribution(spark, sf):
     from pyspark.sql import functions as F
 
     split, fitted, w, mu = explained(spark, sf)
-    long = I.contributions(split, fitted, w, [KEY], center=mu)
-    return long.groupBy(KEY).agg(r4(F.sum("contribution")).alias("attribution"))
+    each = I.contribution_array(fitted, w, center=mu)
+    total = F.aggregate(F.transform(each, lambda e: e["contribution"]), F.lit(0.0), lambda s, c: s + c)
+    return split.select(KEY, r4(total).alias("attribution"))  # in the row: nothing to exchange
 
 
 @query("top_features", f"""

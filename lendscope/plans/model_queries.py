@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lendscope import artefacts
 from lendscope import settings as S
 from lendscope.functions.columns import classify_risk, r2, r4
 from lendscope.operators import attribution as A
@@ -297,7 +298,8 @@ def q_train_tables(spark, sf):
     """The four tables that training writes, read back: their rows (curves; features; rows split) and soundness."""
     path = scratch_path(spark, f"train/{slug(sf)}")
     best = TR.train(prepared(spark, sf), path, all_trained(spark, sf))
-    metrics, points, importance, info = (spark.read.parquet(f"{path}/{name}") for name in TR.TABLES)
+    folder = artefacts.current(spark, path)
+    metrics, points, importance, info = (spark.read.parquet(f"{folder}/{name}") for name in TR.TABLES)
     fact = lambda name, df, n, sound: df.agg(F.lit(name).alias("name"), n.cast("bigint").alias("n_rows"), sound.alias("sound"))
     whole = F.count_if((F.col("fpr") == 0) & (F.col("tpr") == 0) & F.col("threshold").isNull()) == F.count_if((F.col("fpr") == 1) & (F.col("tpr") == 1))
     sizes = F.max(F.col("n_train") + F.col("n_test"))

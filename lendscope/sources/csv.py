@@ -23,12 +23,12 @@ WHOLE = r"^[ \t]*[+-]?\d{1,18}[ \t]*$"
 TRUTH = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Header row, quoted fields with doubled quotes, NA tokens (taken exactly) -> NULL, types from what is left.
 
     A column becomes ``bigint``, ``double`` or ``boolean`` when all its values are; everything else, dates included,
-    stays a string. Missing values are NULL, never NaN. ``path`` may be a file, folder or glob. Fields may hold line
-    breaks; a file is then read by one task. ``multiline=False`` splits files, for data known to hold none.
+    stays a string. Missing values are NULL, never NaN. ``path`` may be a file, folder or glob. Files are split among
+    tasks; with ``multiline`` fields may hold line breaks, and a file is then read by one task.
     """
     raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
            .option("multiLine", multiline).csv(path))

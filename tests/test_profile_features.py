@@ -148,7 +148,7 @@ def test_csv_na_tokens_and_reinference(spark):
     path = os.path.join(d, "x.csv")
     with open(path, "w") as fh:
         fh.write("a,b,c\n1,NA,x\n2,3.5,n/a\nNULL,4,y\n")
-    df = read_csv(spark, path)
+    df = read_csv(spark, path, multiline=True)
     types = dict(df.dtypes)
     assert types["a"] == "bigint" and types["b"] == "double" and types["c"] == "string"
     rows = sorted(df.collect(), key=lambda r: (r["a"] is None, r["a"] or 0))
@@ -184,13 +184,13 @@ def test_csv_hostile_fixture(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('id,name,day,rate,flag,note\n1,"say ""hi""",2024-01-05,NaN,True,"two\nlines"\n'
                     '2, NA ,2024-02-06,1e-3,False,"a,b"\n3,NA,n/a,.5,,"NULL"\n')
-    df = read_csv(spark, str(path))
+    df = read_csv(spark, str(path), multiline=True)
     assert dict(df.dtypes) == {"id": "bigint", "name": "string", "day": "string", "rate": "double", "flag": "boolean", "note": "string"}
     rows = [tuple(r) for r in df.orderBy("id").collect()]
     assert rows == [(1, 'say "hi"', "2024-01-05", None, True, "two\nlines"), (2, " NA ", "2024-02-06", 0.001, False, "a,b"),
                     (3, None, None, 0.5, None, None)]
     write_csv(df, str(tmp_path / "out"))
-    again = read_csv(spark, str(tmp_path / "out"))
+    again = read_csv(spark, str(tmp_path / "out"), multiline=True)
     assert again.dtypes == df.dtypes and sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
 
 
