@@ -208,3 +208,45 @@ def test_sample_silhouette_equals_brute_force(spark):
     lone = np.array([[0.0], [1.0], [1.5]])
     assert KM.silhouettes_of(lone, np.array([0, 1, 1]), slice(0, 3))[0] == 0.0
     assert (KM.silhouettes_of(lone, np.array([0, 0, 0]), slice(0, 3)) == 0).all()
+
+
+def test_blocks_walk_and_sum_like_single_rows(spark):
+    df, x, *_ = table(spark, 400, missing=True)
+    est = B.BoostedTrees(weightCol="weight", depth=3, rate=0.3, columns=1.0, bins=9)
+    data = assemble().transform(df.repartition(3))
+    run = est.booster(data)
+    assert run.table.count() <= 8 and len(run.layout.groups) < run.d  # rows lie in blocks, narrow features share a byte
+    tree = run.round()
+    codes = run.layout.codes(B.binned(x, run.edges, run.missing), run.missing)
+    at = B.walked(run.layout.steps(tree), np.ascontiguousarray(codes.T), 3)
+    assert np.allclose(tree.value[at], tree.margins(x))
+    counted = []
+    level = run._level
+    run._level = lambda blocks, tree, depth, columns, nodes: counted.append((depth, len(nodes))) or level(blocks, tree, depth, columns, nodes)
+    run.round()
+    assert counted == [(0, 1), (1, 1), (2, 2)]  # one child of each split node
+    blocks = run._open(2)
+    tree, columns = run.trees[1], np.arange(run.d)
+    parts = [level(blocks, tree, 2, columns, np.array([n]))[0] for n in range(4)]
+    assert (np.concatenate(parts, 1) == level(blocks, tree, 2, columns, np.arange(4))[0]).all()
+    assert (sum(parts) == level(blocks, tree, 0, columns, np.arange(1))[0]).all()
+    big = np.array([2**60, 3, -(2**59), 2**60 + 1], np.int64)
+    assert B.summed(np.array([0, 0, 1, 2]), big, 4).tolist() == [2**60 + 3, -(2**59), 2**60 + 1, 0]
+    assert B.summed(np.array([2, 0, 2]), np.array([5, -7, 6], np.int64), 3).tolist() == [-7, 0, 11]
+
+
+def test_kmeans_sums_of_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(50, 3)), np.zeros((7, 3))])
+    twice = np.array([[[0.0, 0, 0], [0, 0, 0], [9, 9, 9]], [[1.0, 0, 0], [0, 1, 0], [0, 0, 1]]])
+    whole = rng.integers(-2**30, 2**30, (57, 2)).astype(float)
+    (added, near), = KM.sums_of(x, whole, [twice])
+    for f in range(2):
+        far = np.array([((x - c) ** 2).sum(1) for c in twice[f]]).T
+        at = far.argmin(1)  # the first among equals
+        assert np.allclose(near[f], far.min(1))
+        assert all((added[f, c] == whole[at == c].sum(0)).all() for c in range(3))
+    df, *_ = table(spark, 300)
+    blocks = KM.blocked(assemble().transform(df.coalesce(1)))
+    assert blocks.agg(F.sum("n")).first()[0] == 300 and blocks.count() < 10
+    assert KM.lloyd(assemble().transform(df.limit(0)), [KM.Fit(2, 0, np.zeros((2, 4)))], 1e-4, 5)[0].cost == 0.0
