@@ -6,16 +6,17 @@ candidate merges of neighbours, best piece first, leftmost first. A candidate is
 units' occurrences and between seeds, repeat exactly in every run, and decode to the same text. Characters outside the
 vocabulary, and the literal space mark, are written as byte pieces. Occurrences of a unit that skip the same merges have
 the same pieces, so a task encodes those once, many at a time, and then looks them up; long units have a heap for their
-agenda, short ones a row of a matrix.
+agenda, short ones a row of a matrix. Ids are decoded a stretch of rows at a time, by Arrow.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 import re
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -160,97 +161,123 @@ class Agenda:
 
     def __init__(self, p: Pieces, dropout: float):
         self.p, self.dropout, self.limit = p, dropout, int(dropout * 65536)
-        pairs = np.array(sorted(p.merges), dtype=np.int64)
-        self.pairs = (pairs >> 32) * (1 << 20) + (pairs & 0xFFFFFFFF)  # still ascending: ids are below 2^20
-        merged = np.array([p.merges[k] for k in sorted(p.merges)], dtype=np.int32)
-        self.codes = np.array(p.order, dtype=np.int32)[merged] << self.PIECE | merged
+        pair = np.array(list(p.merges), dtype=np.int64)
+        merged = np.array(list(p.merges.values()), dtype=np.int64)
+        self._index((pair >> 32 << 20) + (pair & 0xFFFFFFFF), (np.array(p.order, dtype=np.int64)[merged] << self.PIECE | merged).astype(np.int32))
         self.fits = len(p.order) <= 1 << self.PIECE  # larger vocabularies keep to ``encode_unit``
         self.char = np.full(0x110000, -1, dtype=np.int32)
         for c, i in p.chars.items():
             self.char[ord(c)] = i
         self.char[32], self.char[ord(MARK)] = p.chars[MARK], -1
 
+    def _index(self, pairs: np.ndarray, codes: np.ndarray) -> None:
+        """Put the merges into a table by the hash of their pair; one that finds its slot taken goes to the next free one."""
+        bits = len(pairs).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.pairs = np.full((1 << bits) + len(pairs), -1, dtype=np.int64)  # ids are below 2^20: no pair is negative
+        self.codes = np.full(len(self.pairs), self.NONE, dtype=np.int32)
+        slot = self._slot(pairs)
+        while len(pairs):
+            _, one = np.unique(slot, return_index=True)
+            one = one[self.pairs[slot[one]] < 0]
+            self.pairs[slot[one]], self.codes[slot[one]] = pairs[one], codes[one]
+            pairs, codes, slot = (np.delete(x, one) for x in (pairs, codes, slot))
+            slot += 1
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
     def _propose(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Candidate merges of neighbours; NONE where there is none or it is skipped."""
         pair = left.astype(np.int64) * (1 << 20) + right
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        code = self.codes[at]
-        good = (self.pairs[at] == pair) & (left >= 0) & (right >= 0)
+        slot = self._slot(pair)
+        held = self.pairs[slot]
+        code = self.codes[slot]
+        other = np.flatnonzero(held != pair)
+        code[other] = self.NONE
+        other = other[held[other] >= 0]
+        while len(other):
+            slot[other] += 1
+            held = self.pairs[slot[other]]
+            same = held == pair[other]
+            code[other[same]] = self.codes[slot[other[same]]]
+            other = other[~same & (held >= 0)]
         if self.limit:
-            mark = place.astype(np.uint64) * np.uint64(0x9E3779B1) + (code & ((1 << self.PIECE) - 1)).astype(np.uint64) * np.uint64(0x85EBCA77)
-            good &= ((key ^ mark) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40) & np.uint64(0xFFFF)) >= self.limit
-        return np.where(good, code, self.NONE)
+            good = np.flatnonzero(code < self.NONE)
+            mark = place[good].astype(np.uint64) * np.uint64(0x9E3779B1) + (code[good] & ((1 << self.PIECE) - 1)).astype(np.uint64) * np.uint64(0x85EBCA77)
+            draw = (key[good] ^ mark) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40) & np.uint64(0xFFFF)
+            code[good[draw < self.limit]] = self.NONE
+        return code
 
     def takes(self, unit: str) -> bool:
         return self.fits and len(unit) <= self.WIDEST and unit[:2] != "  "
 
-    def __call__(self, units: list[str], keys: list[int], trace: list | None = None) -> list[bytes]:
+    def __call__(self, units: list[str], keys: Sequence[int] | np.ndarray, trace: list | None = None) -> list[bytes]:
         """Packed ids of the units, in their order; ``trace`` takes the merges made (units, places, pieces), heaps apart."""
         out: list = [b""] * len(units)
+        keys = np.asarray(keys, dtype=np.uint64)
         size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        size[[not self.takes(u) for u in units]] += self.WIDEST
+        size[[u[:2] == "  " for u in units] if self.fits else slice(None)] += self.WIDEST
         by = np.argsort(size, kind="stable")
         short = by[: np.searchsorted(size[by], self.WIDEST, "right")]
         for a in range(0, len(short), self.ROWS):
             rows = short[a:a + self.ROWS]
-            self._short([units[r] for r in rows], np.array([keys[r] for r in rows], dtype=np.uint64), rows, size[rows], out, trace)
-        for r in by[len(short):]:
-            out[r] = encode_unit(units[r], self.p, keys[r], self.dropout)
+            at = rows.tolist()
+            self._short([units[r] for r in at], keys[rows], rows, size[rows], out, trace)
+        for r in by[len(short):].tolist():
+            out[r] = encode_unit(units[r], self.p, int(keys[r]), self.dropout)
         return out
 
     def _short(self, units: list[str], key: np.ndarray, rows: np.ndarray, size: np.ndarray, out: list, trace: list | None) -> None:
-        n, width = len(units), int(size[-1])
+        n, width = len(units), int(size[-1]) + 1  # a row ends with a column of padding, which also stands before the next row
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        inside = np.arange(width) < size[:, None]
-        symbol = np.full((n, width + 1), -2, dtype=np.int32)  # one column of padding at the end
-        symbol[:, :width][inside] = self.char[points]
-        place = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy()
-        code = self._propose(symbol[:, :-1], symbol[:, 1:], place[:, :-1], key[:, None])
-        columns = np.arange(width + 1)
-        row = np.arange(n)
-        while len(row):
-            best = code.argmin(1)
-            least = code[np.arange(len(row)), best]
-            busy = least < self.NONE
-            if not busy.all():
-                self._finish(units, rows, row[~busy], symbol[~busy], place[~busy], out)
-                row, symbol, place, code, key, best, least = (x[busy] for x in (row, symbol, place, code, key, best, least))
-                if not len(row):
+        symbol = np.full((n, width), -2, dtype=np.int32)  # -2: padding, or merged into the symbol before it
+        symbol[np.arange(width) < size[:, None]] = self.char[points]
+        symbol = symbol.ravel()
+        after = np.arange(1, n * width + 1)
+        before = np.arange(-1, n * width - 1)
+        code = np.full(n * width, self.NONE, dtype=np.int32)
+        code[:-1] = self._propose(symbol[:-1], symbol[1:], np.tile(np.arange(width), n)[:-1], np.repeat(key, width)[:-1])
+        row = np.arange(n)  # the rows that ``code`` has
+        while True:
+            best = code.reshape(-1, width).argmin(1)
+            least = code[np.arange(len(row)) * width + best]
+            busy = np.flatnonzero(least < self.NONE)
+            if len(busy) <= len(row) * 3 // 4:  # the others have ended
+                if not len(busy):
                     break
-            each, i = np.arange(len(row)), best
-            made = least & ((1 << self.PIECE) - 1)
+                row, best, least, code = row[busy], best[busy], least[busy], code.reshape(-1, width)[busy].ravel()
+                busy = np.arange(len(row))
+            r, i, made = row[busy], best[busy], least[busy] & ((1 << self.PIECE) - 1)
+            start, shift = r * width, (busy - r) * width  # of a row in ``symbol``; from there to ``code``
             if trace is not None:
-                trace.append((rows[row], place[each, i], made))
-            source = columns + (columns > i[:, None])  # everything behind the merged pair moves one place
-            source[:, -1] = width
-            source += each[:, None] * (width + 1)
-            symbol, place = symbol.ravel()[source], place.ravel()[source]
-            symbol[:, -1] = -2
-            symbol[each, i] = made
-            source = columns[:-1] + (columns[:-1] > i[:, None])
-            source[:, -1] = width - 1
-            code = code.ravel()[source + each[:, None] * width]
-            code[each, i] = self._propose(made, symbol[each, i + 1], place[each, i], key)
-            left = np.flatnonzero(i > 0)
-            h = i[left] - 1
-            code[left, h] = self._propose(symbol[left, h], made[left], place[left, h], key[left])
-
-    def _finish(self, units: list[str], rows: np.ndarray, done: np.ndarray, symbol: np.ndarray, place: np.ndarray, out: list) -> None:
+                trace.append((rows[r], i, made))
+            here = start + i
+            gone = after[here]
+            left, right = before[here], after[gone]
+            symbol[here], symbol[gone], code[gone + shift] = made, -2, self.NONE
+            after[here] = right
+            before[right] = here
+            found = self._propose(np.concatenate([symbol[left], made]), np.concatenate([made, symbol[right]]),
+                                  np.concatenate([left - start, i]), np.tile(key[r], 2))
+            code[left + shift], code[here + shift] = found[:len(r)], found[len(r):]
+        self._finish(units, rows, symbol.reshape(n, width), out)
+
+    def _finish(self, units: list[str], rows: np.ndarray, symbol: np.ndarray, out: list) -> None:
         full = symbol != -2
         odd = ((symbol == -1) | (symbol >= len(self.p.surface))).any(1)
         packed = symbol[full].tobytes()
         ends = np.cumsum(full.sum(1)) * 4
-        for d, a, b, o, k in zip(done.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), odd.tolist(), range(len(done)), strict=True):
-            if not o:
-                out[rows[d]] = packed[a:b]
-                continue
+        for r, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[r] = packed[a:b]
+        for k in np.flatnonzero(odd).tolist():
             ids: list[int] = []
-            for x, i in zip(symbol[k][full[k]].tolist(), place[k][full[k]].tolist(), strict=True):
-                if 0 <= x < len(self.p.surface):
+            for i in np.flatnonzero(full[k]).tolist():
+                if 0 <= (x := int(symbol[k, i])) < len(self.p.surface):
                     ids.append(x)
                 else:
-                    ids.extend(self.p.byte_ids[byte] for byte in units[d][i].encode())
-            out[rows[d]] = array("i", ids).tobytes()
+                    ids.extend(self.p.byte_ids[byte] for byte in units[k][i].encode())
+            out[rows[k]] = array("i", ids).tobytes()
 
 
 class Encoder:
@@ -267,7 +294,9 @@ class Encoder:
     def __init__(self, pieces: Pieces, seed: int, dropout: float, bits: int = BITS):
         self.pieces, self.seed, self.bits = pieces, seed & (1 << 64) - 1, bits
         self.cut = re.compile(pieces.units)
-        self.agenda, self.plain = Agenda(pieces, dropout), Agenda(pieces, 0.0)
+        self.agenda = Agenda(pieces, dropout)
+        self.plain = copy.copy(self.agenda)  # the same tables
+        self.plain.dropout = self.plain.limit = 0
         self.stems = {piece[:k]: -1 for piece in pieces.ids for k in range(2, len(piece))} | pieces.ids
         self._forget()
 
@@ -306,7 +335,7 @@ class Encoder:
             if len(varied):
                 self._vary(a + varied, (number[here][varied] << self.bits | skipped[varied]).tolist(), units, key, ids)
         alone = np.flatnonzero(number < 0)
-        for k, x in zip(alone.tolist(), self.agenda([units[k] for k in alone], key[alone].tolist()), strict=True):
+        for k, x in zip(alone.tolist(), self.agenda([units[k] for k in alone.tolist()], key[alone]), strict=True):
             ids[k] = x
         return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -341,7 +370,7 @@ class Encoder:
             past = {c: x for c in wanted if (x := self.earlier.get(c)) is not None}
             latest.update(past)
             new = [(c, k) for c, k in wanted.items() if c not in past]
-            latest.update(zip([c for c, _ in new], self.agenda([units[k] for _, k in new], [int(key[k]) for _, k in new]), strict=True))
+            latest.update(zip([c for c, _ in new], self.agenda([units[k] for _, k in new], key[[k for _, k in new]]), strict=True))
             known = map(latest.__getitem__, codes)
         for k, x in zip(at, known, strict=True):
             ids[k] = x
@@ -400,7 +429,7 @@ def encode(df: DataFrame, pieces: Pieces, key: Column, text: str = "text", out:
         run = Encoder(held.value, seed, dropout)
         for batch in batches:
             texts, keys = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in _slices(texts):
+            for a, b in _slices(pc.utf8_length(texts)):
                 part = texts.slice(a, b - a).to_pylist()
                 ids = run([t or "" for t in part], keys[a:b])
                 ids = [None if t is None else np.frombuffer(x, dtype=np.int32) for t, x in zip(part, ids, strict=True)]
@@ -410,16 +439,16 @@ def encode(df: DataFrame, pieces: Pieces, key: Column, text: str = "text", out:
                    encoded, rest, out, "array<int>")
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Stretches of rows with about a million characters; a longer text is alone."""
+def _slices(sizes: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with about a million characters or ids; a longer row is alone."""
     size, a = 0, 0
-    for k, n in enumerate(pc.utf8_length(texts).fill_null(0).to_pylist()):
+    for k, n in enumerate(sizes.fill_null(0).to_pylist()):
         if size and size + n > 1 << 20:
             yield a, k
             a, size = k, 0
         size += n
-    if a < len(texts):
-        yield a, len(texts)
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def _batch(columns: list) -> pa.RecordBatch:
@@ -433,6 +462,18 @@ def _mapped(sent: DataFrame, task: Callable, rest: list[str], out: str, kind: st
     return plain.mapInArrow(task, schema).toDF(*rest, out)
 
 
+def decode_lists(ids: pa.Array, surface: pa.Array) -> pa.Array:
+    """The texts of many sequences of ids at once, as ``decode_ids`` gives them; it raises where it cannot."""
+    flat = ids.flatten()
+    if flat.null_count:
+        raise pa.ArrowInvalid("an id is NULL")
+    ends = np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int32)
+    parts = pa.ListArray.from_arrays(np.append(np.int32(0), ends), surface.take(flat))
+    texts = pc.binary_join(parts, pa.scalar(b"", pa.large_binary())).cast(pa.large_string())
+    texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+    return pc.if_else(ids.is_valid(), texts, None).cast(pa.string())
+
+
 def decode_ids(ids: list[int], surface: list[bytes]) -> str:
     """The text of a sequence of ids (the space that encoding puts in front is taken off)."""
     text = b"".join(map(surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -447,10 +488,14 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded"
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surface = held.value.surface
+        shown = pa.array(surface, pa.large_binary())
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                found = batch.columns[-1].slice(a, 256)
-                texts = [decode_ids(x.values.tolist(), surface) if x.is_valid else None for x in found]
-                yield _batch([*(c.slice(a, 256) for c in batch.columns[:-1]), pa.array(texts, pa.string())])
+            for a, b in _slices(pc.list_value_length(batch.columns[-1])):
+                found = batch.columns[-1].slice(a, b - a)
+                try:
+                    texts = decode_lists(found, shown)
+                except (pa.ArrowInvalid, IndexError):  # bytes that are no UTF-8, or ids that are not plain places
+                    texts = pa.array([decode_ids(x.values.tolist(), surface) if x.is_valid else None for x in found], pa.string())
+                yield _batch([*(c.slice(a, b - a) for c in batch.columns[:-1]), texts])
 
     return _mapped(df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`")), decoded, rest, out, "string")

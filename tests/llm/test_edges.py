@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,43 @@ def test_every_occurrence_draws_its_own_merges():
     assert merges == 3 and 0.9**merges - 0.04 < whole < 0.96
 
 
+def test_many_lists_are_decoded_at_once(spark, monkeypatch):
+    pieces = piece_codec.load()
+    b, the, gap = pieces.byte_ids, pieces.ids["▁the"], pieces.ids["▁"]
+    good = [None, [], [the], [gap], [gap, gap, the], [the, b[0x20]], [b[0x20], the], [b[0xC3], b[0xA9]], [0, 1, 2]]
+    bad = [[b[0xE9], the], [the, b[0xC3]], [b[0xED], b[0xA0], b[0x80]]]
+    plain = piece_codec.decode_ids
+    want = {repr(x): None if x is None else plain(x, pieces.surface) for x in good + bad}
+
+    def decoded(lists):
+        rows = spark.createDataFrame([(repr(x), x) for x in lists], "name string, ids array<int>").coalesce(1)
+        return {r.name: r.decoded for r in piece_codec.decode(rows, pieces).collect()}
+
+    assert decoded(good + bad) == want and "\ufffd" in want[repr(bad[0])]
+    surface = pa.array(pieces.surface, pa.large_binary())
+    part = pa.array([[the], *good], pa.list_(pa.int32())).slice(1)
+    monkeypatch.setattr(piece_codec, "decode_ids", None)  # not needed where the bytes are UTF-8
+    assert piece_codec.decode_lists(part, surface).to_pylist() == [want[repr(x)] for x in good]
+
+
+def test_table_of_merges_has_each_pair_and_no_other():
+    pieces = piece_codec.load()
+    agenda = piece_codec.Agenda(pieces, 0.0)
+    pairs = np.array(list(pieces.merges), dtype=np.int64)
+    left, right = pairs >> 32, pairs & 0xFFFFFFFF
+    zero = np.zeros(len(pairs), dtype=np.int64)
+    made = agenda._propose(left, right, zero, zero.astype(np.uint64))
+    assert (made & (1 << agenda.PIECE) - 1).tolist() == list(pieces.merges.values())
+    turned = agenda._propose(right, left, zero, zero.astype(np.uint64)) < agenda.NONE
+    assert turned.tolist() == [(int(r) << 32 | int(x)) in pieces.merges for x, r in zip(left, right, strict=True)]
+    for x, r in ((-1, 5), (0, -1), (-2, -2), (5, -2), (-2, 0)):
+        assert (agenda._propose(np.array([x]), np.array([r]), zero[:1], zero[:1].astype(np.uint64)) == agenda.NONE).all()
+    agenda._slot = lambda pair: np.zeros(len(pair), dtype=np.int64)  # all at one slot: the next free ones are taken
+    agenda._index(pairs[:50], np.arange(50, dtype=np.int32))
+    found = agenda._propose(pairs[:60] >> 20, pairs[:60] & (1 << 20) - 1, zero[:60], zero[:60].astype(np.uint64))
+    assert found.tolist() == [*range(50), *[agenda.NONE] * 10]
+
+
 def test_epochs_of_a_document_differ(spark):
     rows = [(1, LONG[:4000], "en", "a")] * 2 + [(2, LONG[:4000], "en", "a")]
     got = corpus_pipeline.encoding(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "").collect()
