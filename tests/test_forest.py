@@ -94,3 +94,39 @@ def test_forest_of_few_rows(spark, rows, want):
 def test_candidate_keeps_the_reference_sizes():
     forest = M.random_forest()
     assert [forest.getOrDefault(p) for p in ("trees", "depth", "least")] == [200, 12, 5]
+
+
+def test_forest_of_uneven_weights_and_counts_by_class(spark, monkeypatch):
+    """Rows of a class that weigh alike are counted once a cell; other weights take three sums, to the same trees."""
+    df, x, y, w = table(spark, missing=True)
+    estimator, plain = R.RandomForest(**SMALL), [F.col(c) for c in df.columns]
+    uneven = df.withColumn("weight", F.col("weight") + F.col("id") % 3)
+    for data, weights, numbers in ((df, w, 1), (uneven, w + np.arange(len(w)) % 3, 3)):
+        data = assemble().transform(data)
+        blocks, edges, _ = BoostedTrees(weightCol="weight", bins=16)._table(data)
+        keys = np.array([r.k for r in data.orderBy("id").select(F.xxhash64(vector_to_array("features"), *plain).alias("k")).collect()])
+        run = R.Grower(blocks, edges, float(weights.sum()), len(x), depth=4, least=3, seed=42)
+        rows = run.blocks()
+        by_class = run.by_class
+        parts = rows.map(lambda b: len(R.added_values(R.times_drawn(b[3], 0, 42), b[1], b[2], by_class))).collect()
+        assert set(parts) == {numbers} and (by_class is None) == (numbers == 3)
+        monkeypatch.setattr(R, "GROUP_ROWS", 60)
+        cut = estimator.fit(data).getOrDefault("nodes")
+        monkeypatch.setattr(R, "GROUP_ROWS", 10**6)
+        model = estimator.fit(data)
+        assert model.getOrDefault("nodes") == cut
+        assert np.allclose(scores(model, data), plain_forest(x, y, weights, keys, edges, 5, 4, 3, 42), atol=1e-9)
+
+
+def test_draws_are_those_of_the_uniform_numbers():
+    keys = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 200_000)
+    for tree in range(3):
+        assert (R.times_drawn(keys, tree, 42) == np.searchsorted(R.POISSON, R._uniform(keys, 42 + tree), side="right")).all()
+
+
+def test_bins_are_unpacked_from_bytes():
+    rng = np.random.default_rng(2)
+    layout = R.Layout.of([np.arange(n) for n in (254, 1, 60, 1, 1, 5, 0, 1, 9)])
+    bins = np.stack([rng.integers(0, n, 500) for n in layout.widths], 1)
+    assert any(len(g) > 2 for g in layout.groups)
+    assert (R.unpacked(np.ascontiguousarray(layout.codes(bins, 999).T), layout) == bins.T).all()
