@@ -250,3 +250,33 @@ def test_kmeans_sums_of_blocks(spark):
     blocks = KM.blocked(assemble().transform(df.coalesce(1)))
     assert blocks.agg(F.sum("n")).first()[0] == 300 and blocks.count() < 10
     assert KM.lloyd(assemble().transform(df.limit(0)), [KM.Fit(2, 0, np.zeros((2, 4)))], 1e-4, 5)[0].cost == 0.0
+
+
+def test_margins_are_kept_between_rounds_and_given_up(spark, monkeypatch):
+    """However often margins are kept anew or written, the trees are the same; the table is laid out for the executors once."""
+    import os
+
+    df, *_ = table(spark, missing=True)
+    data = assemble().transform(df)
+    est = B.BoostedTrees(weightCol="weight", depth=2, rate=0.3)
+    found = []
+    for keep, checkpoint in ((5, 50), (2, 4), (1, 1)):
+        monkeypatch.setattr(B, "KEEP_ROUNDS", keep)
+        monkeypatch.setattr(B, "CHECKPOINT_ROUNDS", checkpoint)
+        run, kept, files = est.booster(data), set(), set()
+        for _ in range(8):
+            run.round()
+            kept.add(run.kept.id())
+            files.add(run.file)
+        assert len(kept) <= 1 + 8 // keep and (len(files - {None}) >= 2) == (checkpoint < 8)
+        found.append((B.pack(run.trees), [*run.losses, run.final_loss()]))
+        paths = [f.removeprefix("file:") for f in files - {None}]
+        run.close()
+        assert not any(os.path.exists(p) for p in paths) and run.kept is None
+    assert found[0] == found[1] == found[2]
+
+
+def test_sums_of_whole_floats_are_exact():
+    big = np.array([2.0**60, 3.0, -(2.0**59), 2.0**53 + 2], float)
+    assert not B.below_53_bits(big) and B.below_53_bits(np.array([2.0**40, -5.0]))
+    assert B.summed(np.array([0, 0, 1, 2]), big, 4).tolist() == [2**60 + 3, -(2**59), 2**53 + 2, 0]
